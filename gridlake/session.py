@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", app_name: str = "gridlake") -> SparkSe
         builder.config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
