@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ("event", "season")
+_GROUPS = ("event", "season", "stats")
 
 
 def _gather(kind: str, attribute: str) -> dict:
