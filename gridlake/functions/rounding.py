@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Powers of two that turn a double into an exact 64-bit integer: one for
-# magnitudes below 1, one for magnitudes from 1 to below 1024.
-_UNIT_SMALL = 1 << 62
-_UNIT_LARGE = 1 << 52
-_EXACT_BELOW = 1024.0
+# Powers of two that turn a double below the bound into an exact 64-bit integer.
+_UNITS = ((1.0, 1 << 62), (1024.0, 1 << 52), (1048576.0, 1 << 42), (1073741824.0, 1 << 32))
+_EXACT_BELOW = _UNITS[-1][0]
 
 
 def round_half_even(value: Column, digits: int) -> Column:
@@ -18,20 +16,25 @@ def round_half_even(value: Column, digits: int) -> Column:
     ``bround`` rounds the shortest decimal text of the double, so 2.675 (whose
     binary value is just below the tie) goes up.  Here the double is scaled by
     a power of two into an integer, which is exact, and rounded in integers.
-    Values of 1024 and more, beyond the exact range, fall back to ``bround``.
+    Values of 2**30 and more, beyond the exact range, fall back to ``bround``.
+
+    The value is bound once by a one-element ``transform``; the plan would
+    otherwise repeat its whole expression at every mention.
     """
-    x = value.cast("double")
-    size = F.abs(x)
-    unit = F.when(size < 1.0, F.lit(_UNIT_SMALL)).otherwise(F.lit(_UNIT_LARGE)).cast("decimal(20,0)")
-    in_range = F.when(size < _EXACT_BELOW, size)
-    steps = F.floor(in_range * F.when(size < 1.0, float(_UNIT_SMALL)).otherwise(float(_UNIT_LARGE)))
-    scaled = steps.cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(7,0)")
-    whole = F.call_function("div", scaled, unit)
-    twice_rest = (scaled % unit) * 2
-    up = (twice_rest > unit) | ((twice_rest == unit) & (whole % 2 == 1))
-    magnitude = (whole + F.when(up, 1).otherwise(0)).cast("double") / float(10**digits)
-    exact = F.when(x < 0, -magnitude).otherwise(magnitude)
-    return F.when(size < _EXACT_BELOW, exact).otherwise(F.bround(x, digits))
+    return F.call_function("transform", F.array(value.cast("double")), F.expr(_rounding_sql(digits)))[0]
+
+
+def _rounding_sql(digits: int) -> str:
+    """The rounding of a variable ``x`` as a SQL lambda."""
+    tiers = " ".join(f"WHEN abs(x) < {bound}D THEN {unit}" for bound, unit in _UNITS)
+    unit = f"CAST(CASE {tiers} END AS DECIMAL(20, 0))"
+    steps = f"CAST(floor(IF(abs(x) < {_EXACT_BELOW}D, abs(x), NULL) * CAST({unit} AS DOUBLE)) AS DECIMAL(20, 0))"
+    scaled = f"{steps} * CAST({10**digits} AS DECIMAL(7, 0))"
+    whole = f"({scaled}) div {unit}"
+    twice_rest = f"(({scaled}) % {unit}) * 2"
+    up = f"{twice_rest} > {unit} OR ({twice_rest} = {unit} AND ({whole}) % 2 = 1)"
+    exact = f"sign(x) * CAST(({whole}) + IF({up}, 1, 0) AS DOUBLE) / {float(10**digits)}D"
+    return f"x -> IF(abs(x) < {_EXACT_BELOW}D, {exact}, bround(x, {digits}))"
 
 
 def fixed(value: Column, digits: int, sign: bool = False) -> Column:

@@ -151,15 +151,6 @@ def values_equal(old: Column, new: Column, numeric: bool = False) -> Column:
     return old.eqNullSafe(new)
 
 
-def insight_id(rule_id: str, season: Column, span: Column, subject: Column, other: Column) -> Column:
-    """``rule:season:span:subject:other``; an absent season or span reads ``na``, no other ``none``."""
-
-    def or_na(part: Column) -> Column:
-        return F.coalesce(F.when(part.cast("string") != "0", part.cast("string")), F.lit("na"))
-
-    return F.concat_ws(":", F.lit(rule_id), or_na(season), or_na(span), subject, F.coalesce(other, F.lit("none")))
-
-
 def round_span(rounds: Column, single: bool, empty: str) -> Column:
     """``rounds_2-9`` for a list of rounds; one round may read ``round_2``."""
     low, high = F.array_min(rounds), F.array_max(rounds)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.rounding import fixed, percent_text, round_half_even
-from gridlake.functions.scalars import evidence_strength, insight_id, round_span
+from gridlake.functions.scalars import round_span
 from gridlake.operators import conversion, event, season, statistics
 from gridlake.operators import rules as R
 from gridlake.operators.common import RACE, first_two_by_driver, scoped, sum_if
@@ -23,6 +23,10 @@ from gridlake.tables import RaceTables
 SORT_ORDER = ["category", "rule_id", "subject_id", "insight_id"]
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
+
 def _insight(
     rule_id: str,
     *,
@@ -38,8 +42,7 @@ def _insight(
     span: Column | None = None,
     metric: str | None = None,
     source_metric: str | None = None,
-    identity: Column | None = None,
-    season_year: Column | None = None,
+    other_in_id: Column | None = None,
     round_number: Column | None = None,
     driver: Column | None = None,
     constructor: Column | None = None,
@@ -48,55 +51,83 @@ def _insight(
     parameters: dict[str, float] | None = None,
     explanation: Column | None = None,
 ) -> Column:
+    """One insight a row may fire: a constant part from the rule and a part from the row."""
     rule = get_rule(rule_id)
-    none = F.lit(None)
-    year = F.col("season_year") if season_year is None else season_year
     settings = rule.thresholds if parameters is None else parameters
-    pairs = [F.lit(x) for item in settings.items() for x in item]
-    count = size.cast("int")
-
-    def text(value: Column | None) -> Column:
-        return (none if value is None else value).cast("string")
-
-    trace = F.struct(
-        F.lit(source_metric or rule.metric).alias("source_metric"),
-        F.lit(source).alias("source_function"),
-        F.lit(rule_id).alias("rule_id"),
-        F.create_map(*pairs).cast("map<string,double>").alias("rule_parameters"),
-        observed.cast("double").alias("observed_value"),
-        F.lit(unit).alias("unit"),
-        count.alias("sample_size"),
-        F.lit(rule.min_sample_size).alias("minimum_sample_size"),
-        F.lit(sign).alias("sign_convention"),
-        year.cast("bigint").alias("season_year"),
-        (none if round_number is None else round_number).cast("int").alias("round_num"),
-        text(driver).alias("driver_id"),
-        text(constructor).alias("constructor_id"),
-        (none if rounds is None else rounds).cast("array<int>").alias("rounds_included"),
-        (none if excluded is None else excluded).cast("int").alias("excluded_observations"),
-    )
-    if identity is None:
-        identity = insight_id(rule_id, year, none if span is None else span, subject, text(other))
+    entries = ", ".join(f"{_quoted(k)}, {float(v)}D" for k, v in settings.items())
+    constant = {
+        "rule_id": _quoted(rule_id),
+        "category": _quoted(rule.category),
+        "metric": _quoted(metric or rule.metric),
+        "source_metric": _quoted(source_metric or rule.metric),
+        "source_function": _quoted(source),
+        "sign_convention": _quoted(sign),
+        "unit": _quoted(unit),
+        "minimum_sample_size": str(rule.min_sample_size),
+        "rule_parameters": f"CAST(map({entries}) AS MAP<STRING, DOUBLE>)",
+    }
+    fields = ", ".join(f"{_quoted(name)}, {value}" for name, value in constant.items())
+
+    def or_null(value: Column | None, kind: str) -> Column:
+        return F.expr(f"CAST(NULL AS {kind})") if value is None else value.cast(kind)
+
     return F.struct(
-        identity.alias("insight_id"),
-        F.lit(rule_id).alias("rule_id"),
-        F.lit(rule.category).alias("category"),
-        subject.alias("subject_id"),
-        text(other).alias("comparison_subject_id"),
-        F.lit(metric or rule.metric).alias("metric"),
+        F.expr(f"named_struct({fields})").alias("rule"),
+        subject.alias("subject"),
+        or_null(other, "string").alias("other"),
+        or_null(span, "string").alias("span"),
+        or_null(other if other_in_id is None else other_in_id, "string").alias("other_in_id"),
         (F.lit(direction) if isinstance(direction, str) else direction).alias("direction"),
         magnitude.cast("double").alias("magnitude"),
-        F.lit(unit).alias("unit"),
-        evidence_strength(count, rule.min_sample_size).alias("evidence_strength"),
-        count.alias("sample_size"),
-        trace.alias("traceability"),
-        text(explanation).alias("explanation"),
+        observed.cast("double").alias("observed"),
+        size.cast("int").alias("size"),
+        or_null(round_number, "int").alias("number"),
+        or_null(driver, "string").alias("driver"),
+        or_null(constructor, "string").alias("constructor"),
+        or_null(rounds, "array<int>").alias("rounds"),
+        or_null(excluded, "int").alias("excluded"),
+        or_null(explanation, "string").alias("explanation"),
     )
 
 
+# Fixed format: ``rule:season:span:subject:other``, where an absent season or
+# span reads ``na`` and an absent other ``none``.
+_ID = """
+    concat_ws(':', rule.rule_id, coalesce(nullif(CAST(season_year AS STRING), '0'), 'na'),
+              coalesce(nullif(span, '0'), 'na'), subject, coalesce(other_in_id, 'none'))"""
+_STRENGTH = """
+    CASE WHEN size < rule.minimum_sample_size OR size <= 0 THEN 'INSUFFICIENT' WHEN size = 1 THEN 'LOW'
+         WHEN size <= 4 THEN 'MODERATE' ELSE 'HIGH' END"""
+_TRACE = """
+    struct(rule.source_metric AS source_metric, rule.source_function AS source_function, rule.rule_id AS rule_id,
+           rule.rule_parameters AS rule_parameters, observed AS observed_value, rule.unit AS unit,
+           size AS sample_size, rule.minimum_sample_size AS minimum_sample_size,
+           rule.sign_convention AS sign_convention, CAST(season_year AS BIGINT) AS season_year, number AS round_num,
+           driver AS driver_id, constructor AS constructor_id, rounds AS rounds_included,
+           excluded AS excluded_observations)"""
+
+
 def _fire(rows: DataFrame, candidates: list[tuple[Column, Column]], keep: list[str] | None = None) -> DataFrame:
-    fired = F.filter(F.array(*[F.when(test, row) for test, row in candidates]), lambda i: i.isNotNull())
-    return rows.select(*(keep or []), F.inline(fired))
+    """The insights whose test holds, one row each."""
+    fired = F.call_function(
+        "filter", F.array(*[F.when(test, row) for test, row in candidates]), F.expr("i -> i IS NOT NULL")
+    )
+    return rows.select("season_year", *(keep or []), F.inline(fired)).selectExpr(
+        *(keep or []),
+        f"{_ID} AS insight_id",
+        "rule.rule_id AS rule_id",
+        "rule.category AS category",
+        "subject AS subject_id",
+        "other AS comparison_subject_id",
+        "rule.metric AS metric",
+        "direction",
+        "magnitude",
+        "rule.unit AS unit",
+        f"{_STRENGTH} AS evidence_strength",
+        "size AS sample_size",
+        f"{_TRACE} AS traceability",
+        "explanation",
+    )
 
 
 def _sentence(template: str, *values: Column) -> Column:
@@ -611,7 +642,7 @@ def teammate_longitudinal_insights(pairings: DataFrame) -> DataFrame:
             rule,
             subject=winner,
             other=loser,
-            identity=F.concat_ws(":", F.lit(rule), year.cast("string"), team, winner, loser),
+            span=team,
             direction=direction,
             magnitude=value,
             observed=value,
@@ -808,11 +839,11 @@ def conversion_rule_insights(stats: DataFrame) -> DataFrame:
         excluded: Column, explanation: Column, other: str | None = None, magnitude: Column | None = None,
     ) -> Column:
         definition = get_rule(rule)
-        identity = insight_id(rule, year, span, driver, F.lit(other).cast("string"))
         return _insight(
             rule,
             subject=driver,
-            identity=identity,
+            span=span,
+            other_in_id=F.lit(other),
             direction=direction,
             magnitude=value if magnitude is None else magnitude,
             observed=value,

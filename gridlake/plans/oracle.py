@@ -86,8 +86,8 @@ cte(
     "entry_ranked",
     """
     SELECT *,
-           row_number() OVER (PARTITION BY season_year, round ORDER BY quantity DESC, suppkey) AS grid_rank,
-           row_number() OVER (PARTITION BY season_year, round ORDER BY price DESC, suppkey) AS finish_rank,
+           row_number() OVER (PARTITION BY season_year, round ORDER BY quantity + (19 - suppkey % 20) * 1000 DESC, suppkey) AS grid_rank,
+           row_number() OVER (PARTITION BY season_year, round ORDER BY price + (19 - suppkey % 20) * 2000000 DESC, suppkey) AS finish_rank,
            row_number() OVER (PARTITION BY season_year, round ORDER BY tax DESC, suppkey) AS sprint_rank,
            row_number() OVER (PARTITION BY season_year, round ORDER BY fastest NULLS LAST, suppkey) AS fl_rank
     FROM entry""",
@@ -142,7 +142,7 @@ cte(
 cte(
     "qualifying_ranked",
     """
-    SELECT *, row_number() OVER (PARTITION BY season_year, round ORDER BY discount DESC, suppkey) AS position
+    SELECT *, row_number() OVER (PARTITION BY season_year, round ORDER BY discount + (19 - suppkey % 20) * 5 DESC, suppkey) AS position
     FROM entry WHERE mark <> 9""",
 )
 cte(

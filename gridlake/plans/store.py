@@ -36,12 +36,13 @@ def stored(
     build: Callable[[], DataFrame],
     bucket_by: str | None = None,
     sort_by: list[str] | None = None,
-    buckets: int = 0,
+    sized_by: str | None = None,
 ) -> DataFrame:
     """The named table derived from ``source``: written on first use, then scanned.
 
     The files lie in the shared working folder, so a lost executor costs no
-    recomputation.  With ``bucket_by`` the table is bucketed; grouping and
+    recomputation.  With ``bucket_by`` the table is bucketed, the number of
+    buckets following the size of the files at ``sized_by``; grouping and
     windows over keys that contain that column then need no shuffle.
     """
     key = (spark.sparkContext.applicationId, source, name)
@@ -50,6 +51,7 @@ def stored(
         path = f"{working_folder(spark)}/{table}"
         frame = build()
         if bucket_by:
+            buckets = bucket_count(spark, stored_bytes(spark, sized_by))
             (
                 frame.repartition(buckets, bucket_by)
                 .write.bucketBy(buckets, bucket_by)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import timing
 from gridlake.functions.scalars import is_classified
 from gridlake.operators.numbering import number_within, repeat_rows
-from gridlake.plans.store import bucket_count, stored, stored_bytes
+from gridlake.plans.store import stored
 from gridlake.tables import RaceTables
 
 # Fixed values -------------------------------------------------------------
@@ -24,6 +24,8 @@ RACE_POINTS = (25, 18, 15, 12, 10, 8, 6, 4, 2, 1)
 SPRINT_ROUNDS = (5, 6, 11, 18, 19, 23)
 Q2_PLACES, Q3_PLACES = 15, 10
 LAP_SLOTS = 1024
+# Every place nearer to the front of the series is worth this much, in cents.
+SKILL_STEPS = {"price": 2_000_000, "quantity": 1_000, "discount": 5}
 # --------------------------------------------------------------------------
 
 _ENTRY = ["season_year", "round", "suppkey"]
@@ -102,12 +104,16 @@ def build_entries(spark: SparkSession, root: str) -> DataFrame:
     def place(*order: Column) -> Column:
         return F.row_number().over(race.orderBy(*order, F.col("suppkey").asc()))
 
+    def strength(measure: str) -> Column:
+        skill = F.lit(FIELD_SIZE - 1) - F.col("suppkey") % FIELD_SIZE
+        return (F.col(measure) + skill * SKILL_STEPS[measure]).desc()
+
     mark = (F.col("suppkey") * 7 + F.col("season_year") * 13 + F.col("round") * 5) % 20
     ranked = entry.withColumn("mark", mark).select(
         "*",
-        place(F.col("quantity").desc()).alias("grid_rank"),
-        place(F.col("price").desc()).alias("finish_rank"),
-        place((F.col("mark") == 9).asc(), F.col("discount").desc()).alias("qualifying_rank"),
+        place(strength("quantity")).alias("grid_rank"),
+        place(strength("price")).alias("finish_rank"),
+        place((F.col("mark") == 9).asc(), strength("discount")).alias("qualifying_rank"),
         place(F.col("tax").desc()).alias("sprint_rank"),
         place(F.col("fastest").asc_nulls_last()).alias("fastest_rank"),
     )
@@ -195,7 +201,6 @@ def build_laps(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, root: str) -> DataFrame:
-    buckets = bucket_count(spark, stored_bytes(spark, f"{root}/lineitem.parquet"))
     return stored(
         spark,
         root,
@@ -203,7 +208,7 @@ def _entries(spark: SparkSession, root: str) -> DataFrame:
         lambda: build_entries(spark, root),
         bucket_by="season_year",
         sort_by=["season_year", "round"],
-        buckets=buckets,
+        sized_by=f"{root}/lineitem.parquet",
     )
 
 
