@@ -9,55 +9,47 @@ from gridlake.functions.scalars import strip
 
 # Fixed formats: ``H:MM:SS[.f]``, ``M:SS[.f]`` or ``SS[.f]`` with an optional
 # sign.  The leading part may have any number of digits, the others one or two.
+_FORMAT = r"r'\A[+-]?([0-9]+|[0-9]+:[0-9]{1,2}|[0-9]+:[0-9]{1,2}:[0-9]{1,2})(\.[0-9]+)?\z'"
 
+# The text is bound to ``s`` and its parts to ``p`` by one-element transforms,
+# so the plan holds each once.  The fraction is padded or cut to three digits.
+_LAST = "try_cast(substring_index(element_at(p, -1), '.', 1) AS INT)"
+_READ = rf"""
+    s -> transform(array(split(regexp_replace(s, r"^[+-]", ""), ':')), p -> named_struct(
+      'problem', CASE
+        WHEN s = '' THEN 'empty time'
+        WHEN NOT s RLIKE {_FORMAT} THEN 'malformed time'
+        WHEN size(p) = 3 AND try_cast(p[1] AS INT) > 59 THEN 'invalid minutes'
+        WHEN size(p) > 1 AND {_LAST} > 59 THEN 'invalid seconds' END,
+      'millis', IF(startswith(s, '-'), -1, 1) * (
+        1000 * aggregate(p, 0L, (total, v) -> total * 60 + try_cast(substring_index(v, '.', 1) AS BIGINT))
+        + try_cast(rpad(regexp_extract(s, r'\.([0-9]+)', 1), 3, '0') AS BIGINT)),
+      'negative', startswith(s, '-')))[0]"""
 
-def _parts(text: Column) -> tuple[Column, Column]:
-    stripped = strip(text)
-    return stripped, F.split(F.regexp_replace(stripped, r"\A[+-]", ""), ":", -1)
+
+def _read(text: Column) -> Column:
+    return F.call_function("transform", F.array(strip(text)), F.expr(_READ))[0]
 
 
 def time_problem(text: Column, allow_negative: bool = False) -> Column:
     """Why the text is not a duration; NULL if it is one (or is absent)."""
-    stripped, parts = _parts(text)
-    count = F.size(parts)
-    lead = F.get(parts, F.lit(0))
-    minutes = F.get(parts, count - 2)
-    seconds = F.get(parts, count - 1)
-    alone = count == 1
-    well_formed = (
-        count.between(1, 3)
-        & (alone | lead.rlike(r"\A[0-9]+\z"))
-        & ((count < 3) | minutes.rlike(r"\A[0-9]{1,2}\z"))
-        & F.when(alone, seconds.rlike(r"\A[0-9]+(\.[0-9]+)?\z")).otherwise(
-            seconds.rlike(r"\A[0-9]{1,2}(\.[0-9]+)?\z")
-        )
-    )
-    problem = (
-        F.when(stripped == "", "empty time")
-        .when(~well_formed, "malformed time")
-        .when((count == 3) & (minutes.try_cast("int") > 59), "invalid minutes")
-        .when((count > 1) & (F.substring_index(seconds, ".", 1).try_cast("int") > 59), "invalid seconds")
-    )
+    read = _read(text)
+    problem = read["problem"]
     if not allow_negative:
-        problem = F.when(well_formed & stripped.startswith("-"), "negative duration").otherwise(problem)
+        problem = F.when(problem.isNull() & read["negative"], "negative duration").otherwise(problem)
     return F.when(text.isNotNull(), problem)
 
 
 def time_to_millis(text: Column, allow_negative: bool = False) -> Column:
     """Whole milliseconds; NULL where ``time_problem`` names a problem.
 
-    The fraction is padded or cut to three digits: ``.7`` is 700, ``.7425`` is 742.
+    ``.7`` is 700 and ``.7425`` is 742.
     """
-    stripped, parts = _parts(text)
-    count = F.size(parts)
-    last = F.get(parts, count - 1)
-    whole = F.substring_index(last, ".", 1).try_cast("bigint")
-    fraction = F.rpad(F.regexp_extract(last, r"\.([0-9]+)", 1), 3, "0").try_cast("bigint")
-    minutes = F.when(count > 1, F.get(parts, count - 2).try_cast("bigint")).otherwise(0)
-    hours = F.when(count > 2, F.get(parts, F.lit(0)).try_cast("bigint")).otherwise(0)
-    millis = ((hours * 60 + minutes) * 60 + whole) * 1000 + fraction
-    signed = F.when(stripped.startswith("-"), -millis).otherwise(millis)
-    return F.when(time_problem(text, allow_negative).isNull(), signed)
+    read = _read(text)
+    usable = read["problem"].isNull()
+    if not allow_negative:
+        usable = usable & ~read["negative"]
+    return F.when(usable, read["millis"])
 
 
 def _has_gap(text: Column) -> Column:

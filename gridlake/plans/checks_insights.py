@@ -204,9 +204,9 @@ cte(
 cte(
     "race_laps_t",
     """
-    SELECT season_year, round, driver_id, constructor_id, min(time_millis) AS fastest, avg(time_millis) AS mean_lap,
-           count(time_millis) AS n
-    FROM lap_times_t JOIN race_results_t USING (season_year, round, driver_id) GROUP BY ALL""",
+    SELECT season_year, round, driver_id, constructor_id, min(l.time_millis) AS fastest, avg(l.time_millis) AS mean_lap,
+           count(l.time_millis) AS n
+    FROM lap_times_t l JOIN race_results_t USING (season_year, round, driver_id) GROUP BY ALL""",
 )
 cte(
     "pace_t",
