@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ("event", "season", "stats", "insights", "pages")
+_GROUPS = ("event", "season", "stats", "insights", "pages", "evidence")
 
 
 def _gather(kind: str, attribute: str) -> dict:

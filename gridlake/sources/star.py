@@ -437,4 +437,4 @@ def race_tables(spark: SparkSession, root: str) -> RaceTables:
             return _FROM_LAPS[name](_laps(spark, root))
         return _FROM_SOURCE[name](spark, root)
 
-    return RaceTables(load)
+    return RaceTables(load, lambda name, build: stored(spark, root, name, build))

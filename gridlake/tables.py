@@ -100,10 +100,16 @@ class RaceTables:
     """Lazy, named access to the race tables.
 
     ``loader`` is called once per table, so a query only touches what it reads.
+    ``keeper`` stores a derived frame that a job reads more than once.
     """
 
-    def __init__(self, loader: Callable[[str], DataFrame]):
+    def __init__(
+        self,
+        loader: Callable[[str], DataFrame],
+        keeper: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None,
+    ):
         self._loader = loader
+        self._keeper = keeper
         self._loaded: dict[str, DataFrame] = {}
 
     @classmethod
@@ -115,6 +121,10 @@ class RaceTables:
             self._loaded[name] = self._loader(name)
         return self._loaded[name]
 
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The frame, stored once where these tables have a place for it."""
+        return self._keeper(name, build) if self._keeper else build()
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _SPECS:
             raise AttributeError(name)

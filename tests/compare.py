@@ -50,6 +50,15 @@ def compare(spark, con, root, name, query, sql):
     columns = [d[0] for d in cursor.description]
     want_columns, want = rows_of(columns, cursor.fetchall())
     times = (middle - start, time.time() - middle)
+    kinds = {"bigint": "NUMBER BIGINT INTEGER", "double": "NUMBER DOUBLE", "string": "STRING VARCHAR", "boolean": "BOOLEAN bool"}
+    sql_types = {d[0]: str(d[1]) for d in cursor.description}
+    odd = [
+        (f.name, f.dataType.simpleString(), sql_types.get(f.name))
+        for f in frame.schema
+        if sql_types.get(f.name) not in kinds.get(f.dataType.simpleString(), "").split()
+    ]
+    if odd:
+        print("   types", odd)
     if got_columns != want_columns:
         return f"columns {sorted(set(got_columns) ^ set(want_columns))}", times, len(got)
     if len(got) != len(want):
