@@ -48,24 +48,27 @@ def number_within(
 def repeat_rows(rows: DataFrame, copies: str, index: str) -> DataFrame:
     """One output row per copy, with ``index`` counting 0 .. copies-1.
 
-    Rows with very many copies are cut into pieces and spread first, so no
-    task has to write a long run on its own.
+    Single rows pass straight through.  Rows with very many copies are cut
+    into pieces and spread first, so no task has to write a long run on its
+    own.  Over a stored table the row-group statistics of ``copies`` let the
+    scan skip the branches that have nothing to do.
     """
     keys = rows.columns
-    few = rows.where(F.col(copies) <= COPIES_PER_PIECE).select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1)).alias(index)
+    count = F.col(copies)
+    zero = F.lit(0).cast("bigint")
+    single = rows.where(count == 1).select(*keys, zero.alias(index))
+    few = rows.where(count.between(2, COPIES_PER_PIECE)).select(
+        *keys, F.explode(F.sequence(zero, count - 1)).alias(index)
     )
-    last_piece = F.call_function("div", F.col(copies) - 1, F.lit(COPIES_PER_PIECE).cast("bigint"))
+    last_piece = F.call_function("div", count - 1, F.lit(COPIES_PER_PIECE).cast("bigint"))
     start = F.col("_piece") * COPIES_PER_PIECE
     many = (
-        rows.where(F.col(copies) > COPIES_PER_PIECE)
-        .select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), last_piece)).alias("_piece"))
+        rows.where(count > COPIES_PER_PIECE)
+        .select(*keys, F.explode(F.sequence(zero, last_piece)).alias("_piece"))
         .repartition(*keys, "_piece")
         .select(
             *keys,
-            F.explode(
-                F.sequence(start, F.least(start + COPIES_PER_PIECE, F.col(copies)) - 1)
-            ).alias(index),
+            F.explode(F.sequence(start, F.least(start + COPIES_PER_PIECE, count) - 1)).alias(index),
         )
     )
-    return few.unionByName(many)
+    return single.unionByName(few).unionByName(many)

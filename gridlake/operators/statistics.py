@@ -21,16 +21,12 @@ FORM_WINDOW = 3
 POINT_DIGITS = 2
 
 
-def _identity(aggregate: Column) -> Column:
-    return aggregate
-
-
-def exact_stddev(value: Column, digits: int = 0, over=_identity) -> Column:
+def exact_stddev(value: Column, digits: int = 0) -> Column:
     """Sample standard deviation from integer sums; NULL below two values."""
     whole = (value * 10**digits).cast("bigint") if digits else value.cast("bigint")
-    count = over(F.count(whole))
-    squares = over(F.sum((whole * whole).cast("decimal(20,0)")))
-    total = over(F.sum(whole)).cast("decimal(19,0)")
+    count = F.count(whole)
+    squares = F.sum((whole * whole).cast("decimal(20,0)"))
+    total = F.sum(whole).cast("decimal(19,0)")
     spread = count.cast("decimal(13,0)") * squares - total * total
     variance = spread.cast("double") / (count.cast("double") * (count - 1))
     return F.when(count >= 2, F.sqrt(variance) / float(10**digits))
@@ -222,6 +218,20 @@ _FORM_METRICS = (
 )
 
 
+# Figures of one window: ``v`` holds its values as whole numbers, ``s`` the same
+# sorted.  A window has few values, so they are kept rather than summed anew.
+_WINDOW_FIGURES = """
+    v -> transform(array(array_sort(v)), s -> named_struct(
+      'valid_observations', size(s),
+      'mean', IF(size(s) = 0, NULL, aggregate(s, 0L, (total, x) -> total + x) / {unit}D / size(s)),
+      'median', IF(size(s) = 0, NULL, (s[(size(s) - 1) div 2] + s[size(s) div 2]) / {unit}D / 2),
+      'stddev', IF(size(s) < 2, NULL, sqrt(
+        CAST(size(s) * aggregate(s, 0L, (total, x) -> total + x * x)
+             - pow(aggregate(s, 0L, (total, x) -> total + x), 2) AS DOUBLE) / (size(s) * (size(s) - 1.0D))) / {unit}D),
+      'minimum', array_min(s) / {unit}D,
+      'maximum', array_max(s) / {unit}D))[0]"""
+
+
 def rolling_window_stats(
     rows: DataFrame,
     entity: list[str],
@@ -236,30 +246,22 @@ def rolling_window_stats(
     from an earlier round.  All metrics share one sort.
     """
     frame = Window.partitionBy(*entity).orderBy("round").rowsBetween(-(window_size - 1), Window.currentRow)
-
-    def over(aggregate: Column) -> Column:
-        return aggregate.over(frame)
-
-    parts = []
-    for label, column, digits in metrics:
-        value = F.col(column)
-        x = value.cast("double")
-        parts.append(
-            F.struct(
-                F.lit(label).alias("metric_name"),
-                over(F.count(x)).cast("int").alias("valid_observations"),
-                over(F.avg(x)).alias("mean"),
-                over(F.percentile(x, 0.5)).alias("median"),
-                exact_stddev(value, digits, over).alias("stddev"),
-                over(F.min(x)).alias("minimum"),
-                over(F.max(x)).alias("maximum"),
-            ).alias(label)
+    values = [
+        F.collect_list((F.col(column) * 10**digits).cast("bigint")).over(frame).alias(label)
+        for label, column, digits in metrics
+    ]
+    wide = rows.select(*entity, "round", F.collect_list("round").over(frame).alias("rounds_included"), *values)
+    parts = [
+        F.struct(
+            F.lit(label).alias("metric_name"),
+            F.call_function(
+                "transform", F.array(F.col(label)), F.expr(_WINDOW_FIGURES.format(unit=float(10**digits)))
+            )[0].alias("f"),
         )
-    wide = rows.select(
-        *entity, "round", over(F.collect_list("round")).alias("rounds_included"), *parts
-    )
-    long = wide.select(
-        *entity, "round", "rounds_included", F.inline(F.array(*[F.col(label) for label, _, _ in metrics]))
+        for label, _, digits in metrics
+    ]
+    long = wide.select(*entity, "round", "rounds_included", F.inline(F.array(*parts))).select(
+        *entity, "round", "rounds_included", "metric_name", "f.*"
     )
     enough = (F.col("valid_observations") >= min_observations) & (F.col("valid_observations") > 0)
     figures = ("mean", "median", "stddev", "minimum", "maximum")

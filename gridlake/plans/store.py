@@ -33,7 +33,7 @@ def stored(
     spark: SparkSession,
     source: str,
     name: str,
-    build: Callable[[], DataFrame],
+    build: Callable[..., DataFrame],
     bucket_by: str | None = None,
     sort_by: list[str] | None = None,
     sized_by: str | None = None,
@@ -42,18 +42,18 @@ def stored(
 
     The files lie in the shared working folder, so a lost executor costs no
     recomputation.  With ``bucket_by`` the table is bucketed, the number of
-    buckets following the size of the files at ``sized_by``; grouping and
-    windows over keys that contain that column then need no shuffle.
+    buckets following the size of the files at ``sized_by``; ``build`` is given
+    that number and returns the rows in that many partitions of the column.
+    Grouping and windows over keys that contain the column then need no shuffle.
     """
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _written:
         table = f"gridlake_{name}_{uuid.uuid4().hex}"
         path = f"{working_folder(spark)}/{table}"
-        frame = build()
         if bucket_by:
             buckets = bucket_count(spark, stored_bytes(spark, sized_by))
             (
-                frame.repartition(buckets, bucket_by)
+                build(buckets)
                 .write.bucketBy(buckets, bucket_by)
                 .sortBy(*(sort_by or [bucket_by]))
                 .option("path", path)
@@ -61,7 +61,7 @@ def stored(
             )
             _written[key] = table
         else:
-            frame.write.parquet(path)
+            build().write.parquet(path)
             _written[key] = path
     if bucket_by:
         return spark.table(_written[key])

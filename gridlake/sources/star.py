@@ -82,11 +82,11 @@ def _lap_millis() -> Column:
     return F.when(F.col("tax") != 8, F.lit(60000) + _div(F.col("price"), 100) % 40000)
 
 
-def build_entries(spark: SparkSession, root: str) -> DataFrame:
+def build_entries(spark: SparkSession, root: str, partitions: int) -> DataFrame:
     """One wide row per car and race: grid, finish, qualifying, sprint and standing.
 
     All windows lie inside a season, so after the aggregation one exchange by
-    season serves every one of them.
+    season serves every one of them, and the bucketed write as well.
     """
     entry = (
         records(spark, root)
@@ -96,7 +96,7 @@ def build_entries(spark: SparkSession, root: str) -> DataFrame:
             *[F.sum(c).alias(c) for c in ("price", "quantity", "discount", "tax")],
             F.min(_lap_millis()).alias("fastest"),
         )
-        .repartition("season_year")
+        .repartition(partitions, "season_year")
     )
     race = Window.partitionBy("season_year", "round")
     season = Window.partitionBy("season_year", "suppkey").orderBy("round")
@@ -172,9 +172,10 @@ def build_entries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def build_laps(spark: SparkSession, root: str) -> DataFrame:
-    """One row per lap, numbered within its car and race; pit laps carry a stop number.
+    """Laps numbered within their car and race; pit laps carry a stop number.
 
-    Identical line items are counted before anything is sorted, and the lap
+    Identical line items are one row with their number of ``copies`` and the
+    numbers of the last copy.  They meet before anything is sorted, and the lap
     order starts with a slot that spreads a busy car over many tasks.
     """
     slot = (
@@ -182,7 +183,7 @@ def build_laps(spark: SparkSession, root: str) -> DataFrame:
     ) % LAP_SLOTS
     distinct = records(spark, root).groupBy(*_ENTRY, slot.alias("slot"), *_LAP).agg(F.count(F.lit(1)).alias("copies"))
     pit = F.col("discount") >= 9
-    numbered = number_within(
+    return number_within(
         distinct, _ENTRY, "slot", _LAP, "copies", {"last_lap": F.lit(True), "last_stop": pit}
     ).select(
         *_ENTRY,
@@ -191,8 +192,11 @@ def build_laps(spark: SparkSession, root: str) -> DataFrame:
         F.when(pit, F.col("last_stop")).alias("last_stop"),
         _lap_millis().cast("int").alias("time_millis"),
     )
+
+
+def _every_lap(laps: DataFrame) -> DataFrame:
     before = F.col("copies") - 1 - F.col("copy")
-    return repeat_rows(numbered, "copies", "copy").select(
+    return repeat_rows(laps, "copies", "copy").select(
         *_ENTRY,
         (F.col("last_lap") - before).alias("lap_number"),
         (F.col("last_stop") - before).alias("stop_number"),
@@ -205,7 +209,7 @@ def _entries(spark: SparkSession, root: str) -> DataFrame:
         spark,
         root,
         "entries",
-        lambda: build_entries(spark, root),
+        lambda buckets: build_entries(spark, root, buckets),
         bucket_by="season_year",
         sort_by=["season_year", "round"],
         sized_by=f"{root}/lineitem.parquet",
@@ -317,7 +321,7 @@ def _constructor_standings(entries: DataFrame) -> DataFrame:
 
 
 def _lap_times(laps: DataFrame) -> DataFrame:
-    return laps.select(
+    return _every_lap(laps).select(
         "season_year",
         "round",
         driver_slug(F.col("suppkey")).alias("driver_id"),
@@ -331,7 +335,7 @@ def _lap_times(laps: DataFrame) -> DataFrame:
 def _pit_stops(laps: DataFrame) -> DataFrame:
     duration = (F.lit(20000) + F.col("time_millis") % 15000).cast("bigint")
     minute = F.col("lap_number") % 60
-    return laps.where(F.col("stop_number").isNotNull()).select(
+    return _every_lap(laps.where(F.col("last_stop").isNotNull())).select(
         "season_year",
         "round",
         driver_slug(F.col("suppkey")).alias("driver_id"),
