@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -88,12 +89,12 @@ class RaceStore:
         entities = [e for e in INGEST_ORDER if e in batch]
         try:
             known = self._known(batch)
-            for entity in entities:
-                orphan = missing_parents(entity, batch[entity], known).first()
-                if orphan is not None:
-                    raise DependencyError(
-                        f"{orphan.entity_type}: {orphan.missing_entity} '{orphan.missing_id}' not found"
-                    )
+            orphans = [missing_parents(entity, batch[entity], known) for entity in entities]
+            orphan = reduce(DataFrame.unionByName, orphans).first()
+            if orphan is not None:
+                raise DependencyError(
+                    f"{orphan.entity_type}: {orphan.missing_entity} '{orphan.missing_id}' not found"
+                )
             rows = [self._upsert(entity, batch[entity]) for entity in entities]
         except Exception as error:
             failed = (SOURCE, ",".join(entities), endpoint, None, season, round_number, "FAILED", 0, 0, 0, 0,

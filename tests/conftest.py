@@ -1,3 +1,4 @@
+import datetime
 import os
 import sys
 
@@ -13,16 +14,20 @@ def spark():
 
     session = local_session(4, "gridlake-tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    # The test tables are tiny; compiling each plan would take most of the time.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 
 
 @pytest.fixture(scope="session")
-def event(spark):
+def event(spark, tmp_path_factory):
     """Six cars in one race: a retirement, a pit-lane start, untimed stops and laps."""
     from decimal import Decimal
 
-    from gridlake.tables import RaceTables, schema
+    from gridlake.tables import read_tables, schema
+
+    root = str(tmp_path_factory.mktemp("event"))
 
     def frame(name, rows):
         columns = schema(name).fieldNames()
@@ -72,7 +77,7 @@ def event(spark):
         "seasons": [{"season_year": 2024}],
         "circuits": [{"circuit_id": "ring", "circuit_name": "The Ring"}],
         "races": [
-            {**race, "race_name": "First Grand Prix", "circuit_id": "ring", "race_date": __import__("datetime").date(2024, 3, 2)}
+            {**race, "race_name": "First Grand Prix", "circuit_id": "ring", "race_date": datetime.date(2024, 3, 2)}
         ],
         "drivers": [{"driver_id": r[0], "given_name": r[0].upper(), "family_name": "X"} for r in results],
         "constructors": [{"constructor_id": c, "name": c.title()} for c in sorted({r[1] for r in results})],
@@ -101,4 +106,6 @@ def event(spark):
             for i, (c, p) in enumerate(teams)
         ],
     }
-    return RaceTables.of({name: frame(name, values) for name, values in rows.items()})
+    for name, values in rows.items():
+        frame(name, values).coalesce(1).write.parquet(f"{root}/{name}")
+    return read_tables(spark, root)
