@@ -79,8 +79,9 @@ def _flat_view(view):
 
 
 def _counts(t: RaceTables) -> DataFrame:
+    stored = t.keep("season_insights", lambda: insights.season_insights(t))
     return insights.counts_by_rule(
-        insights.season_insights(t).select("rule_id").unionByName(insights.conversion_insights(t).select("rule_id"))
+        stored.select("rule_id").unionByName(insights.conversion_insights(t).select("rule_id"))
     )
 
 

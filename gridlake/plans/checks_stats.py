@@ -195,8 +195,10 @@ SQL = {
         f"""SELECT season_year, driver_id, max(round) AS up_to_round,
         {', '.join(stats(value, name) for name, value in _FULL_PREFIXES)},
         count(*) FILTER (WHERE change > 0) AS positive_count, count(*) FILTER (WHERE change < 0) AS negative_count,
-        max(finish) - min(finish) AS finish_range, max(raced_grid) - min(raced_grid) AS grid_range,
-        max(change) - min(change) AS change_range, max(total_points) - min(total_points) AS points_range,
+        CAST(max(finish) - min(finish) AS DOUBLE) AS finish_range,
+        CAST(max(raced_grid) - min(raced_grid) AS DOUBLE) AS grid_range,
+        CAST(max(change) - min(change) AS DOUBLE) AS change_range,
+        CAST(max(total_points) - min(total_points) AS DOUBLE) AS points_range,
         {strength('count(*)')} AS evidence_strength,
         string_agg(CAST(round AS VARCHAR), ',' ORDER BY round) AS rounds
         FROM driver_values_t GROUP BY season_year, driver_id"""
