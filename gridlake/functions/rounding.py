@@ -34,7 +34,11 @@ def _rounding_sql(digits: int) -> str:
     twice_rest = f"(({scaled}) % {unit}) * 2"
     up = f"{twice_rest} > {unit} OR ({twice_rest} = {unit} AND ({whole}) % 2 = 1)"
     exact = f"sign(x) * CAST(({whole}) + IF({up}, 1, 0) AS DOUBLE) / {float(10**digits)}D"
-    return f"x -> IF(abs(x) < {_EXACT_BELOW}D, {exact}, bround(x, {digits}))"
+    slow = f"IF(abs(x) < {_EXACT_BELOW}D, {exact}, bround(x, {digits}))"
+    # Away from a tie, plain double arithmetic gives the same result.
+    moved = f"(x * {float(10**digits)}D)"
+    clear = f"abs({moved}) < {_EXACT_BELOW}D AND abs({moved} - floor({moved}) - 0.5D) > 0.000001D"
+    return f"x -> IF({clear}, rint({moved}) / {float(10**digits)}D, {slow})"
 
 
 def fixed(value: Column, digits: int, sign: bool = False) -> Column:
