@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import checks, decontaminate, fingerprint, mixing, token_counts, token_files
+from gridlake.llm import (
+    checks,
+    decontaminate,
+    fingerprint,
+    html_extract,
+    licenses,
+    mixing,
+    near_dedup,
+    quality,
+    secret_scan,
+    token_counts,
+    token_files,
+)
 from gridlake.llm.common import read
 
 
@@ -18,6 +30,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.with_edits(read(spark, sf_dir, "documents"))
     return rows.select(
@@ -29,6 +50,10 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def byte_bpe_blocks(documents: DataFrame) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_files.write_blocks(documents, lambda: token_files.word_encoder(path))
@@ -43,17 +68,30 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_html_extract": op3_html_extract,
     "op4_fingerprint": op4_fingerprint,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
     "op9_mix": op9_mix,
+    "op10_licenses": op10_licenses,
 }
 
 SQL = {"op1_decontaminate": checks.DECONTAMINATE, "op9_mix": checks.MIX}

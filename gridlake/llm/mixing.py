@@ -32,10 +32,14 @@ SEED = "mix-1"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def size_of(text: str) -> Column:
+    """Number of words of a text column; 0 for null."""
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(_WORDS)), F.lit(0)).cast("long")
+
+
 def sized(documents: DataFrame) -> DataFrame:
     """doc_id, source and size in words of every document."""
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORDS)), F.lit(0)).cast("long")
-    return documents.select("doc_id", "source", size.alias("size"))
+    return documents.select("doc_id", "source", size_of("text").alias("size"))
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
