@@ -20,7 +20,7 @@ A document's score is its mean negative log probability for a character, with
 ``PRIOR_CHARS`` characters of the language's mean added so that a very short
 text says little; perplexity is its exponential.  A document is rejected above
 its language's threshold: the ``QUANTILE`` of the scores of trusted documents
-held out from training (one in ``HELD_OUT``).
+held out from training (one in ``HELD_OUT``), and a margin for their number.
 
 Defined results for odd input: an empty or null text is kept, its perplexity
 that of the language; a language without trusted text has no model, and its
@@ -44,7 +44,7 @@ from gridlake.llm.common import batched, rows_of, text_or_empty, written
 
 ORDER = 5
 QUANTILE = 0.99
-HELD_OUT = 8
+HELD_OUT = 4
 PRIOR_CHARS = 50
 MODEL_ROWS = 4_000_000
 BROADCAST_IDS = 1_000_000
@@ -344,7 +344,9 @@ def scores(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     score = (-F.col("log_p") + PRIOR_CHARS * F.col("mean")) / (F.col("n") + PRIOR_CHARS)
     with_score = with_mean.withColumn("score", score)
     held = with_score.filter(_held_out()).join(few(ids), "doc_id", "left_semi")
-    limits = held.groupBy("lang").agg(F.percentile_approx("score", quantile, 10_000).alias("limit"))
+    # Few held-out documents say little about the tail: the margin is three standard errors of their mean.
+    margin = 3 * F.coalesce(F.stddev("score"), F.lit(1.0)) / F.sqrt(F.count("score"))
+    limits = held.groupBy("lang").agg((F.percentile_approx("score", quantile, 10_000) + margin).alias("limit"))
     kept = F.coalesce(F.col("score") <= F.col("limit"), F.lit(True))
     return with_score.join(F.broadcast(limits), "lang", "left").select(
         "doc_id", "lang", F.col("n").alias("n_chars"), F.exp("score").alias("perplexity"),
