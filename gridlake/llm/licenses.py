@@ -198,7 +198,7 @@ class TemplateIndex:
         return out
 
     def slack(self, template: int) -> int:
-        return max(3, len(self.words[template]) // 4)
+        return max(1, len(self.words[template]) // 4)
 
     def matches(self, text: str) -> list[tuple[str, float, int, list[tuple[int, int]]]]:
         """(name, coverage, words matched, spans) of every template found in a text."""
