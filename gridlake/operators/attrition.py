@@ -28,6 +28,7 @@ _COUNTS = (
     "unknown_non_classified",
 )
 METRICS = (*_COUNTS, "non_classified_results", "dnf_rate", "non_classification_rate")
+KINDS = ("phase", "round")
 PERIOD = ["season_year", "period_name", "start_round", "end_round"]
 
 
@@ -52,15 +53,18 @@ def _single_round(number: Column) -> Column:
     return _period(F.format_string("R%02d", number), number, number)
 
 
-def periods(t: RaceTables, season: int | None = None, up_to_round: int | None = None) -> DataFrame:
-    """Every phase and every single round of each season, with its completeness."""
+def periods(
+    t: RaceTables, season: int | None = None, up_to_round: int | None = None, kinds: tuple[str, ...] = KINDS
+) -> DataFrame:
+    """Every phase and every single round (as ``kinds`` says) of each season, with its completeness."""
     done = completed_rounds(t, season, up_to_round)
     seasons = done.groupBy("season_year").agg(
         (F.max("round") if up_to_round is None else F.lit(up_to_round)).cast("int").alias("up_to_round"),
         F.collect_set("round").alias("done"),
     )
     single = F.transform(F.sequence(F.lit(1), F.col("up_to_round")), _single_round)
-    listed = F.explode(F.concat(F.array(*_phases()), single)).alias("p")
+    of_kind = {"phase": F.array(*_phases()), "round": single}
+    listed = F.explode(F.concat(*[of_kind[k] for k in kinds])).alias("p")
     return seasons.select("season_year", "up_to_round", "done", listed).select(
         "season_year",
         "up_to_round",
@@ -84,7 +88,9 @@ def _metrics() -> list[Column]:
     ]
 
 
-def attrition(t: RaceTables, season: int | None = None, up_to_round: int | None = None) -> DataFrame:
+def attrition(
+    t: RaceTables, season: int | None = None, up_to_round: int | None = None, kinds: tuple[str, ...] = KINDS
+) -> DataFrame:
     """Attrition by period at three levels: ``total``, ``constructor`` and ``driver``.
 
     A result belongs to its phase and to its own round, both of which follow
@@ -95,12 +101,13 @@ def attrition(t: RaceTables, season: int | None = None, up_to_round: int | None
     phase = F.filter(
         F.array(*_phases()), lambda p: number.between(p["start_round"], p["end_round"])
     )
+    own = {"phase": phase, "round": F.array(_single_round(number))}
     results = scoped(t.race_results, season, up_to_round=up_to_round).select(
         "season_year",
         "driver_id",
         "constructor_id",
         attrition_class_stored(F.col("position_text"), F.col("status")).alias("state"),
-        F.explode(F.concat(phase, F.array(_single_round(number)))).alias("p"),
+        F.explode(F.concat(*[own[k] for k in kinds])).alias("p"),
     )
     counted = (
         results.select("season_year", "p.*", "driver_id", "constructor_id", "state")
@@ -131,7 +138,7 @@ def attrition(t: RaceTables, season: int | None = None, up_to_round: int | None
         .withColumn("dnf_rate", rate_percent_or_null(F.col("dnf_results"), F.col("starts")))
         .withColumn("non_classification_rate", rate_percent_or_null(lost, F.col("starts")))
     )
-    every = periods(t, season, up_to_round)
+    every = periods(t, season, up_to_round, kinds)
     complete = every.where("is_complete").join(rated, PERIOD)
     # A single round without results and an unfinished phase have no figures.
     blank = every.where("NOT is_complete").select(

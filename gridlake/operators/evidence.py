@@ -204,14 +204,23 @@ def _contradictions() -> list[tuple[str, Column]]:
 
 
 def check_narratives(
-    narratives: DataFrame, insights: DataFrame, package: list[str], raw: str = "raw", limit: int = MAX_INSIGHTS
+    narratives: DataFrame,
+    insights: DataFrame,
+    package: list[str],
+    raw: str = "raw",
+    limit: int = MAX_INSIGHTS,
+    narrative_id: str | None = None,
 ) -> DataFrame:
     """A verdict per narrative: usable, or the first thing that is wrong with it.
 
+    A package may have any number of narratives, told apart by ``narrative_id``
+    or, without it, by their text.
+
     Insights are checked in order and every insight's checks in order; a
     narrative meets at most ``limit`` insights.
     """
-    parsed = parse_narratives(narratives, raw)
+    key = F.col(narrative_id) if narrative_id else F.sha2(F.coalesce(F.col(raw), F.lit("")), 256)
+    parsed = parse_narratives(narratives, raw).withColumn("_narrative", key)
     evidence = numbered(insights, package, limit)
     checks = _contradictions()
     verdict = F.lit(None).cast("struct<check_no:int,reason:string>")
@@ -220,11 +229,12 @@ def check_narratives(
         verdict = F.when(F.coalesce(fails, F.lit(False)), found).otherwise(verdict)
     wrong = (
         parsed.where(F.col("problem").isNull())
-        .select(*package, "narrative")
+        .select(*package, "_narrative", "narrative")
+        .dropDuplicates([*package, "_narrative"])
         .join(evidence, package)
-        .select(*package, "insight_no", "insight_id", verdict.alias("v"))
+        .select(*package, "_narrative", "insight_no", "insight_id", verdict.alias("v"))
         .where(F.col("v").isNotNull())
-        .groupBy(*package)
+        .groupBy(*package, "_narrative")
         .agg(
             F.min_by(
                 F.struct(F.col("v.reason").alias("reason"), "insight_id"), F.struct("insight_no", "v.check_no")
@@ -232,8 +242,9 @@ def check_narratives(
         )
     )
     reason = F.coalesce("problem", "first.reason")
-    return parsed.join(wrong, package, "left").select(
+    return parsed.join(wrong, [*package, "_narrative"], "left").select(
         *package,
+        *([narrative_id] if narrative_id else []),
         F.when(reason.isNull(), "ok").otherwise("unavailable").alias("status"),
         reason.alias("reason"),
         F.col("first.insight_id").alias("contradicted_insight"),

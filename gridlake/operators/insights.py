@@ -138,10 +138,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def deduplicate(insights: DataFrame, sequence: str | None = None) -> DataFrame:
-    """One row per insight id, the first by ``sequence`` where one is given."""
-    if sequence is None:
-        return insights.dropDuplicates(["insight_id"])
+def deduplicate(insights: DataFrame, sequence: str) -> DataFrame:
+    """One row per insight id, the first by ``sequence``."""
     columns = [c for c in insights.columns if c != sequence]
     return (
         insights.groupBy("insight_id")
@@ -404,7 +402,9 @@ def teammate_insights(rows: DataFrame, mean_of_season: bool = False) -> DataFram
 def race_insights(t: RaceTables, season_year: int | None = None, round_number: int | None = None) -> DataFrame:
     """All race-level insights the engine reports.
 
-    Teammate rules only run for teams with two drivers in qualifying.
+    Teammate rules only run for teams with two drivers in qualifying.  An id
+    names rule, race and drivers, and each rule looks at a race's driver or pair
+    once, so ids are unique without a shuffle by id.
     """
     times = [F.col(f"q{n}_time_millis") for n in (1, 2, 3)]
     qualified = scoped(t.qualifying_results, season_year, round_number).select(
@@ -423,9 +423,7 @@ def race_insights(t: RaceTables, season_year: int | None = None, round_number: i
     gaps = event.teammate_deltas(t, season_year, round_number).join(
         pairs.select(*RACE, "constructor_id"), [*RACE, "constructor_id"], "left_semi"
     )
-    return deduplicate(
-        _union([qualifying_gap_insights(pairs), position_change_insights(changes), teammate_insights(gaps)])
-    )
+    return _union([qualifying_gap_insights(pairs), position_change_insights(changes), teammate_insights(gaps)])
 
 
 # Season level ----------------------------------------------------------------
@@ -796,15 +794,13 @@ def pair_season_insights(
 
 
 def season_insights(t: RaceTables, season_year: int | None = None, up_to_round: int | None = None) -> DataFrame:
-    """Season insights of all drivers, pairs and teams."""
-    return deduplicate(
-        _union(
-            [
-                driver_season_insights(t, season_year, up_to_round=up_to_round),
-                pair_season_insights(t, season_year, up_to_round=up_to_round),
-                constructor_season_insights(t, season_year, up_to_round=up_to_round),
-            ]
-        )
+    """Season insights of all drivers, pairs and teams; their ids are unique as in ``race_insights``."""
+    return _union(
+        [
+            driver_season_insights(t, season_year, up_to_round=up_to_round),
+            pair_season_insights(t, season_year, up_to_round=up_to_round),
+            constructor_season_insights(t, season_year, up_to_round=up_to_round),
+        ]
     )
 
 
@@ -818,11 +814,11 @@ def longitudinal_insights(
 ) -> DataFrame:
     """Season insights for a pair, else a driver, else a team, else everyone."""
     if drivers is not None:
-        return deduplicate(pair_season_insights(t, season_year, drivers, up_to_round))
+        return pair_season_insights(t, season_year, drivers, up_to_round)
     if driver_id is not None:
-        return deduplicate(driver_season_insights(t, season_year, driver_id, up_to_round))
+        return driver_season_insights(t, season_year, driver_id, up_to_round)
     if constructor_id is not None:
-        return deduplicate(constructor_season_insights(t, season_year, constructor_id, up_to_round))
+        return constructor_season_insights(t, season_year, constructor_id, up_to_round)
     return season_insights(t, season_year, up_to_round)
 
 
@@ -932,7 +928,7 @@ def conversion_insights(
 ) -> DataFrame:
     """Conversion insights of one driver or of all active drivers."""
     profile = conversion.driver_conversion(t, season_year, driver_id, up_to_round, active_only=driver_id is None)
-    return deduplicate(conversion_rule_insights(conversion.driver_conversion_stats(profile)))
+    return conversion_rule_insights(conversion.driver_conversion_stats(profile))
 
 
 # Selection -------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,23 +15,6 @@ from gridlake.tables import FOREIGN_KEYS, NATURAL_KEYS, RaceTables
 _KEEP_WHEN_BLANK = {"lap_times": ("time",)}
 
 
-def last_per_key(batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """The row of each key that would be stored last.
-
-    ``order`` is the position in the batch; without it the largest row is
-    taken, which makes the choice repeatable.  Copies meet before the shuffle,
-    so a key repeated any number of times stays cheap.
-    """
-    columns = [c for c in batch.columns if c != order]
-    row = F.struct(*columns)
-    by = F.struct(F.col(order), row) if order else row
-    return (
-        batch.groupBy(*keys)
-        .agg(F.max_by(row, by).alias("_row"), F.count(F.lit(1)).alias("_copies"))
-        .select("_row.*", "_copies")
-    )
-
-
 def _numeric(frame: DataFrame, column: str) -> bool:
     return isinstance(frame.schema[column].dataType, T.NumericType)
 
@@ -39,53 +22,83 @@ def _numeric(frame: DataFrame, column: str) -> bool:
 def plan_upsert(
     entity: str, existing: DataFrame, batch: DataFrame, keys: list[str] | None = None, order: str | None = None
 ) -> DataFrame:
-    """Existing and incoming rows joined by natural key, with the action of each key.
+    """Existing and incoming rows merged by natural key, with the action of each key.
+
+    The rows of a batch are applied one after the other in ``order`` (without
+    it in the order of their values, which makes the outcome repeatable); the
+    last one stays.  Stored rows come first in the same sort, so one exchange by
+    key serves the comparison with the predecessor, the counts and the merge.
 
     The result holds the merged columns, ``action`` (``inserted``, ``updated``,
-    ``skipped`` or ``kept`` for rows the batch does not mention) and ``copies``,
-    the number of batch rows of that key.
+    ``skipped`` or ``kept`` for rows the batch does not mention), ``copies``,
+    the number of batch rows of that key, and ``updates``, how many of them
+    changed what was there before them.
     """
     keys = keys or NATURAL_KEYS[entity]
-    new = last_per_key(batch, keys, order)
     values = [c for c in existing.columns if c not in keys and c in batch.columns]
-    joined = existing.withColumn("_old", F.lit(True)).alias("o").join(
-        new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values], "_copies"), keys, "full_outer"
-    )
-    incoming = F.col("_copies").isNotNull()
+    rest = [c for c in existing.columns if c not in keys and c not in values]
     kept_text = _KEEP_WHEN_BLANK.get(entity, ())
-
-    def merged(column: str) -> Column:
-        value = F.col(f"_new_{column}")
-        if column in kept_text:
-            value = F.coalesce(F.nullif(value, F.lit("")), F.col(column), value)
-        return F.when(incoming, value).otherwise(F.col(column))
-
-    changed = any_of(
-        ~values_equal(F.col(c), merged(c), _numeric(existing, c) and _numeric(batch, c)) for c in values
+    place = F.col(order) if order else F.lit(0)
+    kind = batch.select(place.alias("p")).schema[0].dataType
+    stored = existing.select("*", F.lit(False).alias("_new"), F.lit(None).cast(kind).alias("_at"))
+    incoming = batch.select(
+        *keys,
+        *[F.col(c).cast(existing.schema[c].dataType).alias(c) for c in values],
+        *[F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in rest],
+        F.lit(True).alias("_new"),
+        place.alias("_at"),
     )
-    action = (
-        F.when(~incoming, "kept")
-        .when(F.col("_old").isNull(), "inserted")
+    by_key = Window.partitionBy(*keys)
+    steps = by_key.orderBy("_new", "_at", *values)
+    so_far = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = steps.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = stored.unionByName(incoming).select(
+        *keys,
+        *[
+            F.coalesce(F.last(F.nullif(F.col(c), F.lit("")), True).over(so_far), F.col(c)).alias(c)
+            if c in kept_text
+            else F.col(c)
+            for c in values
+        ],
+        *[F.first(c, True).over(whole).alias(c) for c in rest],
+        "_new",
+        F.row_number().over(steps).alias("_step"),
+    )
+    ordered = by_key.orderBy("_step")
+    rows = rows.withColumn("_before", F.lag(F.struct(*values, F.lit(1).alias("_one"))).over(ordered))
+    changed = any_of(~values_equal(F.col(f"_before.{c}"), F.col(c), _numeric(existing, c)) for c in values)
+    step = (
+        F.when(~F.col("_new"), "kept")
+        .when(F.col("_before").isNull(), "inserted")
         .when(changed, "updated")
         .otherwise("skipped")
     )
-    return joined.select(
-        *keys,
-        *[merged(c).alias(c) for c in values],
-        *[F.col(c) for c in existing.columns if c not in keys and c not in values],
-        action.alias("action"),
-        F.coalesce("_copies", F.lit(0)).alias("copies"),
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stepped = rows.withColumn("_did", step)
+    counted = stepped.select(
+        *existing.columns,
+        F.lead(F.lit(1)).over(ordered).isNull().alias("_last"),
+        F.count(F.when(F.col("_new"), 1)).over(every).alias("copies"),
+        F.count(F.when(F.col("_did") == "updated", 1)).over(every).alias("updates"),
+        F.count(F.when(F.col("_did") == "inserted", 1)).over(every).alias("_inserted"),
+    )
+    action = (
+        F.when(F.col("copies") == 0, "kept")
+        .when(F.col("_inserted") > 0, "inserted")
+        .when(F.col("updates") > 0, "updated")
+        .otherwise("skipped")
     )
+    return counted.where("_last").select(*existing.columns, action.alias("action"), "copies", "updates")
 
 
 def merged_rows(plan: DataFrame) -> DataFrame:
-    return plan.drop("action", "copies")
+    return plan.drop("action", "copies", "updates")
 
 
 def ingestion_stats(plan: DataFrame, entity: str, by: list[str] | None = None) -> DataFrame:
-    """Counts of an upsert; repeated rows of a key count as skipped."""
+    """Counts of an upsert; a repeated row counts as updated where it differs from the one before it."""
     inserted = F.count(F.when(F.col("action") == "inserted", 1))
-    updated = F.count(F.when(F.col("action") == "updated", 1))
+    updated = F.coalesce(F.sum("updates"), F.lit(0))
     processed = F.sum("copies")
     rows = plan.where(F.col("action") != "kept")
     grouped = rows.groupBy(*by) if by else rows.groupBy()

@@ -172,9 +172,15 @@ def _upsert_stats(t: RaceTables) -> DataFrame:
 
 
 def _upsert_again(t: RaceTables) -> DataFrame:
-    """The current results stored once more, every row of them twice in the batch."""
-    twice = t.race_results.unionByName(t.race_results)
-    return upsert.ingestion_stats(upsert.plan_upsert("race_results", t.race_results, twice), "race_results")
+    """Current results and laps meet a batch with the earlier version of each row and then the current one."""
+
+    def stats(table: str) -> DataFrame:
+        every = RaceTables(lambda name: t[name].withColumn("round", F.col("round") - 24))
+        earlier = _earlier(every, table).withColumn("round", F.col("round") + 24)
+        batch = earlier.withColumn("n", F.lit(1)).unionByName(t[table].withColumn("n", F.lit(2)))
+        return upsert.ingestion_stats(upsert.plan_upsert(table, t[table], batch, order="n"), table)
+
+    return stats("race_results").unionByName(stats("lap_times"))
 
 
 def _upsert_totals(t: RaceTables) -> DataFrame:

@@ -70,8 +70,8 @@ _VIEWS = {
     "driver_conversion": _driver_conversion,
     "grid_tiers": lambda t: conversion.grid_tier_rows(conversion.driver_conversion(t)),
     "completed_rounds": attrition.completed_rounds,
-    "attrition_phase": lambda t: attrition.attrition(t).where(~F.col("period_name").startswith("R")),
-    "attrition_round": lambda t: attrition.attrition(t).where(F.col("period_name").startswith("R")),
+    "attrition_phase": lambda t: attrition.attrition(t, kinds=("phase",)),
+    "attrition_round": lambda t: attrition.attrition(t, kinds=("round",)),
     "attrition_report": _attrition_report,
 }
 

@@ -216,8 +216,12 @@ SQL = {
     ),
     "upsert_stats": query("SELECT * FROM upsert_stats_t"),
     "upsert_repeated": query(
-        "SELECT 'race_results' AS entity_type, 2 * count(*) AS records_processed, 0 AS records_inserted, "
-        "0 AS records_updated, 2 * count(*) AS records_skipped FROM race_results_t"
+        """SELECT 'race_results' AS entity_type, 2 * count(*) AS records_processed, CAST(0 AS BIGINT) AS records_inserted,
+        2 * count(*) FILTER (WHERE status = '+1 Lap') AS records_updated,
+        2 * count(*) FILTER (WHERE status IS DISTINCT FROM '+1 Lap') AS records_skipped FROM race_results_t
+        UNION ALL
+        SELECT 'lap_times', 2 * count(*), 0, count(*) FILTER (WHERE time = ''),
+        2 * count(*) - count(*) FILTER (WHERE time = '') FROM lap_times_t"""
     ),
     "upsert_totals": query(
         "SELECT string_agg(entity_type, ',' ORDER BY entity_type) AS entity_type, "

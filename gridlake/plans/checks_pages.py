@@ -31,9 +31,22 @@ SQL |= {
     "parse_documents": "SELECT 'page is not a JSON object' AS reject_reason, count(*) AS rejected FROM documents",
     "raw_records": query("SELECT circuit_id, country FROM circuits_t"),
     "page_series": query(
-        "SELECT season_year || '/' || round || '/results' AS endpoint, 1 AS pages, count(*) AS total, "
-        "0 AS first_offset, 100 AS covered, 100 AS fetched, TRUE AS is_complete FROM race_results_t "
-        "GROUP BY season_year, round"
+        """
+        SELECT season_year || '/' || round || '/results' AS endpoint, count(*) AS pages, any_value(total) AS total,
+               min(start) AS first_offset, max(start) + 4 AS covered,
+               CAST(count(*) FILTER (WHERE start > reached) AS BIGINT) AS gaps,
+               -- Complete if every record lies on some page.
+               len(list_filter(range(any_value(total)), lambda x: len(list_filter(list(start), lambda s: x >= s AND x < s + 4)) = 0)) = 0
+                 AS is_complete
+        FROM (SELECT *, coalesce(max(start + 4) OVER (PARTITION BY season_year, round ORDER BY start
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
+              FROM (SELECT season_year, round, total, n * 4 - CASE WHEN season_year % 5 = 2 AND n = 1 THEN 2
+                           WHEN season_year % 5 = 3 AND n = 2 THEN 2 ELSE 0 END AS start
+                    FROM (SELECT season_year, round, total, unnest(range(CAST(ceil(total / 4.0) AS BIGINT))) AS n
+                          FROM (SELECT season_year, round, count(*) AS total FROM race_results_t GROUP BY ALL))
+                    WHERE NOT (season_year % 5 IN (1, 3) AND n = 1)
+                      AND NOT (season_year % 5 = 4 AND n = CAST(ceil(total / 4.0) AS BIGINT) - 1)))
+        GROUP BY season_year, round"""
     ),
     "page_metadata": query(
         "SELECT season_year || '/' || round || '/driverstandings' AS endpoint, 100 AS \"limit\", 0 AS \"offset\", "

@@ -1,53 +1,92 @@
-"""Audited ingestion of parsed batches into stored race tables.
+"""Audited, all-or-nothing ingestion of parsed batches into stored race tables.
 
-Tables are Parquet folders.  Facts are partitioned by season, and only the
-seasons of a batch are rewritten: the merged rows are written beside the table
-first and then replace those partitions.  All checks run before the first
-write.  Every run ends as a SUCCESS or FAILED row of the audit log.
+A run works beside the stored tables: parsed rows are written once to a staging
+folder, checked, and merged into ``<table>/run=<n>``, facts by season.  Nothing
+of it can be read until the run's last write, one file of the manifest that
+names for each table and season the run that holds it.  A run that fails before
+that leaves every table as it was.  Rows that cannot be parsed are kept in the
+``rejects`` table with endpoint and reason, or fail the run (``strict``).
+
+A store has one writer at a time.  Folders of runs that were replaced stay until
+``vacuum``, for readers that still use them.
 """
 
 from __future__ import annotations
 
 import datetime
-import uuid
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlake.operators.upsert import ingestion_stats, merged_rows, missing_parents, plan_upsert
+from gridlake.operators.upsert import ingestion_stats, merged_rows, missing_parents, plan_upsert, resolve
 from gridlake.sources import pages
 from gridlake.tables import INGEST_ORDER, RaceTables, schema
 
 SOURCE = "landing"
+_WHOLE = ("seasons", "circuits", "constructors", "drivers", "rejects")
+_MANIFEST = "run bigint, table string, season_year bigint"
+_COUNTS = "records_processed", "records_inserted", "records_updated", "records_skipped"
 
 
 class DependencyError(ValueError):
     """A batch refers to a parent that is neither stored nor in the batch."""
 
 
+class RejectedError(ValueError):
+    """A strict run met rows that cannot be parsed."""
+
+
 class RaceStore:
     """Stored race tables under one folder, with their audit log."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def read(self, table: str) -> DataFrame:
-        """The stored table, empty while nothing has been stored."""
+    # Reading
+
+    def _rows(self, folder: str, kind) -> DataFrame:
         try:
-            return self.spark.read.schema(schema(table)).parquet(f"{self.root}/{table}")
+            return self.spark.read.schema(kind).parquet(f"{self.root}/{folder}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return self.spark.createDataFrame([], kind)
+
+    def _live(self) -> DataFrame:
+        """The run that holds each table and season; rejects stay with every run."""
+        newest = F.when(F.col("table") == "rejects", F.col("run")).otherwise(0)
+        return (
+            self._rows("_manifest", _MANIFEST)
+            .groupBy("table", "season_year", newest.alias("_each"))
+            .agg(F.max("run").alias("run"))
+            .drop("_each")
+        )
+
+    def read(self, table: str, seasons: list[int] | None = None) -> DataFrame:
+        """The stored table, or some of its seasons; empty while nothing has been stored."""
+        live = self._live().where(F.col("table") == table)
+        if seasons is not None and table not in _WHOLE:
+            live = live.where(F.col("season_year").isin(seasons))
+        # A row for each season of one table.
+        found = live.select("run", "season_year").collect()
+        if not found:
             return self.spark.createDataFrame([], schema(table))
+        base = f"{self.root}/{table}"
+        paths = [f"{base}/run={r.run}" + ("" if r.season_year is None else f"/season_year={r.season_year}") for r in found]
+        rows = self.spark.read.schema(schema(table)).option("basePath", base).parquet(*paths)
+        return rows.select(*schema(table).fieldNames())
 
     def tables(self) -> RaceTables:
         return RaceTables(self.read)
 
     def log(self) -> DataFrame:
-        return self.read("etl_log")
+        """The latest state of every run and entity: RUNNING, SUCCESS, FAILED or ROLLED_BACK."""
+        state = F.when(F.col("status") == "RUNNING", 0).otherwise(1)
+        last = Window.partitionBy("run_id", "entity_type").orderBy(state.desc())
+        rows = self._rows("etl_log", schema("etl_log"))
+        return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
     def counts(self) -> DataFrame:
         """Number of stored rows per table."""
@@ -60,22 +99,27 @@ class RaceStore:
             total = total.unionByName(part)
         return total
 
-    def _append_log(self, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, schema("etl_log")).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/etl_log"
-        )
+    # Writing
 
-    def _known(self, batch: Mapping[str, DataFrame]) -> RaceTables:
-        """Stored parents together with those of the batch itself."""
+    def _append(self, folder: str, rows: list[tuple], kind) -> None:
+        """A few rows as one file, which appears whole or not at all."""
+        self.spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{self.root}/{folder}")
 
-        def load(table: str) -> DataFrame:
-            stored = self.read(table)
-            if table in batch:
-                keys = [c for c in batch[table].columns if c in stored.columns]
-                return stored.select(*keys).unionByName(batch[table].select(*keys))
-            return stored
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
-        return RaceTables(load)
+    def _next_run(self) -> int:
+        known = self._rows("etl_log", schema("etl_log")).agg(F.max("run_id")).first()[0]
+        return (known or 0) + 1
+
+    def vacuum(self) -> None:
+        """Deletes the folders of runs that no table needs any more."""
+        live = {(r.table, r.run) for r in self._live().select("table", "run").distinct().collect()}
+        for run in {r.run for r in self._rows("_manifest", _MANIFEST).select("run").distinct().collect()}:
+            for table in (*INGEST_ORDER, "rejects"):
+                if (table, run) not in live:
+                    self._delete(f"{self.root}/{table}/run={run}")
 
     def ingest(
         self,
@@ -83,57 +127,118 @@ class RaceStore:
         season: int | None = None,
         round_number: int | None = None,
         endpoint: str | None = None,
+        strict: bool = False,
+        orphans: str = "fail",
     ) -> DataFrame:
-        """Upsert parsed rows of any entities, parents first; returns the run's statistics."""
-        started = _now()
+        """Upsert rows of any entities, parents first; returns the run's statistics.
+
+        Rows may be parsed ones with ``reject_reason``, ``endpoint`` and
+        ``batch_order``.  ``orphans`` is "fail" or "reject": what to do with a
+        row whose parent is neither stored nor in the batch.
+        """
+        run, started = self._next_run(), _now()
         entities = [e for e in INGEST_ORDER if e in batch]
+        staging = f"{self.root}/_staging/{run}"
+        current, done = entities[0] if entities else "", []
+
+        def entry(entity: str, status: str, counts=(0, 0, 0, 0), error: str | None = None, rejected: int = 0) -> tuple:
+            ended = None if status == "RUNNING" else _now()
+            return (SOURCE, entity, endpoint, None, season, round_number, status, *counts, error, started, ended, rejected, run)
+
+        self._append("etl_log", [entry(e, "RUNNING") for e in entities], schema("etl_log"))
+        written = [f"{self.root}/{table}/run={run}" for table in (*entities, "rejects")]
         try:
-            known = self._known(batch)
-            orphans = [missing_parents(entity, batch[entity], known) for entity in entities]
-            orphan = reduce(DataFrame.unionByName, orphans).first()
-            if orphan is not None:
-                raise DependencyError(
-                    f"{orphan.entity_type}: {orphan.missing_entity} '{orphan.missing_id}' not found"
-                )
-            rows = [self._upsert(entity, batch[entity]) for entity in entities]
+            staged = {}
+            for current in entities:
+                batch[current].write.parquet(f"{staging}/parsed/{current}")
+                staged[current] = self.spark.read.schema(batch[current].schema).parquet(f"{staging}/parsed/{current}")
+            good = {e: pages.accepted(rows, ordered=True) if "reject_reason" in rows.columns else rows for e, rows in staged.items()}
+            rejects = {e: self._rejects(e, pages.rejected(rows), run) for e, rows in staged.items() if "reject_reason" in rows.columns}
+            known = self._known(good)
+            for current in entities:
+                orphan = missing_parents(current, good[current], known).first()
+                if orphan is None:
+                    continue
+                problem = f"{orphan.missing_entity} '{orphan.missing_id}' not found"
+                if orphans == "fail":
+                    raise DependencyError(f"{current}: {problem}")
+                columns = good[current].columns
+                found = resolve(current, good[current], known).select(*columns)
+                lost = good[current].exceptAll(found).withColumn("reject_reason", F.lit("parent not found"))
+                lost = self._rejects(current, lost, run)
+                rejects[current] = rejects[current].unionByName(lost) if current in rejects else lost
+                good[current] = found
+            rejected = dict.fromkeys(entities, 0)
+            for current in rejects:
+                rows = rejects[current]
+                rows.write.mode("append").parquet(f"{self.root}/rejects/run={run}")
+                stored = self.spark.read.schema(rows.schema).parquet(f"{self.root}/rejects/run={run}")
+                rejected[current] = stored.where(F.col("entity_type") == current).count()
+                if strict and rejected[current]:
+                    reason = stored.where(F.col("entity_type") == current).agg(F.min("reason")).first()[0]
+                    raise RejectedError(f"{current}: {rejected[current]} rows rejected, among them: {reason}")
+            manifest = [(run, "rejects", None)] if any(rejected.values()) else []
+            for current in entities:
+                counts, seasons = self._upsert(current, good[current], run, staging)
+                done.append((current, counts))
+                manifest += [(run, current, year) for year in seasons]
+            if manifest:
+                self._append("_manifest", manifest, _MANIFEST)
         except Exception as error:
-            failed = (SOURCE, ",".join(entities), endpoint, None, season, round_number, "FAILED", 0, 0, 0, 0,
-                      str(error)[:2000], started, _now())
-            self._append_log([failed])
+            rows = [entry(current, "FAILED", error=str(error))]
+            rows += [entry(e, "ROLLED_BACK") for e in entities if e != current]
+            for path in written:
+                self._delete(path)
+            self._append("etl_log", rows, schema("etl_log"))
             raise
-        self._append_log(
-            [
-                (SOURCE, entity, endpoint, None, season, round_number, "SUCCESS", *counts, None, started, _now())
-                for entity, counts in zip(entities, rows)
-            ]
-        )
-        spec = "entity_type string, records_processed bigint, records_inserted bigint, records_updated bigint, records_skipped bigint"
-        return self.spark.createDataFrame([(e, *c) for e, c in zip(entities, rows)], spec)
+        finally:
+            self._delete(staging)
+        self._append("etl_log", [entry(e, "SUCCESS", c, rejected=rejected[e]) for e, c in done], schema("etl_log"))
+        spec = "entity_type string, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", records_rejected bigint"
+        return self.spark.createDataFrame([(e, *c, rejected[e]) for e, c in done], spec)
 
-    def _upsert(self, entity: str, batch: DataFrame) -> tuple[int, int, int, int]:
-        """Stage the merged rows with their actions, count them, and put them in place."""
-        by_season = entity not in ("circuits", "constructors", "drivers", "seasons")
-        existing = self.read(entity)
-        if by_season:
-            existing = existing.join(batch.select("season_year").distinct(), "season_year", "left_semi")
-        staged = f"{self.root}/_staging/{entity}-{uuid.uuid4().hex}"
-        plan_upsert(entity, existing, batch).write.parquet(staged)
-        plan = self.spark.read.parquet(staged)
+    def _known(self, batch: Mapping[str, DataFrame]) -> RaceTables:
+        """Stored parents together with those of the batch itself."""
+
+        def load(table: str) -> DataFrame:
+            stored = self.read(table)
+            if table in batch:
+                keys = [c for c in batch[table].columns if c in stored.columns]
+                return stored.select(*keys).unionByName(batch[table].select(*keys))
+            return stored
+
+        return RaceTables(load)
+
+    @staticmethod
+    def _rejects(entity: str, rows: DataFrame, run: int) -> DataFrame:
+        """Rejected rows in one layout, the row itself as JSON."""
+        endpoint = F.col("endpoint") if "endpoint" in rows.columns else F.lit(None).cast("string")
+        kept = [c for c in rows.columns if c not in ("endpoint", "reject_reason", pages.ORDER)]
+        return rows.select(
+            F.lit(entity).alias("entity_type"), endpoint.alias("endpoint"), F.col("reject_reason").alias("reason"),
+            F.to_json(F.struct(*kept)).alias("record"), F.lit(run).cast("bigint").alias("run_id"),
+        )
+
+    def _upsert(self, entity: str, batch: DataFrame, run: int, staging: str) -> tuple[tuple, list]:
+        """Stage the merged rows with their actions, count them, and write them beside the table."""
+        by_season = entity not in _WHOLE
+        # One row for each season of the batch.
+        seasons = [r[0] for r in batch.select("season_year").distinct().collect()] if by_season else None
+        existing = self.read(entity, seasons)
+        order = pages.ORDER if pages.ORDER in batch.columns else None
+        plan_upsert(entity, existing, batch, order=order).write.parquet(f"{staging}/merged/{entity}")
+        plan = self.spark.read.parquet(f"{staging}/merged/{entity}")
         stats = ingestion_stats(plan, entity).first()
-        if stats.records_inserted or stats.records_updated:
-            rows = merged_rows(plan).select(*schema(entity).fieldNames())
-            target = f"{self.root}/{entity}"
-            if by_season:
-                (
-                    rows.repartition("season_year")
-                    .write.mode("overwrite")
-                    .option("partitionOverwriteMode", "dynamic")
-                    .partitionBy("season_year")
-                    .parquet(target)
-                )
-            else:
-                rows.write.mode("overwrite").parquet(target)
-        return stats.records_processed, stats.records_inserted, stats.records_updated, stats.records_skipped
+        counts = tuple(stats[c] for c in _COUNTS)
+        if not (stats.records_inserted or stats.records_updated):
+            return counts, []
+        rows, target = merged_rows(plan).select(*schema(entity).fieldNames()), f"{self.root}/{entity}/run={run}"
+        if by_season:
+            # Rebalancing splits a season that is too large for one task.
+            rows.hint("rebalance", "season_year").write.partitionBy("season_year").parquet(target)
+        else:
+            rows.write.parquet(target)
+        return counts, seasons if by_season else [None]
 
     def ingest_landing(
         self,
@@ -142,21 +247,26 @@ class RaceStore:
         start_round: int | None = None,
         end_round: int | None = None,
         include_laps: bool = True,
+        strict: bool = False,
+        one_per_line: bool = True,
     ) -> DataFrame:
-        """Parse and upsert everything landed; rounds may be limited to an inclusive range."""
+        """Parse and upsert everything landed; rounds may be limited to an inclusive range.
+
+        Rows that cannot be parsed are rejected whatever their season and round.
+        """
         if start_round is not None and end_round is not None and start_round > end_round:
             raise ValueError("start_round is after end_round")
-        parsed = pages.parse_landing(self.spark, landing, include_laps, season)
-        batch = {entity: pages.accepted(rows) for entity, rows in parsed.items()}
+        batch = pages.parse_landing(self.spark, landing, include_laps, season, one_per_line)
         for entity, rows in batch.items():
+            wanted = F.lit(True)
             if season is not None and "season_year" in rows.columns:
-                rows = rows.where(F.col("season_year") == season)
+                wanted = wanted & (F.col("season_year") == season)
             if "round" in rows.columns and start_round is not None:
-                rows = rows.where(F.col("round") >= start_round)
+                wanted = wanted & (F.col("round") >= start_round)
             if "round" in rows.columns and end_round is not None:
-                rows = rows.where(F.col("round") <= end_round)
-            batch[entity] = rows
-        return self.ingest(batch, season=season, endpoint=landing)
+                wanted = wanted & (F.col("round") <= end_round)
+            batch[entity] = rows.where(wanted | F.col("reject_reason").isNotNull())
+        return self.ingest(batch, season=season, endpoint=landing, strict=strict)
 
 
 def _now() -> datetime.datetime:

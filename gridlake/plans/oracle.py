@@ -236,7 +236,7 @@ cte(
     SELECT {slug('circuit_', 'n_nationkey', 2)} AS circuit_id, n_name || ' Ring' AS circuit_name,
            n_name AS locality, r_name AS country,
            n_nationkey * 3 - 36 AS latitude, n_nationkey * 7 - 84 AS longitude
-    FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey BETWEEN 1 AND 24""",
+    FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""",
 )
 cte(
     "races_t",

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.scalars import blank_to_null, strip
@@ -76,6 +77,9 @@ RECORD_LISTS = {
 _CONTENT = ",".join(f"{k}:{v}" for k, v in {**{k: "string" for k in RESERVED_KEYS}, **_TABLES}.items())
 _DOCUMENT = f"struct<MRData:struct<{_CONTENT}>,{_CONTENT},_corrupt:string>"
 
+# Place of a parsed row in its delivery.
+ORDER = "batch_order"
+
 Field = tuple[str, Column, Column | None]
 
 
@@ -135,26 +139,32 @@ def raw_records(pages: DataFrame, resource_key: str, table_key: str | None = Non
     )
 
 
+def entity_records(pages: DataFrame, entity: str) -> DataFrame:
+    """Raw records of an entity's listing pages, whose table and list are known."""
+    table, items = RECORD_LISTS[entity]
+    return raw_records(pages, items, table)
+
+
 def page_series_audit(pages: DataFrame, endpoint: str = "endpoint") -> DataFrame:
     """Whether the landed pages of each endpoint cover all its records.
 
-    Pages must start at 0, step by their limit and reach the total.  Only
-    counts and extremes are compared, so an endpoint may have any number of
-    pages.
+    In the order of their offsets, each page has to begin no later than the
+    pages before it end, the first one at 0, and the last end has to reach the
+    total.  Pages may overlap; an overlap does not make up for a gap.  A page
+    whose paging cannot be read covers nothing.
     """
     read = page_metadata(pages).where("reject_reason IS NULL").select(endpoint, "limit", "offset", "total")
-    once = read.distinct()
-    span = F.max(F.col("offset") + F.col("limit"))
-    series = once.groupBy(endpoint).agg(
+    before = Window.partitionBy(endpoint).orderBy("offset", "limit").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("offset") + F.col("limit")
+    placed = read.distinct().withColumn("reached", F.coalesce(F.max(end).over(before), F.lit(0)))
+    series = placed.groupBy(endpoint).agg(
         F.count(F.lit(1)).alias("pages"),
         F.max("total").alias("total"),
         F.min("offset").alias("first_offset"),
-        span.alias("covered"),
-        F.sum("limit").alias("fetched"),
+        F.max(end).alias("covered"),
+        F.count(F.when(F.col("offset") > F.col("reached"), 1)).alias("gaps"),
     )
-    complete = (F.col("first_offset") == 0) & (F.col("covered") >= F.col("total"))
-    gapless = F.col("fetched") == F.col("covered")
-    return series.withColumn("is_complete", complete & gapless)
+    return series.withColumn("is_complete", (F.col("gaps") == 0) & (F.col("covered") >= F.col("total")))
 
 
 # Field parsers: (name, value, problem) --------------------------------------
@@ -221,13 +231,19 @@ def duration(name: str, raw: Column, label: str, kind: str = "int") -> Field:
 def _rows(frame: DataFrame, fields: list[Field], *outer: Column) -> DataFrame:
     problems = [*outer, *[p for _, _, p in fields if p is not None]]
     kept = [c for c in ("endpoint",) if c in frame.columns]
+    endpoint = F.col("endpoint") if kept else F.lit(None).cast("string")
     return frame.select(
-        *kept, *[value.alias(name) for name, value, _ in fields], F.coalesce(*problems).alias("reject_reason")
+        *kept,
+        *[value.alias(name) for name, value, _ in fields],
+        F.struct(endpoint.alias("endpoint"), F.col("at")).alias(ORDER),
+        F.coalesce(*problems).alias("reject_reason"),
     )
 
 
-def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.where("reject_reason IS NULL").drop("reject_reason", "endpoint")
+def accepted(parsed: DataFrame, ordered: bool = False) -> DataFrame:
+    """The good rows; with ``ordered``, with their place in the delivery (page, offset, place in the page)."""
+    rows = parsed.where("reject_reason IS NULL").drop("reject_reason", "endpoint")
+    return rows if ordered else rows.drop(ORDER)
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
@@ -237,7 +253,7 @@ def rejected(parsed: DataFrame) -> DataFrame:
 def strict(parsed: DataFrame) -> DataFrame:
     """The rows, failing the job as soon as one of them was rejected."""
     checked = F.when(F.col("reject_reason").isNotNull(), F.raise_error(F.col("reject_reason"))).otherwise(F.lit(True))
-    return parsed.where(checked).drop("reject_reason", "endpoint")
+    return parsed.where(checked).drop("reject_reason", "endpoint", ORDER)
 
 
 def _explode(pages: DataFrame, table: str, items: str) -> tuple[DataFrame, Column]:
@@ -249,7 +265,9 @@ def _explode(pages: DataFrame, table: str, items: str) -> tuple[DataFrame, Colum
     frame = decode(pages).withColumn("page_problem", problem)
     chosen = F.when(F.col("page_problem").isNotNull(), one_null).otherwise(F.coalesce(listed, none))
     kept = [c for c in ("endpoint",) if c in pages.columns]
-    return frame.select(*kept, "page_problem", F.explode(chosen).alias("r")), F.col("page_problem")
+    offset = F.coalesce(F.col("page.offset").try_cast("int"), F.lit(0)).alias("offset")
+    opened = frame.select(*kept, "page_problem", offset, F.posexplode(chosen).alias("pos", "r"))
+    return opened.withColumn("at", F.array("offset", "pos")).drop("offset", "pos"), F.col("page_problem")
 
 
 def _nested(pages: DataFrame, table: str, items: str, key: str) -> tuple[DataFrame, Column]:
@@ -261,12 +279,13 @@ def _nested(pages: DataFrame, table: str, items: str, key: str) -> tuple[DataFra
     kept = [c for c in ("endpoint",) if c in pages.columns]
     opened = frame.select(
         *kept,
+        "at",
         missing.alias("page_problem"),
         F.col("r.season").alias("season"),
         F.col("r.round").alias("round"),
-        F.explode(F.when(listed.isNull(), F.array(F.lit(None)).cast(kind)).otherwise(listed)).alias("x"),
+        F.posexplode(F.when(listed.isNull(), F.array(F.lit(None)).cast(kind)).otherwise(listed)).alias("pos", "x"),
     )
-    return opened, F.col("page_problem")
+    return opened.withColumn("at", F.concat("at", F.array("pos"))).drop("pos"), F.col("page_problem")
 
 
 def _event_key() -> list[Field]:
@@ -428,8 +447,9 @@ def parse_lap_times(pages: DataFrame) -> DataFrame:
     timings = F.when(bad, F.array(F.lit(None)).cast(kind)).otherwise(F.coalesce("x.Timings", F.array().cast(kind)))
     kept = [c for c in ("endpoint",) if c in pages.columns]
     frame = laps.select(
-        *kept, "page_problem", "season", "round", F.col("x.number").alias("number"), F.explode(timings).alias("y")
-    )
+        *kept, "at", "page_problem", "season", "round", F.col("x.number").alias("number"),
+        F.posexplode(timings).alias("pos", "y"),
+    ).withColumn("at", F.concat("at", F.array("pos")))
     return _rows(
         frame,
         [
@@ -484,15 +504,25 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def landed(spark: SparkSession, path: str, one_per_line: bool = True) -> DataFrame:
+    """The pages of a folder; an entity that was not delivered has none."""
+    try:
+        return read_pages(spark, path, one_per_line)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "payload string, endpoint string")
+
+
 def parse_landing(
-    spark: SparkSession, root: str, include_laps: bool = True, season: int | None = None
+    spark: SparkSession, root: str, include_laps: bool = True, season: int | None = None, one_per_line: bool = True
 ) -> dict[str, DataFrame]:
     """All entities landed under ``root/<entity>``, parsed but not yet filtered.
 
     With ``season``, a season the landed list lacks is added as a bare row.
     """
     parsed = {
-        entity: parser(read_pages(spark, f"{root}/{entity}"))
+        entity: parser(landed(spark, f"{root}/{entity}", one_per_line))
         for entity, parser in PARSERS.items()
         if include_laps or entity != "lap_times"
     }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridlake.plans.ingest import RaceStore
-from gridlake.session import working_folder
 from gridlake.sources import pages
 
 
@@ -14,20 +16,22 @@ def stream_entity(spark: SparkSession, landing: str, entity: str, store: RaceSto
     """Upsert newly landed pages of one entity, then stop.
 
     A page that arrives late or again is just an update or a skip, so the
-    stream needs no watermark.  Progress is kept in the shared working folder;
-    a restarted stream goes on where it stopped, and a batch that is replayed
-    changes nothing.
+    stream needs no watermark.  Rows that cannot be parsed, or whose parents
+    have not arrived, go to the store's rejects.  Progress is kept under the
+    store for each landing folder; a restarted stream goes on where it stopped,
+    and a batch that is replayed changes nothing.
     """
     source = spark.readStream.schema("value string").text(f"{landing}/{entity}")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = pages.accepted(pages.PARSERS[entity](batch.withColumnRenamed("value", "payload")))
-        store.ingest({entity: rows}, endpoint=f"{landing}/{entity}#{batch_id}")
+        delivered = batch.select(F.col("value").alias("payload"), F.lit(f"{landing}/{entity}#{batch_id}").alias("endpoint"))
+        rows = pages.PARSERS[entity](delivered)
+        store.ingest({entity: rows}, endpoint=f"{landing}/{entity}#{batch_id}", orphans="reject")
 
-    progress = f"{working_folder(spark)}/streams/{store.root.strip('/').replace('/', '_')}/{entity}"
+    where = hashlib.sha256(landing.rstrip("/").encode()).hexdigest()[:16]
     return (
         source.writeStream.foreachBatch(upsert)
-        .option("checkpointLocation", progress)
+        .option("checkpointLocation", f"{store.root}/_streams/{where}/{entity}")
         .trigger(availableNow=True)
         .start()
     )

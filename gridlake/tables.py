@@ -49,7 +49,8 @@ _SPECS = {
     "etl_log": "source string!;entity_type string!;endpoint string;source_url string;"
     "season_year bigint;round int;status string!;records_processed bigint!;records_inserted bigint!;"
     "records_updated bigint!;records_skipped bigint!;error_message string;"
-    "started_at timestamp_ntz!;completed_at timestamp_ntz",
+    "started_at timestamp_ntz!;completed_at timestamp_ntz;records_rejected bigint!;run_id bigint!",
+    "rejects": "entity_type string!;endpoint string;reason string!;record string;run_id bigint!",
 }
 
 SCHEMAS: dict[str, T.StructType] = {}

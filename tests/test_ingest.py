@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlake.operators import quality, upsert
-from gridlake.plans.ingest import DependencyError, RaceStore
+from gridlake.plans.ingest import DependencyError, RaceStore, RejectedError
 from gridlake.sources.landing import landed_pages
 from gridlake.streaming.ingest import stream_entity
 from gridlake.tables import INGEST_ORDER
@@ -26,12 +26,25 @@ def test_actions(spark):
         "a": (1.0, "skipped"), "b": (2.0, "updated"), "c": (3.0, "kept"), "d": (5.0, "inserted"),
     }
     row = upsert.ingestion_stats(plan, "any").first()
-    assert tuple(row)[1:] == (4, 1, 1, 2)
+    assert tuple(row)[1:] == (4, 1, 2, 1)  # the second row of d changes the first
 
 
 def test_last_row_of_a_batch_wins(spark):
-    rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "k string, n int, t string")
-    assert upsert.last_per_key(rows, ["k"], "n").first().t == "new"
+    old = spark.createDataFrame([("a", "first"), ("z", "stays")], "k string, t string")
+    rows = [("a", 1, "Retired"), ("a", 3, "Disqualified"), ("a", 2, "Retired"), ("b", 9, "x"), ("b", 8, "y"), ("c", 1, "v")]
+    plan = upsert.plan_upsert("any", old, spark.createDataFrame(rows, "k string, n int, t string"), ["k"], "n")
+    assert {r.k: (r.t, r.action, r.copies, r.updates) for r in plan.collect()} == {
+        "a": ("Disqualified", "updated", 3, 2), "b": ("x", "inserted", 2, 1), "c": ("v", "inserted", 1, 0),
+        "z": ("stays", "kept", 0, 0),
+    }
+    assert tuple(upsert.ingestion_stats(plan, "any").first())[1:] == (6, 2, 3, 1)
+
+
+def test_blank_keeps_the_last_text_of_the_batch(spark):
+    old = spark.createDataFrame([("a", "1:30", 1)], "k string, time string, v int")
+    rows = spark.createDataFrame([("a", 1, "1:31", 1), ("a", 2, "", 1), ("b", 1, "", 2), ("a", 3, None, 1)], "k string, n int, time string, v int")
+    plan = upsert.plan_upsert("lap_times", old, rows, ["k"], "n")
+    assert {r.k: (r.time, r.updates) for r in plan.collect()} == {"a": ("1:31", 1), "b": ("", 0)}
 
 
 def test_blank_lap_text_keeps_the_stored_one(event):
@@ -75,8 +88,63 @@ def test_failure_is_logged_and_nothing_is_written(spark, event, tmp_path):
     with pytest.raises(DependencyError, match="races '2024/1' not found"):
         store.ingest({"drivers": event.drivers, "race_results": event.race_results})
     assert store.read("drivers").count() == 0
-    row = store.log().first()
-    assert row.status == "FAILED" and "2024/1" in row.error_message
+    log = {r.entity_type: r for r in store.log().collect()}
+    assert log["race_results"].status == "FAILED" and "2024/1" in log["race_results"].error_message
+    assert log["drivers"].status == "ROLLED_BACK"
+
+
+def test_a_failing_run_leaves_every_table(spark, event, tmp_path):
+    """The third entity fails while it is written; the two before it stay as they were."""
+    root = tmp_path / "store"
+    store = RaceStore(spark, str(root))
+    store.ingest(batch_of(event))
+    before = {n: sorted(map(str, store.read(n).collect())) for n in INGEST_ORDER}
+    changed = event.drivers.withColumn("given_name", F.lit("Z"))
+    bad = event.driver_standings.withColumn("wins", F.when(F.col("position") == 1, F.raise_error(F.lit("broken page " * 400)).cast("int")).otherwise(0))
+    with pytest.raises(Exception, match="broken page"):
+        store.ingest({"drivers": changed, "constructors": event.constructors, "driver_standings": bad})
+    assert {n: sorted(map(str, store.read(n).collect())) for n in INGEST_ORDER} == before
+    failed = store.log().where("run_id = 2 and status = 'FAILED'").collect()
+    assert [r.entity_type for r in failed] == ["driver_standings"]
+    assert failed[0].error_message.count("broken page") >= 400
+    assert not list((root / "_staging").glob("*")) and not (root / "drivers" / "run=2").exists()
+
+
+def test_rejects_are_kept_with_their_reason(spark, event, tmp_path):
+    landing = tmp_path / "landing"
+    land(event, str(landing), ["drivers"])
+    page = '{"MRData": {"limit": "30", "offset": "0", "total": "2", "DriverTable": {"Drivers": [%s]}}}'
+    good, bad = '{"driverId": "new", "givenName": "N", "familyName": "N"}', '{"driverId": "half", "familyName": "H"}'
+    (landing / "drivers" / "more.txt").write_text(page % f"{good}, {bad}" + "\n{broken\n")
+    store = RaceStore(spark, str(tmp_path / "store"))
+    with pytest.raises(RejectedError, match="2 rows rejected"):
+        store.ingest_landing(str(landing), strict=True)
+    assert store.read("drivers").count() == store.read("rejects").count() == 0
+    stats = {r.entity_type: r for r in store.ingest_landing(str(landing)).collect()}["drivers"]
+    assert (stats.records_processed, stats.records_inserted, stats.records_rejected) == (7, 7, 2)
+    rejects = store.read("rejects").collect()
+    assert sorted(r.reason for r in rejects) == ["givenName is missing or empty", "page is not a JSON object"]
+    assert all("more.txt" in r.endpoint for r in rejects)
+    assert any('"driver_id":"half"' in r.record for r in rejects)
+    assert {r.entity_type: r.records_rejected for r in store.log().where("status = 'SUCCESS'").collect()}["drivers"] == 2
+
+
+def test_a_hot_season_is_written_by_several_tasks(spark, event, tmp_path):
+    store = RaceStore(spark, str(tmp_path / "store"))
+    store.ingest(batch_of(event))
+    laps = spark.range(400_000).selectExpr("2024L season_year", "1 round", "'max' driver_id", "id + 100 lap_number", "1 position", "cast(rand(1) as string) time", "cast(id as int) time_millis")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        driver = event.drivers.limit(1).withColumn("driver_id", F.lit("max"))
+        store.ingest({"drivers": driver, "lap_times": laps})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = list((tmp_path / "store" / "lap_times" / "run=2" / "season_year=2024").glob("*.parquet"))
+    assert len(files) > 1
+    assert store.read("lap_times").count() == 400_000 + event.lap_times.count()
+    store.vacuum()
+    assert not (tmp_path / "store" / "lap_times" / "run=1").exists()
+    assert store.read("lap_times").count() == 400_000 + event.lap_times.count()
 
 
 def land(event, root, names=INGEST_ORDER):
@@ -86,10 +154,9 @@ def land(event, root, names=INGEST_ORDER):
 
 
 def test_landing_round_trip(spark, event, tmp_path):
-    # Pages carry no empty lists, so the sprint folder has to exist on its own.
+    # No sprint was held, so there is no folder of sprint pages.
     landing = str(tmp_path / "landing")
     land(event, landing)
-    (tmp_path / "landing" / "sprint_results").mkdir()
     store = RaceStore(spark, str(tmp_path / "store"))
     with pytest.raises(ValueError):
         store.ingest_landing(landing, 2024, 5, 1)
@@ -112,3 +179,16 @@ def test_stream(spark, event, tmp_path):
     land(renamed, landing, ["drivers"])
     stream_entity(spark, landing, "drivers", store).awaitTermination()
     assert store.read("drivers").where("given_name = 'Z'").count() == 6
+
+
+def test_stream_keeps_what_it_cannot_store(spark, event, tmp_path):
+    """A fact page before its parents is set aside, and two landing folders have their own progress."""
+    store = RaceStore(spark, str(tmp_path / "store"))
+    for name in ("one", "two"):
+        land(event, str(tmp_path / name), ["race_results"])
+    stream_entity(spark, str(tmp_path / "one"), "race_results", store).awaitTermination()
+    assert store.read("race_results").count() == 0
+    assert [r.reason for r in store.read("rejects").collect()] == ["parent not found"] * 6
+    store.ingest({n: event[n] for n in ("seasons", "circuits", "constructors", "drivers", "races")})
+    stream_entity(spark, str(tmp_path / "two"), "race_results", store).awaitTermination()
+    assert store.read("race_results").count() == 6
