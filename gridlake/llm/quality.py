@@ -215,9 +215,8 @@ class _Table:
         return out
 
 
-def _coded(rows: pa.Table, column: str, extra: int) -> np.ndarray:
-    """Hashes of the n-grams of a table with lang and size."""
-    langs, sizes, texts = (rows.column(c).to_pylist() for c in ("lang", "size", column))
+def _coded(langs: list, sizes: list, texts: list, extra: int) -> np.ndarray:
+    """Hashes of n-grams of one language and size each."""
     codes = np.zeros(len(texts), np.uint64)
     groups: dict[tuple[str, int], list[int]] = defaultdict(list)
     for k, key in enumerate(zip(langs, sizes)):
@@ -230,16 +229,29 @@ def _coded(rows: pa.Table, column: str, extra: int) -> np.ndarray:
     return codes
 
 
+def _numbers(rows: DataFrame, column: str, value: str, extra: int) -> _Table:
+    """The table of a shard's n-grams or contexts; tasks hash them, so only numbers come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, sizes, texts, values = (c.to_pylist() for c in batch.columns)
+            codes = _coded(langs, sizes, texts, extra).view(np.int64)
+            logs = np.log(np.maximum(np.array(values, np.float64), 1e-300)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(logs)], ["code", "value"])
+
+    found = rows.select("lang", "size", column, value).mapInArrow(run, "code long, value float").toArrow()
+    return _Table(found.column("code").to_numpy().view(np.uint64), found.column("value").to_numpy())
+
+
 class _Shard:
     """N-grams and contexts of one shard."""
 
-    def __init__(self, grams: pa.Table, contexts: pa.Table, number: int, shards: int):
+    def __init__(self, grams: DataFrame, contexts: DataFrame, number: int, shards: int):
         self.number, self.shards = number, shards
-        self.grams = _Table(_coded(grams, "gram", 0), np.log(np.asarray(grams.column("p"), np.float64)))
-        values = np.log(np.maximum(np.asarray(contexts.column("back_off"), np.float64), 1e-12))
-        self.contexts = _Table(_coded(contexts, "context", 100), values)
-        sizes = contexts.column("size").to_pylist()
-        self.unseen = {x: v for x, s, v in zip(contexts.column("lang").to_pylist(), sizes, values.tolist()) if s == 0}
+        self.grams = _numbers(grams, "gram", "p", 0)
+        self.contexts = _numbers(contexts, "context", "back_off", 100)
+        # A row for each language.
+        self.unseen = {r.lang: float(np.log(r.back_off)) for r in contexts.filter("size = 0").collect()}
 
     def score(self, lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of log probabilities of the texts' characters that fall to this shard, and their number."""
@@ -281,7 +293,7 @@ def log_probabilities(documents: DataFrame, grams: DataFrame, contexts: DataFram
     frame = documents.select("doc_id", "lang", "text", F.lit(0.0).alias("log_p"), F.lit(0).cast("long").alias("n"))
     doc_type = documents.schema["doc_id"].dataType.simpleString()
     for number in range(shards):
-        shard = _Shard(part(grams, "gram", 2, number).toArrow(), part(contexts, "context", 1, number).toArrow(), number, shards)
+        shard = _Shard(part(grams, "gram", 2, number), part(contexts, "context", 1, number), number, shards)
         sent, last = spark.sparkContext.broadcast(shard), number == shards - 1
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
