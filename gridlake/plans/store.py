@@ -13,7 +13,7 @@ from gridlake.session import working_folder
 _BYTES_PER_BUCKET = 64 << 20
 _MAX_BUCKETS = 100_000
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple[str, str, str, int], str] = {}
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
@@ -23,10 +23,28 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 
 
 def bucket_count(spark: SparkSession, data_bytes: int) -> int:
-    """Buckets of about 64 MB, at least one per core, at most one per shuffle partition."""
+    """Buckets of about 64 MB, at least one per core; Spark allows no more than the limit."""
     wanted = max(spark.sparkContext.defaultParallelism, -(-data_bytes // _BYTES_PER_BUCKET))
-    limit = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(wanted, limit, _MAX_BUCKETS))
+    return max(1, min(wanted, _MAX_BUCKETS))
+
+
+def _state(spark: SparkSession, source: str) -> int:
+    """Changes whenever a file under the source is added, replaced or removed; from the listing only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    each = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return int(files.agg(F.sum(each)).first()[0] or 0)
+
+
+def drop_stored(spark: SparkSession, source: str | None = None) -> None:
+    """Deletes the tables stored for a source, or all of this application's."""
+    application = spark.sparkContext.applicationId
+    for key in [k for k in _written if k[0] == application and source in (None, k[1])]:
+        kept = _written.pop(key)
+        folder = kept if "/" in kept else f"{working_folder(spark)}/{kept}"
+        if "/" not in kept:
+            spark.sql(f"DROP TABLE IF EXISTS {kept}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(
@@ -40,13 +58,16 @@ def stored(
 ) -> DataFrame:
     """The named table derived from ``source``: written on first use, then scanned.
 
+    Building a query may so run write jobs.  A source whose files have changed
+    is derived anew; ``drop_stored`` deletes what was stored.
+
     The files lie in the shared working folder, so a lost executor costs no
     recomputation.  With ``bucket_by`` the table is bucketed, the number of
     buckets following the size of the files at ``sized_by``; ``build`` is given
     that number and returns the rows in that many partitions of the column.
     Grouping and windows over keys that contain the column then need no shuffle.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, source, name, _state(spark, source))
     if key not in _written:
         table = f"gridlake_{name}_{uuid.uuid4().hex}"
         path = f"{working_folder(spark)}/{table}"

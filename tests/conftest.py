@@ -33,51 +33,50 @@ def event(spark, tmp_path_factory):
         columns = schema(name).fieldNames()
         return spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], schema(name))
 
-    race = {"season_year": 2024, "round": 1}
-    # Driver, team, grid, position, text, points, laps, status, millis
+    race = {"season_year": 2030, "round": 1}
+    # driver, team, grid, position, text, points, laps, status, millis
     results = [
-        ("max_verstappen", "red_bull", 1, 1, "1", "26.0", 57, "Finished", 5504742),
-        ("perez", "red_bull", 5, 2, "2", "18.0", 57, "Finished", 5527199),
-        ("sainz", "ferrari", 4, 3, "3", "15.0", 57, "Finished", 5529852),
-        ("leclerc", "ferrari", 2, 4, "4", "12.0", 57, "Finished", 5544440),
-        ("sargeant", "williams", 18, None, "R", "0.0", 24, "Engine", None),
-        ("albon", "williams", None, 10, "10", "1.0", 57, "Finished", 5590000),
+        ("ada", "north", 1, 1, "1", "30.0", 40, "Finished", 4000100),
+        ("bea", "north", 6, 2, "2", "20.0", 40, "Finished", 4011350),
+        ("dov", "south", 4, 3, "3", "16.0", 40, "Finished", 4019900),
+        ("cem", "south", 2, 4, "4", "13.0", 40, "Finished", 4032275),
+        ("fay", "east", 17, None, "R", "0.0", 11, "Gearbox", None),
+        ("eli", "east", None, 10, "10", "2.0", 40, "Finished", 4060800),
     ]
-    # Driver, team, position, best times of the three sessions
+    # driver, team, position, best times of the three sessions
     qualifying = [
-        ("max_verstappen", "red_bull", 1, 90031, 89374, 89179),
-        ("leclerc", "ferrari", 2, 90243, 89165, 89407),
-        ("sainz", "ferrari", 4, 89909, 89573, 89507),
-        ("perez", "red_bull", 5, 90221, 89932, 89537),
-        ("sargeant", "williams", 18, 90770, None, None),
+        ("ada", "north", 1, 71500, 70900, 70400),
+        ("cem", "south", 2, 71800, 70700, 70850),
+        ("dov", "south", 4, 71400, 71050, 70990),
+        ("bea", "north", 6, 71700, 71300, 70980),
+        ("fay", "east", 17, 72600, None, None),
     ]
-    # Driver, stop, lap, millis
+    # driver, stop, lap, millis
     stops = [
-        ("max_verstappen", 1, 17, 24123),
-        ("max_verstappen", 2, 37, 23856),
-        ("perez", 1, 12, 24500),
-        ("perez", 2, 36, 24200),
-        ("leclerc", 1, 11, 25100),
-        ("sainz", 1, 14, None),
+        ("ada", 1, 15, 23400),
+        ("ada", 2, 31, 23100),
+        ("bea", 1, 10, 24800),
+        ("bea", 2, 30, 24000),
+        ("cem", 1, 9, 26000),
+        ("dov", 1, 12, None),
     ]
-    # Driver, lap, millis
+    # driver, lap, millis
     laps = [
-        ("max_verstappen", 1, 96415),
-        ("max_verstappen", 39, 92608),
-        ("leclerc", 1, 97100),
-        ("leclerc", 2, None),
+        ("ada", 1, 99500),
+        ("ada", 20, 97000),
+        ("cem", 1, 100200),
+        ("cem", 2, None),
     ]
-    # standings
-    drivers = [("max_verstappen", "26"), ("perez", "18"), ("sainz", "15"), ("leclerc", "12")]
-    teams = [("red_bull", "44"), ("ferrari", "27")]
+    drivers = [("ada", "30"), ("bea", "20"), ("dov", "16"), ("cem", "13")]
+    teams = [("north", "50"), ("south", "29")]
     result_keys = (
         "driver_id constructor_id grid_position source_position position_text points laps_completed status time_millis"
     ).split()
     rows = {
-        "seasons": [{"season_year": 2024}],
+        "seasons": [{"season_year": 2030}],
         "circuits": [{"circuit_id": "ring", "circuit_name": "The Ring"}],
         "races": [
-            {**race, "race_name": "First Grand Prix", "circuit_id": "ring", "race_date": datetime.date(2024, 3, 2)}
+            {**race, "race_name": "First Grand Prix", "circuit_id": "ring", "race_date": datetime.date(2030, 5, 4)}
         ],
         "drivers": [{"driver_id": r[0], "given_name": r[0].upper(), "family_name": "X"} for r in results],
         "constructors": [{"constructor_id": c, "name": c.title()} for c in sorted({r[1] for r in results})],

@@ -56,13 +56,13 @@ def test_blank_lap_text_keeps_the_stored_one(event):
 
 def test_second_run_changes_nothing(spark, event, tmp_path):
     store = RaceStore(spark, str(tmp_path / "store"))
-    first = {r.entity_type: r for r in store.ingest(batch_of(event), 2024, 1).collect()}
+    first = {r.entity_type: r for r in store.ingest(batch_of(event), 2030, 1).collect()}
     assert first["race_results"].records_inserted == 6
     before = counts(store.counts())
-    second = store.ingest(batch_of(event), 2024, 1).collect()
+    second = store.ingest(batch_of(event), 2030, 1).collect()
     assert all(r.records_inserted == r.records_updated == 0 for r in second)
     assert counts(store.counts()) == before
-    corrected = event.race_results.withColumn("status", F.when(F.col("driver_id") == "perez", "Lapped").otherwise(F.col("status")))
+    corrected = event.race_results.withColumn("status", F.when(F.col("driver_id") == "bea", "Lapped").otherwise(F.col("status")))
     third = store.ingest({"race_results": corrected}).first()
     assert (third.records_updated, third.records_skipped) == (1, 5)
     assert store.read("race_results").where("status = 'Lapped'").count() == 1
@@ -74,22 +74,22 @@ def test_other_seasons_stay(spark, event, tmp_path):
     store = RaceStore(spark, str(tmp_path / "store"))
     store.ingest(batch_of(event))
     later = {
-        "seasons": event.seasons.withColumn("season_year", F.lit(2025).cast("bigint")),
-        "races": event.races.withColumn("season_year", F.lit(2025).cast("bigint")),
-        "race_results": event.race_results.withColumn("season_year", F.lit(2025).cast("bigint")),
+        "seasons": event.seasons.withColumn("season_year", F.lit(2031).cast("bigint")),
+        "races": event.races.withColumn("season_year", F.lit(2031).cast("bigint")),
+        "race_results": event.race_results.withColumn("season_year", F.lit(2031).cast("bigint")),
     }
     store.ingest(later)
     by_season = {r.season_year: r["count"] for r in store.read("race_results").groupBy("season_year").count().collect()}
-    assert by_season == {2024: 6, 2025: 6}
+    assert by_season == {2030: 6, 2031: 6}
 
 
 def test_failure_is_logged_and_nothing_is_written(spark, event, tmp_path):
     store = RaceStore(spark, str(tmp_path / "store"))
-    with pytest.raises(DependencyError, match="races '2024/1' not found"):
+    with pytest.raises(DependencyError, match="races '2030/1' not found"):
         store.ingest({"drivers": event.drivers, "race_results": event.race_results})
     assert store.read("drivers").count() == 0
     log = {r.entity_type: r for r in store.log().collect()}
-    assert log["race_results"].status == "FAILED" and "2024/1" in log["race_results"].error_message
+    assert log["race_results"].status == "FAILED" and "2030/1" in log["race_results"].error_message
     assert log["drivers"].status == "ROLLED_BACK"
 
 
@@ -132,14 +132,14 @@ def test_rejects_are_kept_with_their_reason(spark, event, tmp_path):
 def test_a_hot_season_is_written_by_several_tasks(spark, event, tmp_path):
     store = RaceStore(spark, str(tmp_path / "store"))
     store.ingest(batch_of(event))
-    laps = spark.range(400_000).selectExpr("2024L season_year", "1 round", "'max' driver_id", "id + 100 lap_number", "1 position", "cast(rand(1) as string) time", "cast(id as int) time_millis")
+    laps = spark.range(400_000).selectExpr("2030L season_year", "1 round", "'max' driver_id", "id + 100 lap_number", "1 position", "cast(rand(1) as string) time", "cast(id as int) time_millis")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
     try:
         driver = event.drivers.limit(1).withColumn("driver_id", F.lit("max"))
         store.ingest({"drivers": driver, "lap_times": laps})
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    files = list((tmp_path / "store" / "lap_times" / "run=2" / "season_year=2024").glob("*.parquet"))
+    files = list((tmp_path / "store" / "lap_times" / "run=2" / "season_year=2030").glob("*.parquet"))
     assert len(files) > 1
     assert store.read("lap_times").count() == 400_000 + event.lap_times.count()
     store.vacuum()
@@ -159,12 +159,12 @@ def test_landing_round_trip(spark, event, tmp_path):
     land(event, landing)
     store = RaceStore(spark, str(tmp_path / "store"))
     with pytest.raises(ValueError):
-        store.ingest_landing(landing, 2024, 5, 1)
-    store.ingest_landing(landing, 2024, 1, 1)
+        store.ingest_landing(landing, 2030, 5, 1)
+    store.ingest_landing(landing, 2030, 1, 1)
     for name in ("race_results", "pit_stops", "driver_standings"):
         stored = store.read(name).drop("q1_time", "duration_text")
         assert stored.count() == event[name].count(), name
-    assert store.read("race_results").where("driver_id = 'perez'").first().time_millis == 5527199
+    assert store.read("race_results").where("driver_id = 'bea'").first().time_millis == 4011350
 
 
 def test_stream(spark, event, tmp_path):

@@ -88,3 +88,13 @@ def test_later_insights_are_not_evidence(spark):
     assert verdict(spark, "ann lost positions", *many, late).status == "ok"
     package = evidence.evidence_packages(spark.createDataFrame([*many, late], SCHEMA), ["pack"]).first()
     assert package.insights == 10
+
+
+def test_narratives_of_one_package_are_judged_one_by_one(spark):
+    facts = spark.createDataFrame([insight("c", "gained", excluded=0)], SCHEMA)
+    body = '{"narrative": "%s", "limitations": [], "evidence_references": []}'
+    told = [(1, 1, body % "all fine"), (1, 2, body % "ann lost positions"), (1, 3, body % "ann lost positions")]
+    rows = spark.createDataFrame(told, "pack int, n int, raw string")
+    for key in ("n", None):
+        found = evidence.check_narratives(rows, facts, ["pack"], narrative_id=key).collect()
+        assert sorted((r.narrative, r.status) for r in found) == [("all fine", "ok")] + [("ann lost positions", "unavailable")] * 2
