@@ -272,13 +272,13 @@ def preserved(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def is_idempotent(first_counts: DataFrame, second_counts: DataFrame, second_plan: DataFrame) -> DataFrame:
+def is_idempotent(first_counts: DataFrame, second_counts: DataFrame, second_stats: DataFrame) -> DataFrame:
     """Whether a second run inserted nothing and left every count as it was."""
-    inserted = second_plan.agg(
-        sum_if(F.col("action") == "inserted").alias("inserted"), F.lit(None).cast("boolean").alias("counts_equal")
+    inserted = second_stats.agg(
+        F.sum("records_inserted").alias("inserted"), F.lit(None).cast("boolean").alias("counts_equal")
     )
     kept = preserved(first_counts, second_counts).agg(
-        F.lit(None).cast("int").alias("inserted"), F.every("is_preserved").alias("counts_equal")
+        F.lit(None).cast("bigint").alias("inserted"), F.every("is_preserved").alias("counts_equal")
     )
     both = inserted.unionByName(kept).agg(
         F.max("inserted").alias("inserted"), F.every("counts_equal").alias("counts_equal")
