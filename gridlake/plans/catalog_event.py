@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlake.functions.scalars import attrition_class
 from gridlake.operators import event
 from gridlake.plans.views import plain
 from gridlake.sources.star import race_tables
@@ -43,6 +44,17 @@ _VIEWS = {
     "scan_lap_times": _scan("lap_times"),
     "scan_pit_stops": _scan("pit_stops", "time_of_day", "duration_text"),
     "list_races": lambda t: event.list_races(t).drop("url", "race_time"),
+    "existing_races": lambda t: event.existing_races(
+        t, t.races.select("season_year", (F.col("round") + 1).cast("int").alias("round"))
+    ),
+    "attrition_class": lambda t: t.race_results.select(
+        "season_year",
+        "round",
+        "driver_id",
+        attrition_class(
+            F.concat(F.lit(" "), F.lower("position_text"), F.lit(" ")), F.concat(F.upper("status"), F.lit("  "))
+        ).alias("state"),
+    ),
     "race_overview": event.race_overview,
     "race_results": event.race_results,
     "grid_vs_finish": event.grid_vs_finish,

@@ -48,6 +48,10 @@ def _position_changes(t: RaceTables) -> DataFrame:
     return t.race_results.withColumn("position_change", F.col("grid_position") - F.col("source_position"))
 
 
+ONE_DRIVER = "driver_000000000001"
+ONE_PAIR = ("driver_000000000003", "driver_000000000002")
+ONE_TEAM = "team_000000000000"
+
 _INSIGHTS = {
     "race_insights": insights.race_insights,
     "qualifying_mean_insights": lambda t: insights.qualifying_gap_insights(
@@ -71,6 +75,12 @@ _INSIGHTS = {
     "season_insights": insights.season_insights,
     "conversion_insights": insights.conversion_insights,
     "mixed_insights": lambda t: insights.scope_insights(t, "mixed"),
+    # Selections of one driver, pair or team.
+    "entity_insights": lambda t: insights.for_entities(insights.race_insights(t), driver_id=ONE_DRIVER),
+    "team_entity_insights": lambda t: insights.for_entities(insights.race_insights(t), constructor_id=ONE_TEAM),
+    "one_driver_insights": lambda t: insights.longitudinal_insights(t, driver_id=ONE_DRIVER),
+    "one_pair_insights": lambda t: insights.longitudinal_insights(t, drivers=ONE_PAIR),
+    "one_team_insights": lambda t: insights.longitudinal_insights(t, constructor_id=ONE_TEAM),
 }
 
 

@@ -40,8 +40,16 @@ def _qualifying_delta_stats(t: RaceTables) -> DataFrame:
     return rows.select(*_TEAM_PAIR, *stats_columns("stats", "delta"), _QUALITY)
 
 
-def _h2h_stats(t: RaceTables) -> DataFrame:
-    rows = statistics.teammate_delta_stats(event.teammate_deltas(t))
+ONE_TEAM = "team_000000000000"
+
+
+def _one_team_qualifying(t: RaceTables) -> DataFrame:
+    rows = statistics.qualifying_delta_stats(event.teammate_qualifying(t), ONE_TEAM)
+    return rows.select(*_TEAM_PAIR, *stats_columns("stats", "delta"), _QUALITY)
+
+
+def _h2h_stats(t: RaceTables, constructor_id: str | None = None) -> DataFrame:
+    rows = statistics.teammate_delta_stats(event.teammate_deltas(t), constructor_id)
     columns = [
         c for name in ("qualifying", "grid", "finish", "points") for c in stats_columns(f"{name}_delta", name)
     ]
@@ -188,6 +196,8 @@ _VIEWS = {
     "driver_season_lap_stats": _season_lap_stats,
     "qualifying_delta_stats": _qualifying_delta_stats,
     "h2h_stats": _h2h_stats,
+    "one_team_qualifying_stats": _one_team_qualifying,
+    "one_team_h2h_stats": lambda t: _h2h_stats(t, ONE_TEAM),
     "position_change_stats": _position_change_stats,
     "points_stats": _points_stats,
     "driver_profile": _driver_profile,

@@ -89,6 +89,21 @@ SQL = {
         "SELECT season_year, round, race_name, circuit_id, circuit_name, locality, country, "
         "CAST(race_date AS VARCHAR) AS race_date FROM races_t JOIN circuits_t USING (circuit_id)"
     ),
+    "existing_races": query(
+        "SELECT season_year, round FROM races_t r WHERE EXISTS (SELECT 1 FROM races_t q "
+        "WHERE q.season_year = r.season_year AND q.round = r.round - 1)"
+    ),
+    # Blanks and case of the source text do not matter.
+    "attrition_class": query(
+        """SELECT season_year, round, driver_id,
+        CASE WHEN lower(trim(status)) IN ('did not start', 'withdrawn', 'dns') OR upper(trim(position_text)) IN ('W', 'DNS')
+               THEN 'DNS'
+             WHEN lower(trim(status)) = 'disqualified' OR upper(trim(position_text)) = 'D' THEN 'DSQ'
+             WHEN lower(trim(status)) = 'retired' OR upper(trim(position_text)) = 'R' THEN 'DNF'
+             WHEN trim(position_text) <> '' OR lower(trim(status)) IN ('finished', 'lapped') OR starts_with(trim(status), '+')
+               THEN 'CLASSIFIED'
+             ELSE 'UNKNOWN_NON_CLASSIFIED' END AS state FROM race_results_t"""
+    ),
     "race_overview": query(
         """
         SELECT d.season_year, d.round, race_name, circuit_name, race_date,

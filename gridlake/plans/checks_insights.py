@@ -657,6 +657,17 @@ SQL = {
     "season_insights": query("SELECT * FROM season_insights_t"),
     "conversion_insights": query("SELECT * FROM conversion_insights_t"),
     "mixed_insights": query("SELECT * FROM race_insights_t UNION ALL SELECT * FROM season_insights_t"),
+    "entity_insights": query(
+        "SELECT * FROM race_insights_t WHERE subject_id = 'driver_000000000001' "
+        "OR comparison_subject_id = 'driver_000000000001'"
+    ),
+    "team_entity_insights": query("SELECT * FROM race_insights_t WHERE constructor_id = 'team_000000000000'"),
+    "one_driver_insights": query(f"SELECT * FROM ({union(*DRIVER_SEASON)}) WHERE subject_id = 'driver_000000000001'"),
+    "one_pair_insights": query(
+        f"SELECT * FROM ({union(*PAIR_SEASON)}) WHERE least(subject_id, comparison_subject_id) = 'driver_000000000002' "
+        "AND greatest(subject_id, comparison_subject_id) = 'driver_000000000003'"
+    ),
+    "one_team_insights": query(f"SELECT * FROM ({union(*TEAM_SEASON)}) WHERE subject_id = 'team_000000000000'"),
     "insight_counts": query(
         "SELECT rule_id, count(*) AS insights FROM (SELECT rule_id FROM season_insights_t UNION ALL "
         "SELECT rule_id FROM conversion_insights_t) GROUP BY rule_id"

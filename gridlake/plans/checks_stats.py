@@ -173,6 +173,18 @@ SQL = {
         {quality('coalesce(qualifying_delta_millis, grid_delta, finish_delta, points_delta)')}
         FROM teammate_deltas_t GROUP BY season_year, constructor_id"""
     ),
+    "one_team_qualifying_stats": query(
+        f"SELECT season_year, constructor_id, arg_min(driver_a_id, round) AS driver_a_id, "
+        f"arg_min(driver_b_id, round) AS driver_b_id, {stats('delta_millis', 'delta')}, {quality('delta_millis')} "
+        "FROM teammate_qualifying_t WHERE constructor_id = 'team_000000000000' GROUP BY season_year, constructor_id"
+    ),
+    "one_team_h2h_stats": query(
+        f"""SELECT season_year, constructor_id, arg_min(driver_a_id, round) AS driver_a_id,
+        arg_min(driver_b_id, round) AS driver_b_id, {stats('qualifying_delta_millis', 'qualifying')},
+        {stats('grid_delta', 'grid')}, {stats('finish_delta', 'finish')}, {stats('points_delta', 'points')},
+        {quality('coalesce(qualifying_delta_millis, grid_delta, finish_delta, points_delta)')}
+        FROM teammate_deltas_t WHERE constructor_id = 'team_000000000000' GROUP BY season_year, constructor_id"""
+    ),
     "position_change_stats": query(
         f"""SELECT season_year, driver_id, {stats('grid_position - source_position', 'change')},
         {quality('grid_position - source_position')},
