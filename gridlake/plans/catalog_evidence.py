@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.operators import evidence, insights, quality, rules, season, upsert
@@ -72,44 +72,60 @@ def _race_packages(t: RaceTables) -> DataFrame:
 
 
 def write_narratives(rows: DataFrame) -> DataFrame:
-    """One raw answer per season, from the season's first insights."""
+    """Two raw answers per season: one from the season's first insights, one that claims nothing.
+
+    The first repeats the insights of one season in four; the others twist what
+    they can: who was faster, who won how often, whether places were won or
+    lost, and who finished every race.
+    """
     season_year, number = F.col("season_year"), F.col("insight_no")
-    subject = F.col("subject_id")
+    subject, size = F.col("subject_id"), F.col("sample_size").cast("string")
+    turn = (season_year + number) % 3
+    rated = F.col("metric").isin("qualifying_win_rate", "race_win_rate")
     false_claim = (
         F.when(
-            (F.col("direction") == "faster"),
+            (F.col("direction") == "faster") & (turn == 0),
             F.concat(subject, F.lit(" was slower than "), F.col("comparison_subject_id")),
         )
+        .when(rated & (turn == 1), F.concat(subject, F.lit(" won 0 of "), size))
+        .when(rated, F.concat(subject, F.lit(" had a record of 0-"), size))
         .when(F.col("direction") == "gained", F.concat(subject, F.lit(" lost positions")))
         .when(F.col("direction") == "lost", F.concat(subject, F.lit(" gained positions")))
-        .when(F.col("metric") == "race_win_rate", F.concat(subject, F.lit(" won 0 of "), F.col("sample_size")))
-        .otherwise(F.concat(subject, F.lit(" finished all of them")))
+        .when((season_year % 4 == 3) & (number % 2 == 0), F.concat(subject, F.lit(" finished all of them")))
+        .otherwise("noted")
     )
-    sentence = F.when((season_year + number) % 7 == 0, false_claim).otherwise(F.col("explanation"))
+    sentence = F.when(season_year % 4 == 0, F.col("explanation")).otherwise(false_claim)
     told = (
         evidence.numbered(rows, _PACKAGE)
         .groupBy(*_PACKAGE)
         .agg(F.array_sort(F.collect_list(F.struct("insight_no", sentence.alias("s")))).getField("s").alias("s"))
     )
-    body = F.struct(
-        F.array_join("s", " ").alias("narrative"),
-        F.when(season_year % 13 != 2, F.array(F.lit("observed rounds only"))).alias("limitations"),
-        F.array(F.lit("season")).alias("evidence_references"),
-    )
-    json = F.to_json(body)
+
+    def body(text: Column, limitations: Column) -> Column:
+        return F.to_json(
+            F.struct(text.alias("narrative"), limitations.alias("limitations"), F.array(F.lit("season")).alias("evidence_references"))
+        )
+
+    observed = F.array(F.lit("observed rounds only"))
+    json = body(F.array_join("s", " "), F.when(season_year % 13 != 2, observed))
     raw = (
         F.when(season_year % 11 == 1, F.concat(F.lit("Answer: "), json))
         .when(season_year % 17 == 3, F.lit("  "))
         .when(season_year % 5 == 0, F.concat(F.lit("```json\n"), json, F.lit("\n```")))
         .otherwise(json)
     )
-    return told.select("season_year", raw.alias("raw"))
+    answers = F.array(
+        F.struct(F.lit(1).alias("narrative_no"), raw.alias("raw")),
+        F.struct(F.lit(2).alias("narrative_no"), body(F.lit("A season of many stories."), observed).alias("raw")),
+    )
+    return told.select("season_year", F.inline(answers))
 
 
 def _narrative_checks(t: RaceTables) -> DataFrame:
     rows = _season_package(t)
-    return evidence.check_narratives(write_narratives(rows), rows, _PACKAGE).select(
+    return evidence.check_narratives(write_narratives(rows), rows, _PACKAGE, narrative_id="narrative_no").select(
         "season_year",
+        "narrative_no",
         "status",
         "reason",
         "contradicted_insight",

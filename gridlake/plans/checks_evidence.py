@@ -15,21 +15,26 @@ cte(
     "told_t",
     """
     SELECT season_year, string_agg(sentence, ' ' ORDER BY n) AS narrative FROM (
-      SELECT season_year, n, CASE WHEN (season_year + n) % 7 <> 0 THEN explanation
-             WHEN direction = 'faster' THEN subject_id || ' was slower than ' || comparison_subject_id
+      SELECT season_year, n, CASE WHEN season_year % 4 = 0 THEN explanation
+             WHEN direction = 'faster' AND (season_year + n) % 3 = 0
+               THEN subject_id || ' was slower than ' || comparison_subject_id
+             WHEN metric IN ('qualifying_win_rate', 'race_win_rate') AND (season_year + n) % 3 = 1
+               THEN subject_id || ' won 0 of ' || sample_size
+             WHEN metric IN ('qualifying_win_rate', 'race_win_rate') THEN subject_id || ' had a record of 0-' || sample_size
              WHEN direction = 'gained' THEN subject_id || ' lost positions'
              WHEN direction = 'lost' THEN subject_id || ' gained positions'
-             WHEN metric = 'race_win_rate' THEN subject_id || ' won 0 of ' || sample_size
-             ELSE subject_id || ' finished all of them' END AS sentence
+             WHEN season_year % 4 = 3 AND n % 2 = 0 THEN subject_id || ' finished all of them'
+             ELSE 'noted' END AS sentence
       FROM numbered_t WHERE n <= 10) GROUP BY season_year""",
 )
 cte(
     "form_t",
     """
-    SELECT season_year, narrative, CASE WHEN season_year % 11 = 1 THEN 'not valid JSON'
+    SELECT season_year, 1 AS narrative_no, narrative, CASE WHEN season_year % 11 = 1 THEN 'not valid JSON'
            WHEN season_year % 17 = 3 THEN 'empty response'
            WHEN season_year % 13 = 2 THEN 'limitations is not a list' END AS problem
-    FROM told_t""",
+    FROM told_t
+    UNION ALL SELECT season_year, 2, 'A season of many stories.', NULL FROM told_t""",
 )
 _B = "'\\b\\Q' || lower({0}) || '\\E\\b'"
 
@@ -56,7 +61,7 @@ _RECORD = "metric IN ('qualifying_win_rate', 'race_win_rate')"
 cte(
     "contradictions_t",
     f"""
-    SELECT season_year, n, insight_id, CASE
+    SELECT season_year, narrative_no, n, insight_id, CASE
       WHEN direction = 'faster' AND {_says('slower|deficit|behind', "'.*?' || " + _B.format('comparison_subject_id'))}
         THEN 'says slower, evidence says faster'
       WHEN direction = 'gained' AND {_says('lost positions|dropped positions|lost ground')}
@@ -75,14 +80,14 @@ cte(
           regexp_extract_all(lower(narrative), '\\bacross\\s+(\\d+)\\s+valid finishes\\b', 1),
           lambda f: CAST(f AS BIGINT) <> sample_size)) > 0
         THEN 'states a wrong number of finishes' END AS reason
-    FROM (SELECT season_year, narrative FROM form_t WHERE problem IS NULL)
+    FROM (SELECT season_year, narrative_no, narrative FROM form_t WHERE problem IS NULL)
     JOIN (SELECT * FROM numbered_t WHERE n <= 10) USING (season_year)""",
 )
 cte(
     "first_wrong_t",
     """
-    SELECT season_year, arg_min(reason, n) AS reason, arg_min(insight_id, n) AS insight_id
-    FROM contradictions_t WHERE reason IS NOT NULL GROUP BY season_year""",
+    SELECT season_year, narrative_no, arg_min(reason, n) AS reason, arg_min(insight_id, n) AS insight_id
+    FROM contradictions_t WHERE reason IS NOT NULL GROUP BY season_year, narrative_no""",
 )
 cte("results_16_t", "SELECT * FROM race_results_t WHERE round <= 16")
 
@@ -194,11 +199,11 @@ SQL = {
         'race' AS scope FROM race_insights_t GROUP BY season_year, round_num"""
     ),
     "narrative_checks": query(
-        """SELECT season_year, CASE WHEN coalesce(problem, w.reason) IS NULL THEN 'ok' ELSE 'unavailable' END AS status,
+        """SELECT season_year, narrative_no, CASE WHEN coalesce(problem, w.reason) IS NULL THEN 'ok' ELSE 'unavailable' END AS status,
         coalesce(problem, w.reason) AS reason, w.insight_id AS contradicted_insight,
         CASE WHEN problem IS NULL OR problem LIKE 'limitations%' THEN narrative END AS narrative,
         CASE WHEN problem IS NULL OR problem LIKE 'limitations%' THEN 'season' END AS evidence_references
-        FROM form_t LEFT JOIN first_wrong_t w USING (season_year)"""
+        FROM form_t LEFT JOIN first_wrong_t w USING (season_year, narrative_no)"""
     ),
     "rule_registry": query(
         f"SELECT rule_id, category, metric, min_sample_size, coalesce(insights, 0) AS insights "
