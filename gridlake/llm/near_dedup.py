@@ -9,10 +9,11 @@ k-mers and their order do.
 Texts that are equal go together first, by digest; what follows works on one
 document of each distinct text.  Documents with an equal sketch are candidates:
 all pairs of a bucket of up to ``SMALL`` documents; in a larger one each
-document with the bucket's smallest id and with ``RING`` neighbours in a random
-order, so that the pairs grow in proportion to the documents.  Larger buckets
-whose documents are not in one class yet then get rounds of new neighbours,
-until a round adds no link.
+document with the bucket's smallest id.  Larger buckets whose documents are not in one class yet then get rounds:
+each document meets ``RING`` neighbours on either side, in a new random order,
+that are of other classes and share ``SHARED`` of all sketches, until a round
+adds no link.  So the pairs grow in proportion to the documents, not to a
+group's square.
 
 A pair is linked if its similarity is at least 0.8: the distinct five-word
 shingles inside runs of the alignment, over those of both texts.  The alignment
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -46,7 +48,8 @@ SIMILARITY = 0.8
 SKETCHES = 24
 PICKED = 4
 SMALL = 32
-RING = 6
+RING = 2
+SHARED = 4
 BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * _B) ^ _A
@@ -200,22 +203,27 @@ def sketched(documents: DataFrame) -> DataFrame:
 
 
 def _neighbours(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of rows (bucket, size, doc): all in a small bucket, neighbours in a random order in a larger one."""
+    """Pairs of rows (bucket, size, doc, label, sketches) of different labels.
+
+    All pairs of a small bucket; in a larger one neighbours in a random order
+    that share at least ``SHARED`` of their sketches.
+    """
     spark = rows.sparkSession
     part = F.when(F.col("size") <= SMALL, 0).otherwise(F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("size") / 1000)))
     rows = rows.withColumn("part", part.cast("int")).withColumn("spot", F.xxhash64("doc", "bucket", F.lit(turn)))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "part")
-    rows = rows.sortWithinPartitions("bucket", "part", "spot").select("bucket", "part", "size", "doc")
+    rows = rows.sortWithinPartitions("bucket", "part", "spot").select("bucket", "part", "size", "doc", "label", "sketches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
             key, held = None, []
-            for bucket, part, size, doc in rows_of(batches):
+            for bucket, part, size, doc, label, own in rows_of(batches):
                 if (bucket, part) != key:
                     key, held = (bucket, part), []
-                for other in held:
-                    yield min(doc, other), max(doc, other)
-                held.append(doc)
+                for other, its, theirs in held:
+                    if its != label and (own is None or sum(map(eq, own, theirs)) >= SHARED):
+                        yield min(doc, other), max(doc, other)
+                held.append((doc, label, own))
                 if len(held) > (SMALL if size <= SMALL else RING):
                     del held[0]
 
@@ -259,29 +267,28 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     firsts = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     known = firsts.filter("first is not null").select(F.col("first").alias("doc_id"))
     distinct = rows.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sketches = distinct.select(F.col("doc_id").alias("doc"), F.explode("sketches").alias("bucket"))
-    sketches = written(sketches, "sketches")
+    distinct = written(distinct.select(F.col("doc_id").alias("doc"), "sketches"), "distinct")
+    sketches = distinct.select("doc", F.explode("sketches").alias("bucket"))
     sizes = sketches.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc").alias("hub")).filter("size > 1")
     members = written(sketches.join(sizes, "bucket"), "members")
 
     large = F.col("size") > SMALL
-    pairs = _neighbours(members, 0).unionByName(members.filter(large).select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    none = F.lit(None).cast("array<bigint>").alias("sketches")
+    small = members.filter(~large).select("bucket", "size", "doc", F.col("doc").alias("label"), none)
+    pairs = _neighbours(small, 0).unionByName(members.filter(large).select(F.col("hub").alias("a"), F.col("doc").alias("b")))
     links = _verified(pairs, documents, least)
     labels = components(links)
-    turn, members = 1, written(members.filter(large), "large_members")
+    turn, members = 1, written(members.filter(large).select("bucket", "size", "doc").join(distinct, "doc"), "large_members")
     while not members.isEmpty():
         named = members.join(labels, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
+        named = named.select("bucket", "size", "doc", "label", "sketches")
         mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        members = written(members.join(mixed, "bucket", "left_semi"), "large_members")
-        named = named.select(F.col("doc").alias("n"), F.col("label")).distinct()
-        tried = _neighbours(members, turn).distinct()
-        tried = tried.join(named.select(F.col("n").alias("a"), F.col("label").alias("of_a")), "a")
-        tried = tried.join(named.select(F.col("n").alias("b"), F.col("label").alias("of_b")), "b").filter("of_a <> of_b")
-        more = _verified(tried.select("a", "b"), documents, least)
+        named = written(named.join(mixed, "bucket", "left_semi"), "large_members")
+        more = _verified(_neighbours(named, turn), documents, least)
         if more.isEmpty():
             break
         links = written(links.unionByName(more), "verified")
-        labels, turn = components(links), turn + 1
+        labels, members, turn = components(links), named.drop("label"), turn + 1
 
     classes = firsts.join(labels, F.col("first") == F.col("node"), "left")
     classes = classes.select("digest", F.coalesce("label", "first").alias("class_id"))

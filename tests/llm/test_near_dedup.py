@@ -93,3 +93,19 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 300), (300, 200)], "a long, b long")
     found = {r.node: r.label for r in components(links).collect()}
     assert found == {**{k: 0 for k in range(101)}, 200: 200, 300: 200}
+
+
+def test_a_large_group_costs_pairs_in_proportion(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(2000)}" for _ in range(200)]
+    passage = [f"p{rng.randrange(2000)}" for _ in range(60)]
+    texts = [" ".join(edited(rng, base, 1)) for _ in range(400)]
+    texts += [" ".join([f"v{rng.randrange(2000)}" for _ in range(60)] + passage) for _ in range(200)]
+    seen = []
+    verified = nd._verified
+    monkeypatch.setattr(nd, "_verified", lambda pairs, *rest: (seen.append(pairs.distinct().count()), verified(pairs, *rest))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()}
+    assert {found[k] for k in range(400)} == {0}
+    assert all(found[k] == k for k in range(400, 600))
+    assert sum(seen) < 30 * len(texts)
