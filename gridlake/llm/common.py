@@ -47,9 +47,10 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples."""
+    """Rows of Arrow batches as tuples, a few hundred at a time in Python's own form."""
     for batch in batches:
-        yield from zip(*(column.to_pylist() for column in batch.columns))
+        for at in range(0, batch.num_rows, 500):
+            yield from zip(*(column.to_pylist() for column in batch.slice(at, 500).columns))
 
 
 def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, limit_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
