@@ -12,15 +12,20 @@ all pairs of a bucket of up to ``SMALL`` documents; in a larger one each
 document with the bucket's smallest id.  Larger buckets whose documents are not in one class yet then get rounds:
 each document meets ``RING`` neighbours on either side, in a new random order,
 that are of other classes and share ``SHARED`` of all sketches, until a round
-adds no link.  So the pairs grow in proportion to the documents, not to a
-group's square.
+adds no link.  The rounds only bring large classes together cheaply.  What they
+leave is finished exactly: the documents of larger buckets that still hold
+several classes are joined on the rarest shingles of each, as many as a
+partner of the wanted similarity can't all lack.  A pair is made only if the
+places of the shared shingle in both, counted from the rarest, allow the
+similarity, so documents that have only a common passage make no pairs.
 
 A pair is linked if its similarity is at least 0.8: the distinct five-word
 shingles inside runs of the alignment, over those of both texts.  The alignment
 is the one of fewest word insertions and deletions; it is looked for in the
 band that a similarity of 0.8 leaves, counting repeated shingles.  Classes are the connected components.
 
-Two texts of exactly 0.8 share none of the sketches with probability 3e-6.
+Two texts of exactly 0.8 share none of the sketches with probability 3e-6;
+every other pair is compared or already in one class.
 
 Defined results for odd input: null and empty texts are equal texts, as are all
 repeated rows; a text without words has no sketches and only equal texts as
@@ -32,12 +37,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from operator import eq
+from itertools import groupby
+from operator import eq, itemgetter
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import batched, rows_of, text_or_empty, words, written
@@ -232,10 +238,8 @@ def _neighbours(rows: DataFrame, turn: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    pairs = written(pairs.filter("a < b").distinct(), "pairs")
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair_ids")
+def _codes(documents: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """doc_id and word codes of the documents with these ids."""
     # Few ids are sent to every task; more are joined by shuffle.
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(few, "doc_id", "left_semi")
@@ -244,7 +248,59 @@ def _verified(pairs: DataFrame, documents: DataFrame, least: float) -> DataFrame
         rows = ((doc, word_codes(text).tobytes()) for doc, text in rows_of(batches))
         yield from batched(rows, pa.schema([("doc_id", pa.int64()), ("codes", pa.binary())]))
 
-    codes = written(texts.mapInArrow(code, "doc_id long, codes binary"), "pair_codes").dropDuplicates(["doc_id"])
+    return written(texts.mapInArrow(code, "doc_id long, codes binary"), name).dropDuplicates(["doc_id"])
+
+
+def _prefixes(ids: DataFrame, documents: DataFrame, least: float) -> DataFrame:
+    """Rows (gram, doc, place, n): the rarest shingles of each document that others have too.
+
+    A partner has at least ``least`` of a document's n shingles, so it has one
+    of the n - ceil(least * n) + 1 rarest; ``place`` counts from the rarest.
+    """
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, codes in rows_of(batches):
+            own = np.unique(shingles(np.frombuffer(codes, np.uint32))).view(np.int64)
+            for at in range(0, len(own), 50_000):
+                part = own[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(own)))], names=["gram", "doc", "n"]
+                )
+
+    found = written(_codes(documents, ids, "large_codes").mapInArrow(grams, "gram long, doc long, n long"), "grams")
+    shared = found.join(found.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "gram")
+    last = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("gram")))
+    rows = shared.withColumn("last", last).filter(F.col("last") >= F.ceil(least * F.col("n") - 1e-9))
+    return written(rows.select("gram", "doc", (F.col("n") - F.col("last")).alias("place"), "n"), "prefixes")
+
+
+def _overlapping(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs of rows (gram, doc, label, place, n) of one gram and different labels that can be similar enough.
+
+    If the gram is a pair's first common one, the pair has in common at most
+    what follows in either, and all that comes before differs.
+    """
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")
+    rows = rows.sortWithinPartitions("gram", "place").select("gram", "doc", "label", "place", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in groupby(rows_of(batches), itemgetter(0)):
+            doc, label, place, n = np.array([x[1:] for x in held], np.int64).T
+            for k in range(1, len(doc)):
+                after, others = n[k] - place[k], n[:k] - place[:k]
+                either = place[k] + place[:k] + np.maximum(after, others)
+                near = doc[:k][(np.minimum(after, others) >= least * either - 1e-6) & (label[:k] != label[k])]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, doc[k])), pa.array(np.maximum(near, doc[k]))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough."""
+    pairs = written(pairs.filter("a < b").distinct(), "pairs")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair_ids")
+    codes = _codes(documents, ids, "pair_codes")
     left = codes.select(F.col("doc_id").alias("a"), F.col("codes").alias("left"))
     right = codes.select(F.col("doc_id").alias("b"), F.col("codes").alias("right"))
 
@@ -261,6 +317,17 @@ def _verified(pairs: DataFrame, documents: DataFrame, least: float) -> DataFrame
     return written(joined.mapInArrow(verify, "a long, b long, similarity double"), "verified")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds to rows with a column doc the label of its class."""
+    return rows.join(labels, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc")).drop("node")
+
+
+def _of_many(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys with more than one label."""
+    mixed = rows.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return rows.join(mixed, key, "left_semi")
+
+
 def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Per document row: doc_id and class_id, the smallest doc_id of its class."""
     rows = sketched(documents)
@@ -279,17 +346,30 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     links = _verified(pairs, documents, least)
     labels = components(links)
     turn, members = 1, written(members.filter(large).select("bucket", "size", "doc").join(distinct, "doc"), "large_members")
+    left = None
     while not members.isEmpty():
-        named = members.join(labels, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
-        named = named.select("bucket", "size", "doc", "label", "sketches")
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        named = written(named.join(mixed, "bucket", "left_semi"), "large_members")
+        named = _labelled(members, labels).select("bucket", "size", "doc", "label", "sketches")
+        named = left = written(_of_many(named, "bucket"), "large_members")
         more = _verified(_neighbours(named, turn), documents, least)
         if more.isEmpty():
             break
         links = written(links.unionByName(more), "verified")
         labels, members, turn = components(links), named.drop("label"), turn + 1
 
+    if left is not None and not members.isEmpty():
+        # Each large gram's document with the fewest rarer shingles first, so that few classes are left for all pairs.
+        prefixes = _prefixes(left.select(F.col("doc").alias("doc_id")).distinct(), documents, least)
+        grams = prefixes.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("place", "doc")).alias("hub"))
+        prefixes = written(prefixes.join(grams.filter("size > 1"), "gram"), "prefixes")
+        small = _overlapping(_of_many(_labelled(prefixes.filter(~large), labels), "gram"), least)
+        hubs = prefixes.filter(large).select(F.least("hub.doc", "doc").alias("a"), F.greatest("hub.doc", "doc").alias("b"))
+        links = written(links.unionByName(_verified(small.unionByName(hubs), documents, least)), "verified")
+        labels = components(links)
+        rest = written(_of_many(_labelled(prefixes.filter(large), labels), "gram"), "prefixes")
+        if not rest.isEmpty():
+            links = written(links.unionByName(_verified(_overlapping(rest, least), documents, least)), "verified")
+            labels = components(links)
+
     classes = firsts.join(labels, F.col("first") == F.col("node"), "left")
     classes = classes.select("digest", F.coalesce("label", "first").alias("class_id"))
     return rows.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")

@@ -109,3 +109,21 @@ def test_a_large_group_costs_pairs_in_proportion(spark, monkeypatch):
     assert {found[k] for k in range(400)} == {0}
     assert all(found[k] == k for k in range(400, 600))
     assert sum(seen) < 30 * len(texts)
+
+
+@pytest.mark.parametrize("own, extra", [(52, 44), (60, 48)])
+def test_pairs_inside_a_group_with_a_long_common_passage(spark, own, extra):
+    """Nearly all sketches that a planted pair shares lie in the passage, hence in large buckets."""
+    fresh = (f"u{k}" for k in range(10**6))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    passage = some(400)
+    texts = [passage + some(own) for _ in range(240)]
+    for _ in range(40):
+        both = some(12)
+        texts += [passage + both + some(extra), passage + both + some(extra)]
+    codes = [nd.word_codes(" ".join(t)) for t in texts]
+    assert nd.similarity(codes[240], codes[241]) >= nd.SIMILARITY
+    assert not any(nd.similarity(codes[k], codes[240]) for k in (0, 242))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()}
+    assert found == {k: k if k < 240 else k - k % 2 for k in range(len(texts))}
