@@ -15,15 +15,19 @@ more than ``MOST_WORDS`` words in all is scanned in several parts.
 
 Defined results for odd input: null and empty texts have no matches; a template
 without words is ignored; repeated rows are reported again; a template that
-occurs several times is reported for each place; further columns are ignored.
+occurs several times is reported for each place; a match with gaps or missing
+words is left out where another template of the same part matches all its words
+and more, or has fewer left over (versions of one license); a header inside a whole text is reported too; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,45 +43,8 @@ MOST_WORDS = 2_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-# License notices and texts to look for, by name.
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
-        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
-        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
-        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
-        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
-        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
-        "DEALINGS IN THE SOFTWARE."
-    ),
-    "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
-        'IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
-        "WARRANTIES OF MERCHANTABILITY AND FITNESS."
-    ),
-    "apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
-        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
-        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
-        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
-        "specific language governing permissions and limitations under the License."
-    ),
-    "gpl-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
-        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
-    ),
-}
+# License texts, headers and notices to look for, by name; read by the driver only.
+TEMPLATES: dict[str, str] = json.loads(Path(__file__).with_name("licenses.json").read_text(encoding="utf-8"))
 
 
 def winnow(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +107,16 @@ def aligned_words(template: list[bytes], region: list[bytes], band: int) -> list
     return pairs[::-1]
 
 
+def _verbatim(template: list[bytes], region: list[bytes]) -> list[tuple[int, int]]:
+    """The pairs where the whole template stands in the region once, else none."""
+    whole, part = b" %b " % b" ".join(region), b" %b " % b" ".join(template)
+    at = whole.find(part)
+    if at < 0 or whole.find(part, at + 1) >= 0:
+        return []
+    first = whole.count(b" ", 0, at)
+    return [(k, first + k) for k in range(len(template))]
+
+
 class TemplateIndex:
     """Inverted index of the templates' fingerprints."""
 
@@ -206,14 +183,16 @@ class TemplateIndex:
         regions = self.regions(found) if found else []
         if not regions:
             return []
-        offsets, out, seen = None, [], set()
+        offsets, out, places, seen = None, [], [], set()
         for template, first, last in regions:
             wanted, slack = self.words[template], self.slack(template)
             begin = first - slack
             band = (last - begin + slack) // 2 + 1
             # A template cut off at the text's start begins before it.
             region = [b""] * max(0, -begin) + found[max(0, begin) : max(0, begin + len(wanted) + 2 * band)]
-            pairs = aligned_words(wanted, region, band)
+            if sum((Counter(wanted) & Counter(region)).values()) < self.coverage * len(wanted):
+                continue
+            pairs = _verbatim(wanted, region) or aligned_words(wanted, region, band)
             if len(pairs) < self.coverage * len(wanted):
                 continue
             key = (template, begin + pairs[0][1], begin + pairs[-1][1])
@@ -231,6 +210,15 @@ class TemplateIndex:
                     spans.append([start, end])
                 previous = word
             out.append((self.names[template], len(pairs) / len(wanted), len(pairs), [tuple(s) for s in spans]))
+            places.append({begin + word for _, word in pairs})
+        # A match with gaps or words missing, of which another template matches every word and has fewer left, is that other license.
+        out = [
+            m
+            for m, own in zip(out, places)
+            if (m[1] == 1 and len(m[3]) == 1) or not any(
+                other > own or other == own and n[1] > m[1] for n, other in zip(out, places) if n[0] != m[0]
+            )
+        ]
         return sorted(out, key=lambda m: (m[3][0], m[0]))
 
 

@@ -65,3 +65,17 @@ def test_templates_in_parts_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(li, "MOST_WORDS", 50)
     assert sorted(map(str, li.scan(docs).collect())) == whole
     assert len(whole) == 3
+
+
+def test_common_licenses_are_found_whole():
+    wanted = "bsd-2-clause bsd-3-clause lgpl-2.1 lgpl-3.0 mpl-2.0 unlicense cc0-1.0 apache-2.0 gpl-2.0 gpl-3.0 boost-1.0 agpl-3.0-header isc".split()
+    index = li.TemplateIndex(sorted(li.TEMPLATES.items()), li.COVERAGE)
+    for name in wanted:
+        text = "Some words before. " + li.TEMPLATES[name]
+        found = {n: (share, spans) for n, share, _, spans in index.matches(text)}
+        assert found[name][0] == 1
+    assert li.TEMPLATES["isc"].endswith("PERFORMANCE OF THIS SOFTWARE.")
+    assert "You should have received a copy" in li.TEMPLATES["gpl-3.0-header"]
+    # A text is not taken for another license whose words it nearly holds.
+    for name in ("bsd-2-clause", "bsd-3-clause", "gpl-3.0-header", "agpl-3.0-header", "gpl-2.0-header", "lgpl-2.1-header"):
+        assert {n for n, *_ in index.matches(li.TEMPLATES[name])} == {name}
