@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridlake.llm import (
     checks,
     decontaminate,
+    exact_dedup,
     fingerprint,
     html_extract,
     licenses,
@@ -81,6 +82,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_licenses": op10_licenses,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
-SQL = {"op1_decontaminate": checks.DECONTAMINATE, "op9_mix": checks.MIX}
+SQL = {"op1_decontaminate": checks.DECONTAMINATE, "op9_mix": checks.MIX, "op13_exact_dedup": checks.EXACT_DEDUP}
