@@ -19,6 +19,7 @@ from gridlake.llm import (
     secret_scan,
     token_counts,
     token_files,
+    whitening,
 )
 from gridlake.llm.common import read
 
@@ -82,6 +83,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_licenses": op10_licenses,
+    "op11_whitening": op11_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
