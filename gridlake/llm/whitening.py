@@ -129,8 +129,8 @@ def summed_block(
 
     ddl = ", ".join(["dim int", *(f"c{k} double" for k in range(block))])
     parts = fit.select("x").mapInArrow(run, ddl)
-    sums = parts.groupBy("dim").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(block))).orderBy("dim").collect()
-    return np.array([r[1:] for r in sums])
+    sums = parts.groupBy("dim").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(block))).collect()
+    return np.array([r[1:] for r in sorted(sums)])
 
 
 @dataclass
