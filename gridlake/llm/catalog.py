@@ -17,6 +17,7 @@ from gridlake.llm import (
     near_dedup,
     quality,
     secret_scan,
+    token_alignment,
     token_counts,
     token_files,
     whitening,
@@ -87,6 +88,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.alignment_scores(read(spark, sf_dir, "documents"), *paths)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -103,6 +109,7 @@ QUERIES = {
     "op9_mix": op9_mix,
     "op10_licenses": op10_licenses,
     "op11_whitening": op11_whitening,
+    "op12_token_alignment": op12_token_alignment,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
