@@ -45,7 +45,7 @@ from gridlake.llm.sparse import Csr
 from gridlake.llm.token_files import WordEncoder
 
 BROADCAST_PAIRS = 1_000_000
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 _BATCH_BYTES = 1 << 20
 _MARK = "▁"
 _SEGMENT = re.compile(f"{_MARK}+[^{_MARK}\n]*|[^{_MARK}\n]+|\n")
@@ -58,6 +58,7 @@ class ByteTokens:
         self.words = WordEncoder(path, kept)
         self.words.tokenizer.encode_special_tokens = True
         self.words.special = []
+        self.first = len(self.words.ids("x"))
         size = self.words.tokenizer.get_vocab_size()
         # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -67,7 +68,9 @@ class ByteTokens:
         self.bytes = [bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode() for s in spelled]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, "<u4").astype(np.int64) for ids in self.words([" " + t for t in texts])]
+        # Tokens never go on over the white space after a character, so the first tokens are those of the x alone,
+        # and every word of the text is one after a space.
+        return [np.frombuffer(ids, "<u4")[self.first :].astype(np.int64) for ids in self.words(["x " + t for t in texts])]
 
 
 class PieceTokens:
@@ -117,6 +120,108 @@ class PieceTokens:
             yield from ((s, ids[a + 1 : b].tobytes()) for s, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
 
+class Segments:
+    """Ids of both tokenizers for the segments of texts, each found once while it is kept.
+
+    In texts whose white space is spaces and line ends, both tokenizers end a
+    token before each run of white space, and around a single line end between
+    characters.  A segment is a word with the space before it, such a line end, a word
+    after one, or a longer run of white space with the word after it.  Many are encoded at once, and
+    the tokens are dealt out by their bytes; where those differ from the text, each is encoded by itself.
+    """
+
+    PATTERN = re.compile(r" ?\S+|(?<=\S)\n(?=\S)|[ \n]+\S*")
+    IRREGULAR = re.compile(rf"[^\S \n]|{_MARK}")
+    TOGETHER = 500
+
+    def __init__(self, a: ByteTokens, b: PieceTokens, kept: int):
+        self.kept = kept
+        tokenizer, model = a.words.tokenizer, b.model
+        self.sides = (
+            (lambda text: tokenizer.encode(text, add_special_tokens=False).ids, a.bytes, np.array([len(x) for x in a.bytes])),
+            # After a line end the model adds no space of its own.
+            (lambda text: model.encode("\n" + text)[2:], b.bytes, np.array([len(x) for x in b.bytes])),
+        )
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.pools = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.good = np.zeros(0, bool)
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides for each text; none where a side spells other bytes than the text."""
+        if len(self.slots) > self.kept or sum(map(len, self.pools)) > 16 * self.kept:
+            self._clear()
+        cut = [self.PATTERN.findall(" " + t) for t in texts]
+        flat = [s for segments in cut for s in segments]
+        found = list(map(self.slots.get, flat))
+        if None in found:
+            self._add(list(dict.fromkeys(s for s, k in zip(flat, found) if k is None)))
+            found = list(map(self.slots.__getitem__, flat))
+        slots = np.array(found, np.int64)
+        bounds = np.cumsum([0, *map(len, cut)])
+        good = np.concatenate([[0], np.cumsum(~self.good[slots])])[bounds]
+        good = good[1:] == good[:-1]
+        parts = []
+        for pool, ends in zip(self.pools, self.ends):
+            starts, sizes = ends[slots], ends[slots + 1] - ends[slots]
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            whole = pool[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], sizes)]
+            parts.append(np.split(whole, upto[bounds[1:-1]]))
+        none = np.zeros(0, np.int64)
+        return [(a, b) if ok else (none, none) for a, b, ok in zip(*parts, good)] if texts else []
+
+    def _add(self, segments: list[str]) -> None:
+        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for s in segments:
+            kinds[2 if "\n" in s or s[:2] in (" ", "  ") else 0 if s[0] == " " else 1].append(s)
+        segments = [s for kind in kinds for s in kind]
+        good = np.ones(len(segments), bool)
+        lengths = [np.array([len(s.encode()) for s in kind], np.int64) for kind in kinds]
+        for side, (encode, spelled, sizes) in enumerate(self.sides):
+            ids, counts, done = [self.pools[side]], [], 0
+            for kind, glue, length in zip(kinds, ("", "\n", None), lengths):
+                for at in range(0, len(kind), self.TOGETHER):
+                    some = kind[at : at + self.TOGETHER]
+                    together = None if glue is None else self._together(some, glue, length[at : at + self.TOGETHER], encode, spelled, sizes)
+                    if together:
+                        ids.append(together[0])
+                        counts.append(together[1])
+                    else:
+                        alone = [np.array(encode(s), np.int64) for s in some]
+                        ids += alone
+                        counts.append(np.array([len(x) for x in alone], np.int64))
+                        held = slice(done, done + len(some))
+                        good[held] &= [b"".join([spelled[k] for k in x.tolist()]) == s.encode() for x, s in zip(alone, some)]
+                    done += len(some)
+            self.pools[side] = np.concatenate(ids)
+            self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + np.cumsum(np.concatenate(counts))])
+        self.slots.update(zip(segments, range(len(self.slots), len(self.slots) + len(segments))))
+        self.good = np.concatenate([self.good, good])
+
+    @staticmethod
+    def _together(
+        segments: list[str], glue: str, lengths: np.ndarray, encode, spelled: list[bytes], sizes: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray] | None:
+        """The segments' ids from one call and their counts, None where tokens don't end where the segments do."""
+        raw = glue.join(segments)
+        listed = encode(raw)
+        if b"".join([spelled[k] for k in listed]) != raw.encode():
+            return None
+        ids = np.array(listed, np.int64)
+        ends = np.cumsum(lengths + len(glue)) - len(glue)
+        token_ends = np.cumsum(sizes[ids])
+        last = np.searchsorted(token_ends, ends)
+        first = np.searchsorted(token_ends, ends - lengths, side="right")
+        if (token_ends[last] != ends).any() or (np.concatenate([[0], token_ends])[first] != ends - lengths).any():
+            return None
+        if glue:  # a line end's token stands before each segment but the first
+            ids = np.delete(ids, first[1:] - 1)
+        return ids, last + 1 - first
+
+
 @dataclass
 class Batch:
     """Aligned tokens of some texts on one byte axis; texts without tokens take no place on it."""
@@ -160,9 +265,10 @@ class Aligner:
     """The two tokenizers of a worker and what is derived from their vocabularies."""
 
     def __init__(self, path_a: str, path_b: str, kept: int = CACHED_WORDS):
-        self.a, self.b = ByteTokens(path_a, kept), PieceTokens(path_b, kept)
+        self.a, self.b = ByteTokens(path_a, kept // 4), PieceTokens(path_b, kept // 4)
         self.sizes_a = np.array([len(x) for x in self.a.bytes])
         self.sizes_b = np.array([len(x) for x in self.b.bytes])
+        self.segments = Segments(self.a, self.b, kept)
         most = max(len(self.sizes_a), len(self.sizes_b))
         # Every id as text, after each of the signs that may stand before it.
         self.numbers = np.array([sign + str(k) for sign in ("", ";", ",", "|") for k in range(most)], object).reshape(4, most)
@@ -170,7 +276,11 @@ class Aligner:
     def align(self, texts: list[str]) -> Batch:
         none = np.zeros(0, np.int64)
         found = [(none, none)] * len(texts)
-        places = [k for k, t in enumerate(texts) if t]
+        whole = self.b.by_word and self.b.line is not None
+        regular = [k for k, t in enumerate(texts) if t and whole and not Segments.IRREGULAR.search(t)]
+        for k, ids in zip(regular, self.segments.ids([texts[k] for k in regular])):
+            found[k] = ids
+        places = [k for k in sorted({*range(len(texts))} - {*regular}) if texts[k]]
         some = [texts[k] for k in places]
         for k, t, a, b in zip(places, some, self.a.ids(some), self.b.ids(some)):
             raw = (" " + t).encode("utf-8", "surrogatepass")

@@ -77,13 +77,18 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", "y", 1) for r in rows], SCHEMA).repartition(5)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(TEXTS, min_size=1, max_size=5))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXTS | st.text(alphabet="abthe .,\n\né漢", max_size=30), min_size=1, max_size=5))
 def test_both_encoders_are_the_libraries(texts):
     tools, plain = ta.aligner(A, B), _plain()
     for t, a, b in zip(texts, tools.a.ids(texts), tools.b.ids(texts)):
         assert a.tolist() == plain.a.encode(" " + t, add_special_tokens=False).ids
         assert b.tolist() == plain.b.encode(t)
+    batch = tools.align(texts)
+    wanted = [plain.ids(t) for t in texts]
+    assert batch.ids_a.tolist() == [k for a, _ in wanted for k in a]
+    assert batch.ids_b.tolist() == [k for _, b in wanted for k in b]
+    assert batch.counts_a.tolist() == [len(a) for a, _ in wanted]
 
 
 _held = []
