@@ -1,14 +1,20 @@
 """Audited, all-or-nothing ingestion of parsed batches into stored race tables.
 
-A run works beside the stored tables: parsed rows are written once to a staging
-folder, checked, and merged into ``<table>/run=<n>``, facts by season.  Nothing
-of it can be read until the run's last write, one file of the manifest that
-names for each table and season the run that holds it.  A run that fails before
-that leaves every table as it was.  Rows that cannot be parsed are kept in the
-``rejects`` table with endpoint and reason, or fail the run (``strict``).
-
-A store has one writer at a time.  Folders of runs that were replaced stay until
-``vacuum``, for readers that still use them.
+Every table is one Parquet folder, partitioned by season where it has one, and
+written by Spark's own dynamic partition overwrite.  A run first does all its
+work beside the tables: parsed rows are staged, checked, and merged with the
+stored rows of the seasons they touch.  Its commit is one file of the audit log,
+the SUCCESS rows; only then are the staged seasons published over the stored
+ones.  A run that fails before the commit leaves every table as it was.
+Publishing writes the same seasons again however often it is repeated, so a run whose process
+died after its commit is finished by the next one, or by ``recover``.
+
+Rows that cannot be parsed are kept in the ``rejects`` table with endpoint and
+reason, or fail the run (``strict``).  Rejects belong to a delivery, so a delivery
+that is replayed replaces its rejects.
+
+A store has one writer at a time.  A reader that needs several tables in one
+state reads between runs.
 """
 
 from __future__ import annotations
@@ -19,14 +25,15 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlake.operators.upsert import ingestion_stats, merged_rows, missing_parents, plan_upsert, resolve
 from gridlake.sources import pages
 from gridlake.tables import INGEST_ORDER, RaceTables, schema
 
 SOURCE = "landing"
-_WHOLE = ("seasons", "circuits", "constructors", "drivers", "rejects")
-_MANIFEST = "run bigint, table string, season_year bigint"
+_WHOLE = ("seasons", "circuits", "constructors", "drivers")
+_PUBLISHED = "run_id bigint"
 _COUNTS = "records_processed", "records_inserted", "records_updated", "records_skipped"
 
 
@@ -46,37 +53,31 @@ class RaceStore:
 
     # Reading
 
-    def _rows(self, folder: str, kind) -> DataFrame:
+    def _rows(self, folder: str, kind, missing: str | None = "empty") -> DataFrame | None:
         try:
             return self.spark.read.schema(kind).parquet(f"{self.root}/{folder}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], kind)
-
-    def _live(self) -> DataFrame:
-        """The run that holds each table and season; rejects stay with every run."""
-        newest = F.when(F.col("table") == "rejects", F.col("run")).otherwise(0)
-        return (
-            self._rows("_manifest", _MANIFEST)
-            .groupBy("table", "season_year", newest.alias("_each"))
-            .agg(F.max("run").alias("run"))
-            .drop("_each")
-        )
-
-    def read(self, table: str, seasons: list[int] | None = None) -> DataFrame:
-        """The stored table, or some of its seasons; empty while nothing has been stored."""
-        live = self._live().where(F.col("table") == table)
-        if seasons is not None and table not in _WHOLE:
-            live = live.where(F.col("season_year").isin(seasons))
-        # A row for each season of one table.
-        found = live.select("run", "season_year").collect()
-        if not found:
-            return self.spark.createDataFrame([], schema(table))
-        base = f"{self.root}/{table}"
-        paths = [f"{base}/run={r.run}" + ("" if r.season_year is None else f"/season_year={r.season_year}") for r in found]
-        rows = self.spark.read.schema(schema(table)).option("basePath", base).parquet(*paths)
-        return rows.select(*schema(table).fieldNames())
+            return self.spark.createDataFrame([], kind) if missing else None
+
+    def read(self, table: str) -> DataFrame:
+        """The stored table; empty while nothing has been stored."""
+        return self._rows(table, schema(table)).select(*schema(table).fieldNames())
+
+    def touched(self, table: str, batch: DataFrame) -> DataFrame:
+        """The stored rows of the seasons a batch holds.
+
+        The join prunes the table's folders to those seasons at run time; the
+        batch's first and last season do so before.
+        """
+        if table in _WHOLE:
+            return self.read(table)
+        first, last = batch.agg(F.min("season_year"), F.max("season_year")).first()
+        if first is None:
+            return self.read(table).where(F.lit(False))
+        span = F.col("season_year").between(first, last)
+        return self.read(table).where(span).join(batch.select("season_year").where(span).distinct(), "season_year", "left_semi")
 
     def tables(self) -> RaceTables:
         return RaceTables(self.read)
@@ -113,13 +114,38 @@ class RaceStore:
         known = self._rows("etl_log", schema("etl_log")).agg(F.max("run_id")).first()[0]
         return (known or 0) + 1
 
+    def _publish(self, run: int) -> None:
+        """The staged rows of a committed run over the stored ones; may be repeated."""
+        staging = f"{self.root}/_staging/{run}"
+        for table in (*INGEST_ORDER, "rejects"):
+            kind = schema(table)
+            if table == "rejects":
+                kind = T.StructType([*kind.fields, T.StructField("delivery", T.StringType())])
+            rows = self._rows(f"_staging/{run}/merged/{table}", kind, missing=None)
+            if rows is None:
+                continue
+            key = {"rejects": "delivery"}.get(table, None if table in _WHOLE else "season_year")
+            writer = rows.write.mode("overwrite")
+            if key:
+                writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(key)
+            writer.parquet(f"{self.root}/{table}")
+        self._append("_published", [(run,)], _PUBLISHED)
+        self._delete(staging)
+
+    def recover(self) -> list[int]:
+        """Publishes what committed runs have not published yet; returns their numbers."""
+        committed = self._rows("etl_log", schema("etl_log")).where("status = 'SUCCESS'").select("run_id").distinct()
+        published = self._rows("_published", _PUBLISHED)
+        # One writer at a time: at most the last run is unfinished.
+        open_runs = [r.run_id for r in committed.join(published, "run_id", "left_anti").orderBy("run_id").collect()]
+        for run in open_runs:
+            self._publish(run)
+        return open_runs
+
     def vacuum(self) -> None:
-        """Deletes the folders of runs that no table needs any more."""
-        live = {(r.table, r.run) for r in self._live().select("table", "run").distinct().collect()}
-        for run in {r.run for r in self._rows("_manifest", _MANIFEST).select("run").distinct().collect()}:
-            for table in (*INGEST_ORDER, "rejects"):
-                if (table, run) not in live:
-                    self._delete(f"{self.root}/{table}/run={run}")
+        """Deletes what runs that died before their commit have staged."""
+        self.recover()
+        self._delete(f"{self.root}/_staging")
 
     def ingest(
         self,
@@ -129,14 +155,18 @@ class RaceStore:
         endpoint: str | None = None,
         strict: bool = False,
         orphans: str = "fail",
+        delivery: str | None = None,
     ) -> DataFrame:
         """Upsert rows of any entities, parents first; returns the run's statistics.
 
         Rows may be parsed ones with ``reject_reason``, ``endpoint`` and
         ``batch_order``.  ``orphans`` is "fail" or "reject": what to do with a
-        row whose parent is neither stored nor in the batch.
+        row whose parent is neither stored nor in the batch.  Rejects replace
+        those of an earlier run of the same ``delivery``, by default the run itself.
         """
+        self.recover()
         run, started = self._next_run(), _now()
+        delivery = delivery or f"run-{run}"
         entities = [e for e in INGEST_ORDER if e in batch]
         staging = f"{self.root}/_staging/{run}"
         current, done = entities[0] if entities else "", []
@@ -146,7 +176,6 @@ class RaceStore:
             return (SOURCE, entity, endpoint, None, season, round_number, status, *counts, error, started, ended, rejected, run)
 
         self._append("etl_log", [entry(e, "RUNNING") for e in entities], schema("etl_log"))
-        written = [f"{self.root}/{table}/run={run}" for table in (*entities, "rejects")]
         try:
             staged = {}
             for current in entities:
@@ -169,31 +198,27 @@ class RaceStore:
                 rejects[current] = rejects[current].unionByName(lost) if current in rejects else lost
                 good[current] = found
             rejected = dict.fromkeys(entities, 0)
+            kept = f"{staging}/merged/rejects"
             for current in rejects:
-                rows = rejects[current]
-                rows.write.mode("append").parquet(f"{self.root}/rejects/run={run}")
-                stored = self.spark.read.schema(rows.schema).parquet(f"{self.root}/rejects/run={run}")
+                rows = rejects[current].withColumn("delivery", F.lit(delivery))
+                rows.write.mode("append").parquet(kept)
+                stored = self.spark.read.schema(rows.schema).parquet(kept)
                 rejected[current] = stored.where(F.col("entity_type") == current).count()
                 if strict and rejected[current]:
                     reason = stored.where(F.col("entity_type") == current).agg(F.min("reason")).first()[0]
                     raise RejectedError(f"{current}: {rejected[current]} rows rejected, among them: {reason}")
-            manifest = [(run, "rejects", None)] if any(rejected.values()) else []
             for current in entities:
-                counts, seasons = self._upsert(current, good[current], run, staging)
-                done.append((current, counts))
-                manifest += [(run, current, year) for year in seasons]
-            if manifest:
-                self._append("_manifest", manifest, _MANIFEST)
+                done.append((current, self._stage(current, good[current], staging)))
         except Exception as error:
             rows = [entry(current, "FAILED", error=str(error))]
             rows += [entry(e, "ROLLED_BACK") for e in entities if e != current]
-            for path in written:
-                self._delete(path)
+            self._delete(staging)
             self._append("etl_log", rows, schema("etl_log"))
             raise
-        finally:
-            self._delete(staging)
+        self._delete(f"{staging}/parsed")
+        # The commit.
         self._append("etl_log", [entry(e, "SUCCESS", c, rejected=rejected[e]) for e, c in done], schema("etl_log"))
+        self._publish(run)
         spec = "entity_type string, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", records_rejected bigint"
         return self.spark.createDataFrame([(e, *c, rejected[e]) for e, c in done], spec)
 
@@ -219,26 +244,20 @@ class RaceStore:
             F.to_json(F.struct(*kept)).alias("record"), F.lit(run).cast("bigint").alias("run_id"),
         )
 
-    def _upsert(self, entity: str, batch: DataFrame, run: int, staging: str) -> tuple[tuple, list]:
-        """Stage the merged rows with their actions, count them, and write them beside the table."""
-        by_season = entity not in _WHOLE
-        # One row for each season of the batch.
-        seasons = [r[0] for r in batch.select("season_year").distinct().collect()] if by_season else None
-        existing = self.read(entity, seasons)
+    def _stage(self, entity: str, batch: DataFrame, staging: str) -> tuple:
+        """Writes the merged rows of the touched seasons to the staging folder; the counts of the upsert."""
         order = pages.ORDER if pages.ORDER in batch.columns else None
-        plan_upsert(entity, existing, batch, order=order).write.parquet(f"{staging}/merged/{entity}")
-        plan = self.spark.read.parquet(f"{staging}/merged/{entity}")
+        plan_upsert(entity, self.touched(entity, batch), batch, order=order).write.parquet(f"{staging}/planned/{entity}")
+        plan = self.spark.read.parquet(f"{staging}/planned/{entity}")
         stats = ingestion_stats(plan, entity).first()
-        counts = tuple(stats[c] for c in _COUNTS)
-        if not (stats.records_inserted or stats.records_updated):
-            return counts, []
-        rows, target = merged_rows(plan).select(*schema(entity).fieldNames()), f"{self.root}/{entity}/run={run}"
-        if by_season:
-            # Rebalancing splits a season that is too large for one task.
-            rows.hint("rebalance", "season_year").write.partitionBy("season_year").parquet(target)
-        else:
-            rows.write.parquet(target)
-        return counts, seasons if by_season else [None]
+        if stats.records_inserted or stats.records_updated:
+            rows = merged_rows(plan).select(*schema(entity).fieldNames())
+            if entity not in _WHOLE:
+                # Rebalancing splits a season that is too large for one task.
+                rows = rows.hint("rebalance", "season_year")
+            rows.write.parquet(f"{staging}/merged/{entity}")
+        self._delete(f"{staging}/planned/{entity}")
+        return tuple(stats[c] for c in _COUNTS)
 
     def ingest_landing(
         self,
