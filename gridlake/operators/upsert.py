@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,6 +145,22 @@ def missing_parents(entity: str, batch: DataFrame, parents: RaceTables) -> DataF
     return reduce(DataFrame.unionByName, found)
 
 
+def parent_id(parent: str, columns: list[str]) -> Column:
+    """A parent's name in one text: ``races/2030/1``."""
+    return F.concat_ws("/", F.lit(parent), *columns)
+
+
+def first_missing(entity: str, batch: DataFrame, parents: RaceTables) -> DataFrame:
+    """Batch rows with ``missing_parent``, the first parent that is not there; NULL where all are."""
+    missing = []
+    for number, (parent, columns) in enumerate(FOREIGN_KEYS.get(entity, [])):
+        there = f"_there_{number}"
+        batch = batch.join(parents[parent].select(*columns).distinct().withColumn(there, F.lit(True)), columns, "left")
+        missing.append((there, F.when(F.col(there).isNull(), parent_id(parent, columns))))
+    found = F.coalesce(*[m for _, m in missing]) if missing else F.lit(None).cast("string")
+    return batch.withColumn("missing_parent", found).drop(*[there for there, _ in missing])
+
+
 def resolve(entity: str, batch: DataFrame, parents: RaceTables) -> DataFrame:
     """Batch rows all of whose parents exist."""
     for parent, columns in FOREIGN_KEYS.get(entity, []):

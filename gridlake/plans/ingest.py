@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.operators.upsert import ingestion_stats, merged_rows, missing_parents, plan_upsert, resolve
+from gridlake.operators.upsert import first_missing, ingestion_stats, merged_rows, missing_parents, parent_id, plan_upsert
 from gridlake.sources import pages
-from gridlake.tables import INGEST_ORDER, RaceTables, schema
+from gridlake.tables import FOREIGN_KEYS, INGEST_ORDER, NATURAL_KEYS, RaceTables, schema
 
 SOURCE = "landing"
 _WHOLE = ("seasons", "circuits", "constructors", "drivers")
@@ -156,12 +156,14 @@ class RaceStore:
         strict: bool = False,
         orphans: str = "fail",
         delivery: str | None = None,
+        late: str | None = None,
     ) -> DataFrame:
         """Upsert rows of any entities, parents first; returns the run's statistics.
 
         Rows may be parsed ones with ``reject_reason``, ``endpoint`` and
-        ``batch_order``.  ``orphans`` is "fail" or "reject": what to do with a
-        row whose parent is neither stored nor in the batch.  Rejects replace
+        ``batch_order``.  ``orphans`` is "fail", "reject" or "wait": what to do with a
+        row whose parent is neither stored nor in the batch; rows that wait go to the
+        folder ``late``, a source of the stream that sends them again.  Rejects replace
         those of an earlier run of the same ``delivery``, by default the run itself.
         """
         self.recover()
@@ -183,7 +185,7 @@ class RaceStore:
                 staged[current] = self.spark.read.schema(batch[current].schema).parquet(f"{staging}/parsed/{current}")
             good = {e: pages.accepted(rows, ordered=True) if "reject_reason" in rows.columns else rows for e, rows in staged.items()}
             rejects = {e: self._rejects(e, pages.rejected(rows), run) for e, rows in staged.items() if "reject_reason" in rows.columns}
-            known = self._known(good)
+            known, waiting = self._known(good), []
             for current in entities:
                 orphan = missing_parents(current, good[current], known).first()
                 if orphan is None:
@@ -191,12 +193,16 @@ class RaceStore:
                 problem = f"{orphan.missing_entity} '{orphan.missing_id}' not found"
                 if orphans == "fail":
                     raise DependencyError(f"{current}: {problem}")
-                columns = good[current].columns
-                found = resolve(current, good[current], known).select(*columns)
-                lost = good[current].exceptAll(found).withColumn("reject_reason", F.lit("parent not found"))
-                lost = self._rejects(current, lost, run)
+                # Split once, on a written copy: a row is good or lacks a parent, never both.
+                first_missing(current, good[current], known).write.parquet(f"{staging}/parsed/_{current}")
+                split = self.spark.read.parquet(f"{staging}/parsed/_{current}")
+                good[current] = split.where("missing_parent IS NULL").drop("missing_parent")
+                lost = split.where("missing_parent IS NOT NULL")
+                if orphans == "wait":
+                    waiting.append((current, lost))
+                    continue
+                lost = self._rejects(current, lost.drop("missing_parent").withColumn("reject_reason", F.lit("parent not found")), run)
                 rejects[current] = rejects[current].unionByName(lost) if current in rejects else lost
-                good[current] = found
             rejected = dict.fromkeys(entities, 0)
             kept = f"{staging}/merged/rejects"
             for current in rejects:
@@ -209,6 +215,8 @@ class RaceStore:
                     raise RejectedError(f"{current}: {rejected[current]} rows rejected, among them: {reason}")
             for current in entities:
                 done.append((current, self._stage(current, good[current], staging)))
+            if orphans == "wait" and late:
+                self._send_late(late, good, waiting)
         except Exception as error:
             rows = [entry(current, "FAILED", error=str(error))]
             rows += [entry(e, "ROLLED_BACK") for e in entities if e != current]
@@ -244,6 +252,25 @@ class RaceStore:
             F.to_json(F.struct(*kept)).alias("record"), F.lit(run).cast("bigint").alias("run_id"),
         )
 
+    @staticmethod
+    def _send_late(late: str, good: Mapping[str, DataFrame], waiting: list[tuple[str, DataFrame]]) -> None:
+        """Back into a stream: the rows that lack a parent, and a mark for every parent that is stored now.
+
+        Sent before the commit: a row or mark that is sent again does no harm, a lost one would.
+        """
+        for entity, rows in waiting:
+            record = F.to_json(F.struct(*[c for c in rows.columns if c != "missing_parent"])).alias("record")
+            rows.select(F.lit(entity).alias("entity"), F.col("missing_parent").alias("parent"), record, F.lit("late").alias("status")).write.mode(
+                "append"
+            ).parquet(late)
+        for entity, rows in good.items():
+            if any(entity == parent for parents in FOREIGN_KEYS.values() for parent, _ in parents):
+                none = F.lit(None).cast("string")
+                rows.select(
+                    F.lit(entity).alias("entity"), parent_id(entity, NATURAL_KEYS[entity]).alias("parent"),
+                    none.alias("record"), F.lit("stored").alias("status"),
+                ).distinct().write.mode("append").parquet(late)
+
     def _stage(self, entity: str, batch: DataFrame, staging: str) -> tuple:
         """Writes the merged rows of the touched seasons to the staging folder; the counts of the upsert."""
         order = pages.ORDER if pages.ORDER in batch.columns else None
