@@ -24,10 +24,14 @@ def plan_upsert(
 ) -> DataFrame:
     """Existing and incoming rows merged by natural key, with the action of each key.
 
-    The rows of a batch are applied one after the other in ``order`` (without
-    it in the order of their values, which makes the outcome repeatable); the
-    last one stays.  Stored rows come first in the same sort, so one exchange by
-    key serves the comparison with the predecessor, the counts and the merge.
+    Existing rows have one row a key.  The rows of a batch are applied one after
+    the other in ``order`` (without it in the order of their values, which makes
+    the outcome repeatable); the last one stays.
+
+    Keys are counted first, by hash aggregation.  A key the batch names once, as
+    nearly all are, is settled by a hash join of its two rows, without sorting; only the
+    keys it names again go through windows.  All joins and counts are by the same
+    keys, so one exchange of each side serves them, or none where tables are bucketed by season.
 
     The result holds the merged columns, ``action`` (``inserted``, ``updated``,
     ``skipped`` or ``kept`` for rows the batch does not mention), ``copies``,
@@ -36,23 +40,61 @@ def plan_upsert(
     """
     keys = keys or NATURAL_KEYS[entity]
     values = [c for c in existing.columns if c not in keys and c in batch.columns]
-    rest = [c for c in existing.columns if c not in keys and c not in values]
     kept_text = _KEEP_WHEN_BLANK.get(entity, ())
     place = F.col(order) if order else F.lit(0)
-    kind = batch.select(place.alias("p")).schema[0].dataType
-    stored = existing.select("*", F.lit(False).alias("_new"), F.lit(None).cast(kind).alias("_at"))
     incoming = batch.select(
-        *keys,
-        *[F.col(c).cast(existing.schema[c].dataType).alias(c) for c in values],
-        *[F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in rest],
-        F.lit(True).alias("_new"),
-        place.alias("_at"),
+        *keys, *[F.col(c).cast(existing.schema[c].dataType).alias(c) for c in values], place.alias("_at")
     )
+    again = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys).hint("shuffle_hash")
+
+    def named(frame: DataFrame, more_than_once: bool) -> DataFrame:
+        return frame.join(again, keys, "left_semi" if more_than_once else "left_anti")
+
+    single = _merge_single(named(existing, False), named(incoming, False).drop("_at"), keys, values, kept_text)
+    return single.unionByName(_merge_in_order(named(existing, True), named(incoming, True), keys, values, kept_text))
+
+
+def _merge_single(existing: DataFrame, incoming: DataFrame, keys: list[str], values: list[str], kept_text: tuple) -> DataFrame:
+    """The plan for keys that have at most one row on either side."""
+    old = existing.select(*keys, F.struct(*[c for c in existing.columns if c not in keys], F.lit(1).alias("_one")).alias("_old"))
+    new = incoming.select(*keys, F.struct(*values, F.lit(1).alias("_one")).alias("_new")).hint("shuffle_hash")
+    given, stored = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+
+    def after(column: str) -> Column:
+        if column not in values:
+            return F.col(f"_old.{column}")
+        value = F.col(f"_new.{column}")
+        if column in kept_text:
+            value = F.coalesce(F.nullif(value, F.lit("")), F.nullif(F.col(f"_old.{column}"), F.lit("")), value)
+        return F.when(given, value).otherwise(F.col(f"_old.{column}"))
+
+    merged = old.join(new, keys, "full_outer").select(
+        "*", *[after(c).alias(c) for c in existing.columns if c not in keys]
+    )
+    changed = any_of(~values_equal(F.col(f"_old.{c}"), F.col(c), _numeric(existing, c)) for c in values)
+    action = F.when(~given, "kept").when(~stored, "inserted").when(changed, "updated").otherwise("skipped")
+    return merged.select(
+        *existing.columns,
+        action.alias("action"),
+        F.when(given, 1).otherwise(0).cast("long").alias("copies"),
+        F.when(given & stored & changed, 1).otherwise(0).cast("long").alias("updates"),
+    )
+
+
+def _merge_in_order(existing: DataFrame, incoming: DataFrame, keys: list[str], values: list[str], kept_text: tuple) -> DataFrame:
+    """The plan for keys the batch names more than once: every row meets the one before it."""
+    rest = [c for c in existing.columns if c not in keys and c not in values]
+    kind = incoming.schema["_at"].dataType
+    stored = existing.select("*", F.lit(False).alias("_new"), F.lit(None).cast(kind).alias("_at"))
+    added = incoming.select(
+        *keys, *values, *[F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in rest],
+        F.lit(True).alias("_new"), "_at",
+    )
     by_key = Window.partitionBy(*keys)
     steps = by_key.orderBy("_new", "_at", *values)
     so_far = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = steps.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = stored.unionByName(incoming).select(
+    rows = stored.unionByName(added).select(
         *keys,
         *[
             F.coalesce(F.last(F.nullif(F.col(c), F.lit("")), True).over(so_far), F.col(c)).alias(c)
@@ -74,20 +116,14 @@ def plan_upsert(
         .otherwise("skipped")
     )
     every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    stepped = rows.withColumn("_did", step)
-    counted = stepped.select(
+    counted = rows.withColumn("_did", step).select(
         *existing.columns,
         F.lead(F.lit(1)).over(ordered).isNull().alias("_last"),
         F.count(F.when(F.col("_new"), 1)).over(every).alias("copies"),
         F.count(F.when(F.col("_did") == "updated", 1)).over(every).alias("updates"),
         F.count(F.when(F.col("_did") == "inserted", 1)).over(every).alias("_inserted"),
     )
-    action = (
-        F.when(F.col("copies") == 0, "kept")
-        .when(F.col("_inserted") > 0, "inserted")
-        .when(F.col("updates") > 0, "updated")
-        .otherwise("skipped")
-    )
+    action = F.when(F.col("_inserted") > 0, "inserted").when(F.col("updates") > 0, "updated").otherwise("skipped")
     return counted.where("_last").select(*existing.columns, action.alias("action"), "copies", "updates")
 
 
