@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from gridlake.llm.common import batched, rows_of, text_or_empty, written
 
 END = 2
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_000_000
 CACHED_WORDS = 600_000
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
