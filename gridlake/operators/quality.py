@@ -13,7 +13,6 @@ from gridlake.operators.common import RACE, scoped, sum_if, zero_points
 from gridlake.operators.event import teammate_events
 from gridlake.operators.season import DRIVER_SEASON, TEAM_SEASON, driver_rounds
 from gridlake.operators.statistics import driver_points_stats
-from gridlake.operators.upsert import missing_parents
 from gridlake.tables import FOREIGN_KEYS, NATURAL_KEYS, RaceTables
 
 FACTS = {
@@ -64,14 +63,45 @@ def duplicate_keys(t: RaceTables) -> DataFrame:
 
 def orphan_keys(t: RaceTables) -> DataFrame:
     """References to parents that do not exist."""
-    return _union([missing_parents(name, t[name], t) for name in FOREIGN_KEYS])
+    return _references(t).where("orphans > 0").select(
+        "entity_type", "missing_entity", F.col("parent_key").alias("missing_id"), F.col("orphans").alias("rows")
+    )
+
+
+def _references(t: RaceTables) -> DataFrame:
+    """Every parent key that is stored or referred to, with the rows of each reference it lacks a parent for.
+
+    Each fact is read once: an Expand turns a row into its references, which are
+    counted in the task that reads them.  All references and all parents then meet in
+    one aggregation by key, so there is no join and each table is scanned once.
+    """
+    parts = []
+    for name, parents in FOREIGN_KEYS.items():
+        refs = F.array(*[
+            F.struct(F.lit(parent).alias("missing_entity"), F.concat_ws("/", *columns).alias("parent_key"))
+            for parent, columns in parents
+        ])
+        used = t[name].select(F.inline(refs)).groupBy("missing_entity", "parent_key").agg(F.count(F.lit(1)).alias("rows"))
+        parts.append(used.select(F.lit(name).alias("entity_type"), "missing_entity", "parent_key", "rows"))
+    for parent, columns in {p: c for parents in FOREIGN_KEYS.values() for p, c in parents}.items():
+        keys = t[parent].select(F.concat_ws("/", *columns).alias("parent_key"))
+        none = F.lit(None).cast("string").alias("entity_type")
+        parts.append(keys.select(none, F.lit(parent).alias("missing_entity"), "parent_key", F.lit(0).cast("bigint").alias("rows")))
+    # One row per key: how many rows of each referring table name it, and whether it is stored.
+    by_table = [F.sum(F.when(F.col("entity_type") == name, F.col("rows"))).alias(name) for name in FOREIGN_KEYS]
+    stored = F.max(F.col("entity_type").isNull()).alias("stored")
+    keys = _union(parts).groupBy("missing_entity", "parent_key").agg(stored, *by_table)
+    each = F.array(*[F.struct(F.lit(n).alias("entity_type"), F.col(n).alias("rows")) for n in FOREIGN_KEYS])
+    return keys.select("missing_entity", "parent_key", "stored", F.inline(each)).where("rows IS NOT NULL").select(
+        "entity_type", "missing_entity", "parent_key", F.when(F.col("stored"), 0).otherwise(F.col("rows")).alias("orphans")
+    )
 
 
 def orphan_counts(t: RaceTables) -> DataFrame:
     """Orphans per reference, with a row of 0 for every clean one."""
     checks = [(child, parent) for child, parents in FOREIGN_KEYS.items() for parent, _ in parents]
     every = t.races.sparkSession.createDataFrame(checks, "entity_type string, missing_entity string")
-    found = orphan_keys(t).groupBy("entity_type", "missing_entity").agg(F.sum("rows").alias("rows"))
+    found = _references(t).groupBy("entity_type", "missing_entity").agg(F.sum("orphans").alias("rows"))
     return every.join(found, ["entity_type", "missing_entity"], "left").select(
         "entity_type", "missing_entity", F.coalesce("rows", F.lit(0)).alias("orphans")
     )

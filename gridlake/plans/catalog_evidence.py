@@ -269,6 +269,23 @@ def _preserved(t: RaceTables) -> DataFrame:
     return quality.preserved(_counts_after(t, 1, "rows_to_16"), _counts_after(t, 4, "rows_to_16"))
 
 
+def _faulty(t: RaceTables) -> RaceTables:
+    """The tables with faults: two drivers and every fifth round are gone, some rows came twice."""
+    gone = F.col("driver_id").isin("driver_000000000003", "driver_000000000008")
+    twice = F.col("driver_id").endswith("7") & (F.col("round") == 4)
+
+    def load(name: str) -> DataFrame:
+        if name == "drivers":
+            return t.drivers.where(~gone)
+        if name == "races":
+            return t.races.where(F.col("round") % 5 != 2)
+        if name in ("race_results", "driver_standings"):
+            return t[name].unionByName(t[name].where(twice))
+        return t[name]
+
+    return RaceTables(load)
+
+
 def _reconcile(t: RaceTables) -> DataFrame:
     keys = ["season_year", "driver_id"]
     metrics = ["races_entered", "races_classified", "wins", "race_points", "sprint_points", "average_finish"]
@@ -302,6 +319,10 @@ _VIEWS = {
     "table_counts": quality.table_counts,
     "duplicate_keys": quality.duplicate_keys,
     "orphan_counts": quality.orphan_counts,
+    "faulty_duplicate_keys": lambda t: quality.duplicate_keys(_faulty(t)),
+    "faulty_orphan_counts": lambda t: quality.orphan_counts(_faulty(t)),
+    "faulty_orphan_keys": lambda t: quality.orphan_keys(_faulty(t)).where("entity_type = 'pit_stops'"),
+    "faulty_round_gaps": lambda t: quality.round_gaps(_faulty(t)),
     "round_completeness": quality.round_completeness,
     "round_gaps": quality.round_gaps,
     "sprint_rounds": quality.sprint_rounds,

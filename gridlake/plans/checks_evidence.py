@@ -156,6 +156,16 @@ _REFERENCES = [
     ("constructor_standings", "seasons", "season_year"),
     ("constructor_standings", "constructors", "constructor_id"),
 ]
+# The same faults as in the Spark queries, written as conditions.
+_TWICE = "driver_id LIKE '%7' AND round = 4"
+_FAULTY = _TABLES | {
+    "drivers": "(SELECT * FROM drivers_t WHERE driver_id NOT IN ('driver_000000000003', 'driver_000000000008'))",
+    "races": "(SELECT * FROM races_t WHERE round % 5 <> 2)",
+    **{
+        n: f"(SELECT * FROM {_TABLES[n]} UNION ALL SELECT * FROM {_TABLES[n]} WHERE {_TWICE})"
+        for n in ("race_results", "driver_standings")
+    },
+}
 _DRIVER_KEY = "season_year, driver_id"
 _DRIVER_REFERENCE = f"""
     SELECT {_DRIVER_KEY}, count(*) AS races_entered, count(*) FILTER (WHERE ok) AS races_classified,
@@ -279,6 +289,33 @@ SQL = {
             for c, p, k in _REFERENCES
         )
     ),
+    "faulty_duplicate_keys": query(
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS table_name, concat_ws('/', {k}) AS key, count(*) AS rows FROM {_FAULTY[n]} "
+            f"GROUP BY {k} HAVING count(*) > 1"
+            for n, k in _KEYS.items()
+        )
+    ),
+    "faulty_orphan_counts": query(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS entity_type, '{p}' AS missing_entity, count(*) AS orphans FROM {_FAULTY[c]} "
+            f"WHERE ({k}) NOT IN (SELECT ({k}) FROM {_FAULTY[p]})"
+            for c, p, k in _REFERENCES
+        )
+    ),
+    "faulty_orphan_keys": query(
+        " UNION ALL ".join(
+            f"SELECT 'pit_stops' AS entity_type, '{p}' AS missing_entity, concat_ws('/', {k}) AS missing_id, count(*) AS rows "
+            f"FROM {_FAULTY['pit_stops']} WHERE ({k}) NOT IN (SELECT ({k}) FROM {_FAULTY[p]}) GROUP BY {k}"
+            for p, k in (("races", "season_year, round"), ("drivers", "driver_id"))
+        )
+    ),
+    "faulty_round_gaps": query(
+        f"""SELECT s.season_year, n AS missing_round
+        FROM (SELECT season_year, max(round) AS last FROM {_FAULTY['races']} r GROUP BY season_year) s
+        JOIN generate_series(1, 24) g(n) ON n <= s.last
+        ANTI JOIN {_FAULTY['races']} r ON r.season_year = s.season_year AND r.round = n"""
+    ),
     "round_completeness": query(
         """SELECT season_year, round, race_name,
         (SELECT count(*) FROM race_results_t f WHERE f.season_year = r.season_year AND f.round = r.round) AS race_results,
