@@ -33,7 +33,7 @@ FROM lowered LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_i
 """
 
 MIX = r"""
-WITH sizes AS (
+WITH RECURSIVE sizes AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
            md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
 totals AS (SELECT source, sum(size) AS source_size FROM sizes GROUP BY source),
@@ -55,22 +55,29 @@ parts AS (
 grouped AS (
     SELECT doc_id, source, size, key, substr(key, 1, 3) AS bucket, size * count(*) AS total
     FROM sizes GROUP BY doc_id, source, size, key),
-running AS (
+placed AS (
     SELECT g.*, source_size, target, whole, part,
            sum(total) OVER (PARTITION BY g.source ORDER BY bucket) AS bucket_upto,
-           sum(total) OVER (PARTITION BY g.source ORDER BY bucket, key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+           row_number() OVER (PARTITION BY g.source ORDER BY key, doc_id, size) AS place
     FROM grouped g JOIN parts p ON g.source IS NOT DISTINCT FROM p.source),
-cuts AS (
-    SELECT source, min(CASE WHEN bucket_upto > part THEN bucket END) AS cut FROM running GROUP BY source),
+-- One document at a time and source: the next one in seeded order that still fits.
+steps AS (
+    SELECT source, part - coalesce(max(CASE WHEN bucket_upto <= part THEN bucket_upto END), 0) AS lack,
+           coalesce(max(CASE WHEN bucket_upto <= part THEN place END), 0) AS place
+    FROM placed WHERE part > 0 GROUP BY source, part
+    UNION ALL
+    SELECT t.source, arg_min(t.lack - p.total, p.place), min(p.place)
+    FROM steps t JOIN placed p ON t.source IS NOT DISTINCT FROM p.source AND p.place > t.place AND p.total <= t.lack AND p.total > 0
+    GROUP BY t.source),
+starts AS (SELECT source, min(place) AS first_place, min(lack) AS lack FROM steps GROUP BY source),
 taken AS (
-    SELECT r.*, c.cut, (c.cut IS NULL AND part > 0) OR bucket < c.cut OR (bucket = c.cut AND upto <= part AND total > 0) AS fits
-    FROM running r JOIN cuts c ON r.source IS NOT DISTINCT FROM c.source),
-lacking AS (
-    SELECT source, any_value(part) - sum(CASE WHEN fits THEN total ELSE 0 END) AS lack FROM taken GROUP BY source),
+    SELECT p.*, s.place IS NOT NULL OR p.place <= f.first_place AS fits, f.lack AS final_lack
+    FROM placed p LEFT JOIN starts f ON p.source IS NOT DISTINCT FROM f.source
+    LEFT JOIN steps s ON p.source IS NOT DISTINCT FROM s.source AND p.place = s.place),
 nearest AS (
-    SELECT t.source, t.doc_id, t.size FROM taken t JOIN lacking l ON t.source IS NOT DISTINCT FROM l.source
-    WHERE NOT coalesce(fits, false) AND cut IS NOT NULL AND abs(total - lack) < lack
-    QUALIFY row_number() OVER (PARTITION BY t.source ORDER BY abs(total - lack), key, t.doc_id, t.size) = 1)
+    SELECT source, doc_id, size FROM taken
+    WHERE NOT coalesce(fits, false) AND abs(total - final_lack) < final_lack
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(total - final_lack), key, doc_id, size) = 1)
 SELECT s.doc_id, s.size, t.source_size, t.target,
        CAST(s.size * (t.whole + CASE WHEN t.fits OR n.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sizes s

@@ -8,10 +8,12 @@ when the level that the rest would reach without it lies above its own ratio,
 so one sorted pass gives the fixed point.
 
 A target of e epochs takes every document floor(e) whole times; the fraction is
-filled by whole documents in a seeded order: all of the hash buckets before the
-cut, the documents of the cut bucket while they fit, and last the one document
-whose size is nearest to what still lacks.  The order depends on seed and
-doc_id only, so reruns agree.
+filled by whole documents in a seeded order: a document that does not fit is
+passed over, and the next ones are tried until none fits; last comes the one
+document whose size is nearest to what still lacks.  A pass sums hash buckets up
+to the one where the source is cut and looks inside that one only; the next pass
+goes on behind the document that did not fit, over those no longer than what
+lacks.  The order depends on seed and doc_id only, so reruns agree.
 
 Defined results for odd input: a null text has size 0; a null source is a
 source of its own; rows that agree in doc_id, source and size are taken
@@ -22,8 +24,11 @@ each source and hash bucket, is all that is ever brought together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlake.llm.common import written
 
@@ -80,23 +85,19 @@ class Mix:
         )
         targets = written(targets, "mix_targets")
 
-        # The first bucket at which the running sum goes over the part is the cut.
-        running = Window.partitionBy("source").orderBy("bucket")
-        summed = buckets.withColumn("upto", F.sum("words").over(running))
-        summed = summed.join(targets.select(F.col("source").alias("_s"), "part"), F.col("source").eqNullSafe(F.col("_s")))
-        over = F.col("upto") > F.col("part")
-        cuts = summed.groupBy("source").agg(
-            F.min(F.when(over, F.col("bucket"))).alias("cut"),
-            F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("below"),
-        )
-        self.sources = written(
-            targets.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix_sources"
-        )
+        # The first pass; all buckets below its cut are taken whole and never listed.
+        place = T.StructType([rows.schema[name] for name in ("key", "doc_id", "size")])
+        start = targets.select("source", F.col("part").alias("lack"), F.lit(None).cast(place).alias("at"))
+        cuts, fitting, state = self._fill(rows, start)
+        cut_of = targets.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        self.sources = written(cut_of.withColumn("below", F.coalesce("below", F.lit(0))), "mix_sources")
+        # What lacks is now less than one document, so the lists of the passes after it are short.
+        passes = [fitting]
+        while not state.isEmpty():
+            _, more, state = self._fill(rows, state, below=True)
+            passes.append(more)
+        fitting = written(reduce(DataFrame.unionByName, passes), "mix_fitting")
         cut = self._with_source(rows)
-        inside = Window.partitionBy("source").orderBy("key", "doc_id", "size")
-        at_cut = cut.filter(F.col("bucket") == F.col("cut")).withColumn("upto", F.col("below") + F.sum("total").over(inside))
-        fitting = at_cut.filter((F.col("upto") <= F.col("part")) & (F.col("total") > 0))
-        fitting = written(fitting.select("doc_id", "source", "size", "total"), "mix_fitting")
 
         # What still lacks is filled by the document nearest to it in size, if that helps.
         filled = fitting.groupBy(F.col("source").alias("_f")).agg(F.sum("total").alias("filled"))
@@ -119,6 +120,53 @@ class Mix:
         )
         self.chosen = written(fitting.select("doc_id", "source", "size").unionByName(nearest), "mix_chosen")
 
+    @staticmethod
+    def _fill(rows: DataFrame, state: DataFrame, below: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """One pass in seeded order over the documents after ``at`` that are no longer than what lacks.
+
+        Gives the bucket at which each source is cut with the words below it,
+        the documents taken (of the cut bucket, or with ``below`` of all
+        buckets), and the state of the sources that go on: what lacks, and the
+        place of the document that did not fit.
+        """
+        state = state.withColumnRenamed("source", "_s")
+        left = rows.join(state, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        place = F.struct("key", "doc_id", "size")
+        left = left.filter((F.col("at").isNull() | (place > F.col("at"))) & (F.col("total") > 0))
+        # In the first pass a long document may be the one that is cut; later it would only be passed over.
+        left = left.filter(F.col("at").isNull() | (F.col("total") <= F.col("lack")))
+        running = Window.partitionBy("source").orderBy("bucket")
+        buckets = left.groupBy("source", "bucket", "lack").agg(F.sum("total").alias("words"))
+        over = F.col("upto") > F.col("lack")
+        cuts = (
+            buckets.withColumn("upto", F.sum("words").over(running))
+            .groupBy(F.col("source"))
+            .agg(
+                F.min(F.when(over, F.col("bucket"))).alias("cut"),
+                F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("below"),
+            )
+        )
+        cuts = written(cuts, "mix_cuts")
+        joined = left.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        inside = Window.partitionBy("source").orderBy("key", "doc_id", "size")
+        at_cut = joined.filter(F.col("bucket") == F.col("cut"))
+        at_cut = at_cut.withColumn("upto", F.col("below") + F.sum("total").over(inside)).withColumn("place", place)
+        at_cut = written(at_cut.select("doc_id", "source", "size", "total", "lack", "below", "upto", "place"), "mix_at_cut")
+        fits = F.col("upto") <= F.col("lack")
+        taken = at_cut.filter(fits).select("doc_id", "source", "size", "total")
+        if below:
+            whole = joined.filter(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))
+            taken = written(taken.unionByName(whole.select("doc_id", "source", "size", "total")), "mix_taken")
+        # Exactly the documents that fit end before the first one that does not.
+        state = at_cut.groupBy("source", "lack").agg(
+            F.max(F.when(fits, F.col("upto"))).alias("upto"),
+            F.min(F.when(~fits, F.col("place"))).alias("at"),
+            F.max("below").alias("below"),
+        )
+        lack = F.col("lack") - F.coalesce("upto", "below")
+        state = state.filter(F.col("at").isNotNull()).select("source", lack.alias("lack"), "at")
+        return cuts, taken, written(state.filter(F.col("lack") > 0), "mix_state")
+
     def _with_source(self, frame: DataFrame) -> DataFrame:
         sources = self.sources.withColumnRenamed("source", "_s")
         return frame.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
