@@ -16,6 +16,7 @@ from gridlake.functions.scalars import (
     rate_percent_or_null,
 )
 from gridlake.operators.common import RACE, constructor_names, driver_names, scoped, sum_if
+from gridlake.operators.temporal import interval_join
 from gridlake.tables import RaceTables
 
 _COUNTS = (
@@ -167,6 +168,40 @@ def attrition(
     )
 
 
+def attrition_over(t: RaceTables, periods: DataFrame) -> DataFrame:
+    """Result counts of any table of periods: season_year, start_round, end_round and what else names them.
+
+    Periods may overlap, repeat and be of any length; both ends belong to them.
+    Every period keeps its row, with zeros where no result lies in it (also if
+    a bound is null).  Results are counted per race and state before they meet
+    the periods, so a period costs at most a row for each state and round.
+    """
+    counted = (
+        t.race_results.select(*RACE, attrition_class_stored(F.col("position_text"), F.col("status")).alias("state"))
+        .groupBy(*RACE, "state")
+        .agg(F.count(F.lit(1)).alias("results"))
+    )
+    bounds = ["season_year", "start_round", "end_round"]
+    met = interval_join(counted, periods.select(*bounds).distinct(), ["season_year"], "round", "start_round", "end_round")
+
+    def of(*states: str) -> Column:
+        return F.sum(F.when(F.col("state").isin(*states), F.col("results")).otherwise(0))
+
+    totals = met.groupBy(*[F.col(c).alias(f"_{c}") for c in bounds]).agg(
+        F.sum("results").alias("entries"),
+        F.sum(F.when(F.col("state") != "DNS", F.col("results")).otherwise(0)).alias("starts"),
+        of("CLASSIFIED").alias("classified_finishes"),
+        of("DNF").alias("dnf_results"),
+        of("DNS").alias("dns_results"),
+        of("DSQ").alias("dsq_results"),
+        of("UNKNOWN_NON_CLASSIFIED").alias("unknown_non_classified"),
+    )
+    same = [F.col(c) == F.col(f"_{c}") for c in bounds]
+    return periods.join(totals, same, "left").select(
+        *periods.columns, *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in _COUNTS]
+    )
+
+
 def attrition_report(t: RaceTables, season: int | None = None, up_to_round: int | None = None) -> DataFrame:
     """``attrition`` nested to one row per season and period."""
     metrics = F.struct(*METRICS)

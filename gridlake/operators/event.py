@@ -407,6 +407,46 @@ def race_classification(t: RaceTables, season: int | None = None, round: int | N
     return race_overview(t, season, round).join(nested, RACE, "left")
 
 
+# Part of a race document -> its view and the order of its rows, as SQL sort keys in ascending order.
+_PARTS = {
+    "results": (race_results, ["coalesce(source_position, 2147483647)", "driver_id"]),
+    "grid_vs_finish": (grid_vs_finish, ["coalesce(finish_position, 2147483647)", "driver_id"]),
+    "qualifying": (qualifying_order, ["position", "driver_id"]),
+    "teammate_qualifying": (teammate_qualifying, ["constructor_id"]),
+    "pit_stops": (driver_pit_stops, ["-stop_count", "driver_id"]),
+    "constructor_pit_stops": (constructor_pit_stops, ["constructor_id"]),
+    "lap_times": (driver_lap_times, ["coalesce(fastest_lap_millis, 2147483647)", "driver_id"]),
+    "driver_standings": (driver_standings, ["position", "driver_id"]),
+    "constructor_standings": (constructor_standings, ["position", "constructor_id"]),
+}
+
+
+def race_documents(t: RaceTables, season: int | None = None, round: int | None = None) -> DataFrame:
+    """One row per race of the calendar: its overview, and every part of its page as an ordered list.
+
+    The rows of all parts meet in one aggregation, each part in a column of its
+    own, so the nesting costs one shuffle whatever the number of parts.  A list
+    is bounded by the cars of a race; a part without rows is an empty list.
+    """
+    overview = race_overview(t, season, round)
+    fields = [c for c in overview.columns if c not in RACE]
+    rows = overview.select(*RACE, F.struct(*fields).alias("overview"))
+    for part, (view, order) in _PARTS.items():
+        frame = view(t, season, round)
+        row = F.struct(*[c for c in frame.columns if c not in RACE]).alias("row")
+        keys = [F.expr(key).alias(f"key_{k}") for k, key in enumerate(order)]
+        rows = rows.unionByName(frame.select(*RACE, F.struct(*keys, row).alias(part)), allowMissingColumns=True)
+    nested = [F.array_sort(F.collect_list(part)).getField("row").alias(part) for part in _PARTS]
+    nested = rows.groupBy(*RACE).agg(F.max("overview").alias("overview"), *nested)
+    return nested.where("overview IS NOT NULL")
+
+
+def write_race_documents(t: RaceTables, path: str, season: int | None = None, round: int | None = None) -> None:
+    """Race documents as JSON lines, one line a race, in a folder for each season; NULL fields are written."""
+    documents = race_documents(t, season, round).withColumn("season", F.col("season_year"))
+    documents.write.partitionBy("season").option("ignoreNullFields", False).mode("overwrite").json(path)
+
+
 def race_bundle(t: RaceTables, season: int, round: int) -> dict[str, DataFrame]:
     """The per-race views a race page shows, each still lazy."""
     return {

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridlake.functions.scalars import attrition_class
 from gridlake.operators import event
+from gridlake.operators.common import RACE
+from gridlake.operators.temporal import as_of_join
 from gridlake.plans.views import plain
 from gridlake.sources.star import race_tables
 from gridlake.tables import RaceTables
@@ -29,6 +31,39 @@ def _classification(t: RaceTables) -> DataFrame:
     )
 
 
+def _listed(part: str, *fields: str) -> list:
+    """Number of a part's rows, and the rows in their order as text."""
+    shown = F.transform(
+        part, lambda r: F.concat_ws(":", *[F.coalesce(r[f].cast("string"), F.lit("-")) for f in fields])
+    )
+    return [F.size(part).cast("bigint").alias(f"{part}_n"), F.array_join(shown, ",").alias(part)]
+
+
+def _documents(t: RaceTables) -> DataFrame:
+    return event.race_documents(t).select(
+        "season_year",
+        "round",
+        "overview.race_name",
+        "overview.total_result_count",
+        *_listed("results", "driver_id", "source_position", "status", "time_text"),
+        *_listed("grid_vs_finish", "driver_id", "grid_position", "position_change"),
+        *_listed("qualifying", "driver_id", "position", "q1_time_millis", "q2_time_millis", "q3_time_millis"),
+        *_listed("teammate_qualifying", "constructor_id", "driver_a_name", "driver_b_name", "delta_millis"),
+        *_listed("pit_stops", "driver_id", "stop_count", "total_duration_millis", "fastest_stop_millis"),
+        *_listed("constructor_pit_stops", "constructor_id", "total_stops", "avg_duration_millis"),
+        *_listed("lap_times", "driver_id", "lap_count", "fastest_lap_millis", "avg_lap_millis"),
+        *_listed("driver_standings", "driver_id", "position", "wins"),
+        *_listed("constructor_standings", "constructor_id", "position", "wins"),
+    )
+
+
+def _as_of_scoring(t: RaceTables) -> DataFrame:
+    """Every result with the standing of the last round up to it in which the driver scored."""
+    scored = t.driver_standings.join(t.race_results.where("points > 0"), [*RACE, "driver_id"], "left_semi")
+    results = t.race_results.select(*RACE, "driver_id", "source_position")
+    return as_of_join(results, scored, ["season_year", "driver_id"], "round", ["position", "points"], "standing_")
+
+
 _TEXTS = ("q1_time", "q2_time", "q3_time")
 _VIEWS = {
     "scan_seasons": _scan("seasons"),
@@ -59,6 +94,8 @@ _VIEWS = {
     "race_results": event.race_results,
     "grid_vs_finish": event.grid_vs_finish,
     "race_classification": _classification,
+    "race_documents": _documents,
+    "results_as_of_scoring": _as_of_scoring,
     "qualifying_order": event.qualifying_order,
     "driver_standings": event.driver_standings,
     "constructor_standings": event.constructor_standings,

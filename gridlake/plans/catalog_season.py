@@ -37,6 +37,15 @@ def _driver_conversion(t: RaceTables) -> DataFrame:
     )
 
 
+def _winning_spans(t: RaceTables) -> DataFrame:
+    """From the first to the last win of each driver in each season; spans of a season overlap."""
+    return (
+        t.race_results.where("source_position = 1")
+        .groupBy("season_year", "driver_id")
+        .agg(F.min("round").alias("start_round"), F.max("round").alias("end_round"))
+    )
+
+
 def _attrition_report(t: RaceTables) -> DataFrame:
     return attrition.attrition_report(t).select(
         "season_year",
@@ -73,6 +82,7 @@ _VIEWS = {
     "attrition_phase": lambda t: attrition.attrition(t, kinds=("phase",)),
     "attrition_round": lambda t: attrition.attrition(t, kinds=("round",)),
     "attrition_report": _attrition_report,
+    "attrition_in_winning_spans": lambda t: attrition.attrition_over(t, _winning_spans(t)),
 }
 
 QUERIES = {name: over_star(view) for name, view in _VIEWS.items()}

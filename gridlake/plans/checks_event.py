@@ -57,6 +57,44 @@ PAIR_NAMES = """
 PAIR_COLUMNS = """season_year, round, constructor_id, constructor_name, driver_a_id, da.driver_name AS driver_a_name,
     driver_b_id, db.driver_name AS driver_b_name"""
 
+
+
+def _part(name: str, table: str, order: str, *fields: str, where: str = "") -> str:
+    """A table's rows of each race as one text, in order."""
+    shown = " || ':' || ".join(f"coalesce(CAST({f} AS VARCHAR), '-')" for f in fields)
+    return (
+        f"(SELECT season_year, round, count(*) AS {name}_n, string_agg({shown}, ',' ORDER BY {order}) AS {name} "
+        f"FROM {table} {where} GROUP BY season_year, round)"
+    )
+
+
+_LAP_SUMS = """(SELECT season_year, round, driver_id, count(*) AS n, min(time_millis) AS fastest,
+    sum(time_millis) // count(time_millis) AS average FROM lap_times_t GROUP BY ALL)"""
+_PIT_SUMS = """(SELECT season_year, round, driver_id, max(stop_number) AS stops, sum(duration_millis) AS total,
+    min(duration_millis) AS fastest FROM pit_stops_t GROUP BY ALL)"""
+_TEAM_PIT_SUMS = """(SELECT season_year, round, constructor_id, count(*) AS stops,
+    sum(duration_millis) // count(duration_millis) AS average
+    FROM pit_stops_t JOIN race_results_t USING (season_year, round, driver_id) GROUP BY ALL)"""
+_DOCUMENT_PARTS = {
+    "results": _part("results", "race_results_t", "source_position NULLS LAST, driver_id",
+                     "driver_id", "source_position", "status", "time_text"),
+    "grid_vs_finish": _part("grid_vs_finish", "race_results_t", "source_position NULLS LAST, driver_id",
+                            "driver_id", "grid_position", "(grid_position - source_position)"),
+    "qualifying": _part("qualifying", "qualifying_t", "position", "driver_id", "position", "q1", "q2", "q3"),
+    "teammate_qualifying": _part(
+        "teammate_qualifying", "teammate_qualifying_t", "constructor_id",
+        "constructor_id", "da.driver_name", "db.driver_name", "delta_millis",
+        where="JOIN drivers_t da ON da.driver_id = driver_a_id JOIN drivers_t db ON db.driver_id = driver_b_id"),
+    "pit_stops": _part("pit_stops", _PIT_SUMS, "stops DESC, driver_id", "driver_id", "stops", "total", "fastest"),
+    "constructor_pit_stops": _part("constructor_pit_stops", _TEAM_PIT_SUMS, "constructor_id",
+                                   "constructor_id", "stops", "CAST(average AS BIGINT)"),
+    "lap_times": _part("lap_times", _LAP_SUMS, "fastest NULLS LAST, driver_id",
+                       "driver_id", "n", "fastest", "CAST(average AS BIGINT)"),
+    "driver_standings": _part("driver_standings", "driver_standings_t", "position", "driver_id", "position", "CAST(wins AS BIGINT)"),
+    "constructor_standings": _part("constructor_standings", "constructor_standings_t", "position",
+                                   "constructor_id", "position", "CAST(wins AS BIGINT)"),
+}
+
 SQL = {
     "scan_seasons": query("SELECT DISTINCT season_year, CAST(NULL AS VARCHAR) AS url FROM entry"),
     "scan_circuits": query(
@@ -136,6 +174,20 @@ SQL = {
                           ORDER BY source_position NULLS LAST, driver_id) AS running_order
         FROM race_results_t GROUP BY ALL"""
     ),
+    "race_documents": query(
+        "SELECT season_year, round, race_name, coalesce(results_n, 0) AS total_result_count, "
+        + ", ".join(f"coalesce({p}_n, 0) AS {p}_n, coalesce({p}, '') AS {p}" for p in _DOCUMENT_PARTS)
+        + " FROM races_t "
+        + " ".join(f"LEFT JOIN {sql} USING (season_year, round)" for sql in _DOCUMENT_PARTS.values())
+    ),
+    "results_as_of_scoring": query(
+        """
+        SELECT r.season_year, r.round, r.driver_id, r.source_position, s.round AS standing_round,
+               s.position AS standing_position, CAST(s.points AS DOUBLE) AS standing_points
+        FROM race_results_t r LEFT JOIN driver_standings_t s ON s.season_year = r.season_year AND s.driver_id = r.driver_id
+         AND s.round = (SELECT max(p.round) FROM race_results_t p WHERE p.season_year = r.season_year
+                        AND p.driver_id = r.driver_id AND p.round <= r.round AND p.points > 0)"""
+    ),
     "qualifying_order": query(
         """
         SELECT season_year, round, driver_id, given_name, family_name, constructor_name, position,

@@ -301,6 +301,19 @@ SQL = {
     "completed_rounds": query("SELECT DISTINCT season_year, round FROM race_results_t"),
     "attrition_phase": query("SELECT * FROM attrition_t WHERE period_name NOT LIKE 'R%'"),
     "attrition_round": query("SELECT * FROM attrition_t WHERE period_name LIKE 'R%'"),
+    "attrition_in_winning_spans": query(
+        """
+        SELECT w.season_year, w.driver_id, start_round, end_round, count(s.state) AS entries,
+               count(*) FILTER (WHERE state <> 'DNS') AS starts,
+               count(*) FILTER (WHERE state = 'CLASSIFIED') AS classified_finishes,
+               count(*) FILTER (WHERE state = 'DNF') AS dnf_results, count(*) FILTER (WHERE state = 'DNS') AS dns_results,
+               count(*) FILTER (WHERE state = 'DSQ') AS dsq_results,
+               count(*) FILTER (WHERE state = 'UNKNOWN') AS unknown_non_classified
+        FROM (SELECT season_year, driver_id, min(round) AS start_round, max(round) AS end_round
+              FROM race_results_t WHERE source_position = 1 GROUP BY ALL) w
+        LEFT JOIN states_t s ON s.season_year = w.season_year AND s.round BETWEEN start_round AND end_round
+        GROUP BY ALL"""
+    ),
     "attrition_report": query(
         """
         SELECT p.season_year, p.up_to_round, p.period_name, p.is_complete,
