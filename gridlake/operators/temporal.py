@@ -1,9 +1,10 @@
-"""Joins along an ordered column: as-of and interval.
+"""Work along an ordered column: as-of join, interval join and running maximum.
 
-Both take any tables and any whole-number order column (a round, a lap, a
-timestamp in milliseconds).  Neither puts a key into one task: an as-of join
-splits every key by ranges of the order column and carries the last value from
-range to range, an interval join meets its points in bins.
+All take any tables and any whole-number order column (a round, a lap, an
+offset, a timestamp in milliseconds).  None puts a key into one task: as-of
+join and running maximum split every key by ranges of the order column and
+carry the last value from range to range, an interval join meets its points in
+bins.
 """
 
 from __future__ import annotations
@@ -34,6 +35,32 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def max_before(
+    rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, ranges: int = RANGES
+) -> DataFrame:
+    """The rows with ``name``: the largest value of the rows of their key that come before in ``order``; else NULL.
+
+    The first column of ``order`` holds whole numbers without nulls.  Its
+    quantiles cut a key into ranges, each ordered on its own, and the maximum of
+    the ranges before is carried from one row for each range; so a key of any
+    length uses as many tasks as there are ranges.  Rows that are alike in
+    ``order`` stand in any order.
+    """
+    cut = rows.withColumn("_at", F.col(order[0]).cast("long")).withColumn("_value", value)
+    cut = cut.withColumn("_range", _range_of(F.col("_at"), _boundaries(cut, ranges)))
+    earlier = Window.partitionBy(*[f"_{c}" for c in by]).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        cut.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_of"))
+        .agg(F.max("_value").alias("_most"))
+        .withColumn("_carry", F.max("_most").over(earlier))
+        .drop("_most")
+    )
+    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = _all([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("_range") == F.col("_of")])
+    joined = cut.join(carried, same)
+    return joined.select(*rows.columns, F.greatest(F.max("_value").over(inside), F.col("_carry")).alias(name))
+
+
 def as_of_join(
     left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], prefix: str, ranges: int = RANGES
 ) -> DataFrame:

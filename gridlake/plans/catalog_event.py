@@ -64,7 +64,6 @@ def _as_of_scoring(t: RaceTables) -> DataFrame:
     return as_of_join(results, scored, ["season_year", "driver_id"], "round", ["position", "points"], "standing_")
 
 
-_TEXTS = ("q1_time", "q2_time", "q3_time")
 _VIEWS = {
     "scan_seasons": _scan("seasons"),
     "scan_circuits": _scan("circuits", "url"),
@@ -72,12 +71,10 @@ _VIEWS = {
     "scan_drivers": _scan("drivers", "url"),
     "scan_races": _scan("races", "url"),
     "scan_race_results": _scan("race_results"),
-    "scan_qualifying_results": _scan("qualifying_results", *_TEXTS),
-    "scan_sprint_results": lambda t: t.sprint_results.select(
-        "season_year", "round", "driver_id", "constructor_id", "source_position", "points"
-    ),
+    "scan_qualifying_results": _scan("qualifying_results"),
+    "scan_sprint_results": _scan("sprint_results"),
     "scan_lap_times": _scan("lap_times"),
-    "scan_pit_stops": _scan("pit_stops", "time_of_day", "duration_text"),
+    "scan_pit_stops": _scan("pit_stops"),
     "list_races": lambda t: event.list_races(t).drop("url", "race_time"),
     "existing_races": lambda t: event.existing_races(
         t, t.races.select("season_year", (F.col("round") + 1).cast("int").alias("round"))

@@ -18,8 +18,9 @@ _DROPPED = {
     "drivers": ["url"],
     "races": ["url"],
     "race_results": [],
-    "qualifying_results": ["q1_time", "q2_time", "q3_time"],
-    "pit_stops": ["time_of_day", "duration_text"],
+    "qualifying_results": [],
+    "sprint_results": [],
+    "pit_stops": [],
     "lap_times": [],
     "driver_standings": [],
     "constructor_standings": [],
@@ -34,12 +35,6 @@ def _parse(entity: str):
     return view
 
 
-def _sprint(t: RaceTables) -> DataFrame:
-    return pages.accepted(pages.parse_sprint_results(landed_pages(t, "sprint_results"))).select(
-        "season_year", "round", "driver_id", "constructor_id", "source_position", "points"
-    )
-
-
 def _rejects(t: RaceTables) -> DataFrame:
     parsed = pages.parse_race_results(landed_pages(t, "race_results"))
     return pages.rejected(parsed).select("season_year", "round", "driver_id", "reject_reason")
@@ -117,7 +112,6 @@ def _gaps(t: RaceTables) -> DataFrame:
 
 QUERIES = {f"parse_{entity}": over_star(_parse(entity)) for entity in _DROPPED}
 QUERIES |= {
-    "parse_sprint_results": over_star(_sprint),
     "parse_rejects": over_star(_rejects),
     "parse_wrong_table": over_star(_wrong_table),
     "parse_documents": _documents_as_pages,

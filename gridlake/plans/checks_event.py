@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlake.plans.oracle import cte, query
+from gridlake.plans.oracle import DRIVER, TEAM, cte, lap_text, query, seconds_text
 
 cte(
     "teammate_qualifying_t",
@@ -115,14 +115,25 @@ SQL = {
     ),
     "scan_qualifying_results": query(
         "SELECT season_year, round, driver_id, constructor_id, car_number, position, q1 AS q1_time_millis, "
-        "q2 AS q2_time_millis, q3 AS q3_time_millis FROM qualifying_t"
+        "q2 AS q2_time_millis, q3 AS q3_time_millis, "
+        + ", ".join(f"CASE WHEN {q} IS NOT NULL THEN {lap_text(q)} END AS {q}_time" for q in ("q1", "q2", "q3"))
+        + " FROM qualifying_t"
     ),
+    # A sprint has a fixed number of laps and no times.
     "scan_sprint_results": query(
-        "SELECT season_year, round, driver_id, constructor_id, source_position, CAST(points AS DOUBLE) AS points "
-        "FROM sprint_t"
+        f"""SELECT season_year, round, {DRIVER} AS driver_id, {TEAM} AS constructor_id, suppkey % 100 AS car_number,
+            grid_position, sprint_rank AS source_position, CAST(sprint_rank AS VARCHAR) AS position_text,
+            CAST(sprint_points AS DOUBLE) AS points, CAST(20 AS BIGINT) AS laps_completed, 'Finished' AS status,
+            CAST(NULL AS BIGINT) AS time_millis, CAST(NULL AS VARCHAR) AS time_text,
+            CAST(NULL AS BIGINT) AS fastest_lap_rank, CAST(NULL AS BIGINT) AS fastest_lap_number,
+            CAST(NULL AS VARCHAR) AS fastest_lap_time, CAST(NULL AS BIGINT) AS fastest_lap_time_millis
+            FROM entry_scored WHERE sprint_points IS NOT NULL"""
     ),
     "scan_lap_times": query("SELECT * FROM lap_times_t"),
-    "scan_pit_stops": query("SELECT * FROM pit_stops_t"),
+    "scan_pit_stops": query(
+        f"SELECT *, printf('15:%02d:00', lap % 60) AS time_of_day, {seconds_text('duration_millis')} AS duration_text "
+        "FROM pit_stops_t"
+    ),
     "list_races": query(
         "SELECT season_year, round, race_name, circuit_id, circuit_name, locality, country, "
         "CAST(race_date AS VARCHAR) AS race_date FROM races_t JOIN circuits_t USING (circuit_id)"

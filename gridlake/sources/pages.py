@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.functions.scalars import blank_to_null, strip
 from gridlake.functions.timing import time_problem, time_to_millis
+from gridlake.operators.temporal import RANGES, max_before
 
 # Page layout --------------------------------------------------
 RESERVED_KEYS = ("xmlns", "series", "url", "limit", "offset", "total")
@@ -145,18 +146,19 @@ def entity_records(pages: DataFrame, entity: str) -> DataFrame:
     return raw_records(pages, items, table)
 
 
-def page_series_audit(pages: DataFrame, endpoint: str = "endpoint") -> DataFrame:
+def page_series_audit(pages: DataFrame, endpoint: str = "endpoint", ranges: int = RANGES) -> DataFrame:
     """Whether the landed pages of each endpoint cover all its records.
 
     In the order of their offsets, each page has to begin no later than the
     pages before it end, the first one at 0, and the last end has to reach the
     total.  Pages may overlap; an overlap does not make up for a gap.  A page
-    whose paging cannot be read covers nothing.
+    whose paging cannot be read covers nothing.  An endpoint of very many pages
+    is split by ``ranges`` of its offsets.
     """
     read = page_metadata(pages).where("reject_reason IS NULL").select(endpoint, "limit", "offset", "total")
-    before = Window.partitionBy(endpoint).orderBy("offset", "limit").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("offset") + F.col("limit")
-    placed = read.distinct().withColumn("reached", F.coalesce(F.max(end).over(before), F.lit(0)))
+    end = F.col("offset").cast("long") + F.col("limit")
+    placed = max_before(read.distinct(), [endpoint], ["offset", "limit"], end, "reached", ranges)
+    placed = placed.withColumn("reached", F.coalesce("reached", F.lit(0)))
     series = placed.groupBy(endpoint).agg(
         F.count(F.lit(1)).alias("pages"),
         F.max("total").alias("total"),

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from gridlake.operators import attrition, event as events, temporal
+from gridlake.sources import pages
 
 ROWS = "k string, at int, v string"
 
@@ -41,6 +42,26 @@ def test_as_of_over_its_own_table_and_empty_sides(spark):
     assert temporal.as_of_join(rows.limit(0), rows, ["k"], "at", ["v"], "p_").count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_running_maximum_across_ranges(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(rng.choice(["hot", "hot", "a", None]), k, rng.choice([None, *range(500)])) for k in rng.sample(range(-100, 400), 200)]
+    frame = spark.createDataFrame(rows, "k string, at int, n int").repartition(3)
+    got = temporal.max_before(frame, ["k"], ["at"], temporal.F.col("n"), "most", ranges)
+    want = [(k, at, n, max((r[2] for r in rows if r[0] == k and r[1] < at and r[2] is not None), default=None)) for k, at, n in rows]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_long_page_series_is_audited_in_many_groups(spark):
+    page = '{"MRData": {"limit": "10", "offset": "%d", "total": "20000", "T": {}}}'
+    whole = [("long", page % k) for k in range(0, 20000, 10)]
+    short = [("gap", page % k) for k in range(0, 20000, 10) if k != 7770]
+    frame = spark.createDataFrame(whole + short, "endpoint string, payload string")
+    audit = {r.endpoint: r for r in pages.page_series_audit(frame).collect()}
+    assert audit["long"].is_complete and audit["long"].gaps == 0 and audit["long"].covered == 20000
+    assert not audit["gap"].is_complete and audit["gap"].gaps == 1
+
+
 def test_intervals_of_all_lengths(spark):
     rng = random.Random(4)
     points = [(rng.choice(["hot"] * 5 + ["a", None]), rng.choice([None, *range(-40, 300)]), f"p{k % 50}") for k in range(300)]
