@@ -17,7 +17,7 @@ def test_queries_with_sql(spark, name):
 
 def test_one_query_for_each_operator():
     numbers = [int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
