@@ -91,7 +91,7 @@ def test_sql_gives_the_same_rows(spark, tmp_path):
 @pytest.mark.parametrize("long_id", range(3))
 def test_a_long_document_at_the_cut_is_passed_over(spark, long_id):
     rows = [(1000 + long_id, "a", "w " * 3000)] + [(k, "a", "w " * (1 + k % 13)) for k in range(400)]
-    rows += [(6000 + k, "b", "w " * 9) for k in range(150)]
+    rows += [(6000 + k, "b", "w " * 9) for k in range(190)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     for source in ("a", "b"):
         got = [r for r in mixing.mix(docs).collect() if r.source == source]
