@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from gridlake.session import working_folder
 
+BATCH_BYTES = 4 << 20
+
 # Word bytes: 0-9, a-z (A-Z are lowered) and every byte of a character outside ASCII.
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -35,14 +39,33 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit_bytes: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches that go to Python hold at most so many bytes, or one row that is longer."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    found = re.fullmatch(r"(-?\d+)b?", before)
+    if found and 0 < int(found[1]) <= limit_bytes:
+        yield
+        return
+    spark.conf.set(key, f"{limit_bytes}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared working folder and read back.
 
     It cuts the lineage with files every executor can read, so a lost executor
-    costs nothing, and the reader knows the size of what it reads.
+    costs nothing, and the reader knows the size of what it reads.  Spark's
+    own Arrow batches may reach 64 MB in the executor and again in Python, for
+    each running task, so they are held smaller here.
     """
     path = f"{working_folder(frame.sparkSession)}/{name}_{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with small_batches(frame.sparkSession):
+        frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -53,7 +76,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(column.to_pylist() for column in batch.slice(at, 500).columns))
 
 
-def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, limit_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, limit_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of bounded size; the last field of a row may be large."""
     held: list[tuple] = []
     weight = 0
