@@ -251,27 +251,31 @@ def _codes(documents: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return written(texts.mapInArrow(code, "doc_id long, codes binary"), name).dropDuplicates(["doc_id"])
 
 
-def _prefixes(ids: DataFrame, documents: DataFrame, least: float) -> DataFrame:
-    """Rows (gram, doc, place, n): the rarest shingles of each document that others have too.
+def _prefixes(docs: DataFrame, documents: DataFrame, least: float) -> DataFrame:
+    """Rows (gram, doc, label, place, n): the rarest shingles of each of the docs (doc, label) that other classes have too.
 
-    A partner has at least ``least`` of a document's n shingles, so it has one
-    of the n - ceil(least * n) + 1 rarest; ``place`` counts from the rarest.
+    A partner of another class has at least ``least`` of a document's n
+    shingles, so it has one of the n - ceil(least * n) + 1 that come first in
+    an order of all shingles; ``place`` counts from the first.  The order puts
+    shingles of one class alone before those that classes share, rarest first.
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, codes in rows_of(batches):
+        for doc, label, codes in rows_of(batches):
             own = np.unique(shingles(np.frombuffer(codes, np.uint32))).view(np.int64)
             for at in range(0, len(own), 50_000):
                 part = own[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(own)))], names=["gram", "doc", "n"]
-                )
-
-    found = written(_codes(documents, ids, "large_codes").mapInArrow(grams, "gram long, doc long, n long"), "grams")
-    shared = found.join(found.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "gram")
+                same = [pa.array(np.full(len(part), x)) for x in (doc, label, len(own))]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *same], names=["gram", "doc", "label", "n"])
+
+    codes = _codes(documents, docs.select(F.col("doc").alias("doc_id")), "large_codes")
+    coded = codes.join(docs, F.col("doc_id") == F.col("doc")).select("doc", "label", "codes")
+    found = written(coded.mapInArrow(grams, "gram long, doc long, label long, n long"), "grams")
+    counts = found.groupBy("gram").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = found.join(counts.filter("low < high").select("gram", "df"), "gram")
     last = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("gram")))
     rows = shared.withColumn("last", last).filter(F.col("last") >= F.ceil(least * F.col("n") - 1e-9))
-    return written(rows.select("gram", "doc", (F.col("n") - F.col("last")).alias("place"), "n"), "prefixes")
+    return written(rows.select("gram", "doc", "label", (F.col("n") - F.col("last")).alias("place"), "n"), "prefixes")
 
 
 def _overlapping(rows: DataFrame, least: float) -> DataFrame:
@@ -345,27 +349,30 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     pairs = _neighbours(small, 0).unionByName(members.filter(large).select(F.col("hub").alias("a"), F.col("doc").alias("b")))
     links = _verified(pairs, documents, least)
     labels = components(links)
-    turn, members = 1, written(members.filter(large).select("bucket", "size", "doc").join(distinct, "doc"), "large_members")
-    left = None
+    # One row a document, with its large buckets (SKETCHES at most), so that classes are attached once a document.
+    of = members.filter(large).groupBy("doc").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
+    turn, left, members = 1, None, written(of.join(distinct, "doc"), "large_members")
     while not members.isEmpty():
-        named = _labelled(members, labels).select("bucket", "size", "doc", "label", "sketches")
-        named = left = written(_of_many(named, "bucket"), "large_members")
-        more = _verified(_neighbours(named, turn), documents, least)
+        named = _labelled(members, labels).select(F.inline("buckets"), "doc", "label", "sketches")
+        left = written(_of_many(named, "bucket"), "large_named")
+        more = _verified(_neighbours(left, turn), documents, least)
         if more.isEmpty():
             break
         links = written(links.unionByName(more), "verified")
-        labels, members, turn = components(links), named.drop("label"), turn + 1
+        members = written(members.join(left.select("doc").distinct(), "doc", "left_semi"), "large_members")
+        labels, turn = components(links), turn + 1
 
     if left is not None and not members.isEmpty():
         # Each large gram's document with the fewest rarer shingles first, so that few classes are left for all pairs.
-        prefixes = _prefixes(left.select(F.col("doc").alias("doc_id")).distinct(), documents, least)
-        grams = prefixes.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("place", "doc")).alias("hub"))
+        prefixes = _prefixes(left.select("doc", "label").distinct(), documents, least)
+        grams = prefixes.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("place", "doc", "label")).alias("hub"))
         prefixes = written(prefixes.join(grams.filter("size > 1"), "gram"), "prefixes")
-        small = _overlapping(_of_many(_labelled(prefixes.filter(~large), labels), "gram"), least)
-        hubs = prefixes.filter(large).select(F.least("hub.doc", "doc").alias("a"), F.greatest("hub.doc", "doc").alias("b"))
+        small = _overlapping(_of_many(prefixes.filter(~large), "gram"), least)
+        hubs = prefixes.filter(large & (F.col("hub.label") != F.col("label")))
+        hubs = hubs.select(F.least("hub.doc", "doc").alias("a"), F.greatest("hub.doc", "doc").alias("b"))
         links = written(links.unionByName(_verified(small.unionByName(hubs), documents, least)), "verified")
         labels = components(links)
-        rest = written(_of_many(_labelled(prefixes.filter(large), labels), "gram"), "prefixes")
+        rest = written(_of_many(_labelled(prefixes.filter(large).drop("label"), labels), "gram"), "prefixes")
         if not rest.isEmpty():
             links = written(links.unionByName(_verified(_overlapping(rest, least), documents, least)), "verified")
             labels = components(links)
