@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 COPIES_PER_PIECE = 100_000
 
 
+def number_rows(rows: DataFrame, group: list[str], order: list[str], copies: str, counters: dict[str, Column]) -> DataFrame:
+    """Like ``number_within`` for groups that one task can hold: one window, no slots."""
+    so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    amount = {name: F.when(cond, F.col(copies)).otherwise(0) for name, cond in counters.items()}
+    return rows.select("*", *[F.sum(a).over(so_far).alias(name) for name, a in amount.items()])
+
+
 def number_within(
     rows: DataFrame,
     group: list[str],

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from gridlake.session import working_folder
 
-_BYTES_PER_BUCKET = 64 << 20
+# Rows take about ten times as much memory as they take in a Parquet file, and a task
+# sorts them several times over.
+_BYTES_PER_BUCKET = 4 << 20
 _MAX_BUCKETS = 100_000
 
 _written: dict[tuple[str, str, str, int], str] = {}
@@ -23,7 +25,7 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 
 
 def bucket_count(spark: SparkSession, data_bytes: int) -> int:
-    """Buckets of about 64 MB, at least one per core; Spark allows no more than the limit."""
+    """Buckets of about 4 MB of Parquet, at least one per core; Spark allows no more than the limit."""
     wanted = max(spark.sparkContext.defaultParallelism, -(-data_bytes // _BYTES_PER_BUCKET))
     return max(1, min(wanted, _MAX_BUCKETS))
 

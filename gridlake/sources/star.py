@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import timing
 from gridlake.functions.scalars import is_classified
-from gridlake.operators.numbering import number_within, repeat_rows
-from gridlake.plans.store import stored
+from gridlake.operators.numbering import number_rows, number_within, repeat_rows
+from gridlake.plans.store import bucket_count, stored, stored_bytes
 from gridlake.tables import RaceTables
 
 # Fixed values -------------------------------------------------------------
@@ -24,6 +24,8 @@ RACE_POINTS = (25, 18, 15, 12, 10, 8, 6, 4, 2, 1)
 SPRINT_ROUNDS = (5, 6, 11, 18, 19, 23)
 Q2_PLACES, Q3_PLACES = 15, 10
 LAP_SLOTS = 1024
+# A driver of more line items than this has its laps numbered slot by slot.
+BUSY_ITEMS = 100_000
 # Every place nearer to the front of the series is worth this much, in cents.
 SKILL_STEPS = {"price": 2_000_000, "quantity": 1_000, "discount": 5}
 # --------------------------------------------------------------------------
@@ -56,9 +58,8 @@ def team_slug(key: Column) -> Column:
     return _slug("team_", _div(key, 2))
 
 
-def records(spark: SparkSession, root: str) -> DataFrame:
-    """One row per line item, placed in its season, round and car."""
-    items = _read(spark, root, "lineitem").select(
+def _items(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, root, "lineitem").select(
         F.col("l_orderkey").alias("orderkey"),
         F.col("l_linenumber").alias("linenumber"),
         F.col("l_partkey").alias("partkey"),
@@ -68,9 +69,27 @@ def records(spark: SparkSession, root: str) -> DataFrame:
         _cents("l_discount").alias("discount"),
         _cents("l_tax").alias("tax"),
     )
+
+
+def _tasks(spark: SparkSession, root: str) -> int:
+    """Tasks of bounded size for the line items with their orders."""
+    return bucket_count(spark, sum(stored_bytes(spark, f"{root}/{t}.parquet") for t in ("lineitem", "orders")))
+
+
+def records(spark: SparkSession, root: str, items: DataFrame | None = None) -> DataFrame:
+    """One row per line item, placed in its season, round and car.
+
+    The number of tasks follows the size of the files, so none grows with the data; an
+    order is looked up in a hash table of its task, so the line items are not sorted.
+    """
+    tasks = _tasks(spark, root)
+    items = _items(spark, root) if items is None else items
     orders = _read(spark, root, "orders").select(F.col("o_orderkey").alias("orderkey"), "o_orderdate")
     date = F.col("o_orderdate")
-    return items.join(orders, "orderkey").select(
+    placed = items.repartition(tasks, "orderkey").join(
+        orders.repartition(tasks, "orderkey").hint("shuffle_hash"), "orderkey"
+    )
+    return placed.select(
         (_div(F.col("suppkey"), FIELD_SIZE) * 10000 + F.year(date)).alias("season_year"),
         (F.month(date) * 2 - F.when(F.dayofmonth(date) > 15, 0).otherwise(1)).alias("round"),
         "suppkey",
@@ -82,22 +101,35 @@ def _lap_millis() -> Column:
     return F.when(F.col("tax") != 8, F.lit(60000) + _div(F.col("price"), 100) % 40000)
 
 
+def _busy(spark: SparkSession, root: str) -> DataFrame:
+    """Drivers of very many line items; there is at most one for every ``BUSY_ITEMS`` rows."""
+
+    def count() -> DataFrame:
+        counted = _items(spark, root).groupBy("suppkey").agg(F.count(F.lit(1)).alias("items"))
+        return counted.where(F.col("items") > BUSY_ITEMS).select(F.col("suppkey").alias("busy"))
+
+    return stored(spark, root, "busy", count)
+
+
 def build_entries(spark: SparkSession, root: str, partitions: int) -> DataFrame:
     """One wide row per car and race: grid, finish, qualifying, sprint and standing.
 
-    All windows lie inside a season, so after the aggregation one exchange by
-    season serves every one of them, and the bucketed write as well.
+    All windows lie inside a season, so one exchange by season serves every one of them,
+    and the bucketed write as well.  It comes before the aggregation, which a car has only
+    a few line items for; with a busy driver it comes after one that combines map-side.
     """
+    rows, by_season = records(spark, root), lambda frame: frame.repartition(partitions, "season_year")
+    busy = not _busy(spark, root).isEmpty()
     entry = (
-        records(spark, root)
+        (rows if busy else by_season(rows))
         .groupBy(*_ENTRY)
         .agg(
             F.count(F.lit(1)).alias("laps"),
             *[F.sum(c).alias(c) for c in ("price", "quantity", "discount", "tax")],
             F.min(_lap_millis()).alias("fastest"),
         )
-        .repartition(partitions, "season_year")
     )
+    entry = by_season(entry) if busy else entry
     race = Window.partitionBy("season_year", "round")
     season = Window.partitionBy("season_year", "suppkey").orderBy("round")
 
@@ -175,17 +207,34 @@ def build_laps(spark: SparkSession, root: str) -> DataFrame:
     """Laps numbered within their car and race; pit laps carry a stop number.
 
     Identical line items are one row with their number of ``copies`` and the
-    numbers of the last copy.  They meet before anything is sorted, and the lap
-    order starts with a slot that spreads a busy car over many tasks.
+    numbers of the last copy.  The laps of most drivers are brought together by car and race
+    once, and counted and numbered there.  Those of a busy driver meet their copies
+    before anything is sorted, and the slot that the lap order starts with spreads them
+    over many tasks.
     """
     slot = (
         F.col("orderkey") + F.col("linenumber") * 31 + F.col("partkey") * 961 + F.col("price")
     ) % LAP_SLOTS
-    distinct = records(spark, root).groupBy(*_ENTRY, slot.alias("slot"), *_LAP).agg(F.count(F.lit(1)).alias("copies"))
     pit = F.col("discount") >= 9
-    return number_within(
-        distinct, _ENTRY, "slot", _LAP, "copies", {"last_lap": F.lit(True), "last_stop": pit}
-    ).select(
+    counters = {"last_lap": F.lit(True), "last_stop": pit}
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*_ENTRY, *_LAP).agg(F.count(F.lit(1)).alias("copies")).withColumn("slot", slot)
+
+    def usual(items: DataFrame) -> DataFrame:
+        rows = records(spark, root, items).repartition(_tasks(spark, root), *_ENTRY)
+        return number_rows(distinct(rows), _ENTRY, ["slot", *_LAP], "copies", counters)
+
+    items, busy = _items(spark, root), _busy(spark, root)
+    if busy.isEmpty():
+        laps = usual(items)
+    else:
+        is_busy = F.col("suppkey").eqNullSafe(F.col("busy"))
+        of_busy = records(spark, root, items.join(F.broadcast(busy), is_busy, "left_semi"))
+        laps = usual(items.join(F.broadcast(busy), is_busy, "left_anti")).unionByName(
+            number_within(distinct(of_busy), _ENTRY, "slot", _LAP, "copies", counters)
+        )
+    return laps.select(
         *_ENTRY,
         "copies",
         "last_lap",
