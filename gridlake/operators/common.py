@@ -9,6 +9,8 @@ from gridlake.functions.scalars import full_name
 from gridlake.tables import RaceTables
 
 RACE = ["season_year", "round"]
+# Names of up to this many drivers or teams are sent to every task.
+BROADCAST_NAMES = 1_000_000
 
 
 def scoped(
@@ -31,18 +33,22 @@ def scoped(
     return rows
 
 
+def _sent(tables: RaceTables, name: str, rows: DataFrame) -> DataFrame:
+    """Names for every task, so that the facts they are joined to stay where they are; very many are shuffled."""
+    return F.broadcast(rows) if tables.has_few(name, BROADCAST_NAMES) else rows
+
+
 def driver_names(tables: RaceTables) -> DataFrame:
-    return tables.drivers.select("driver_id", "given_name", "family_name")
+    return _sent(tables, "drivers", tables.drivers.select("driver_id", "given_name", "family_name"))
 
 
 def driver_label(tables: RaceTables, key: str = "driver_id", name: str = "driver_name") -> DataFrame:
-    return tables.drivers.select(
-        F.col("driver_id").alias(key), full_name(F.col("given_name"), F.col("family_name")).alias(name)
-    )
+    label = full_name(F.col("given_name"), F.col("family_name")).alias(name)
+    return _sent(tables, "drivers", tables.drivers.select(F.col("driver_id").alias(key), label))
 
 
 def constructor_names(tables: RaceTables) -> DataFrame:
-    return tables.constructors.select("constructor_id", F.col("name").alias("constructor_name"))
+    return _sent(tables, "constructors", tables.constructors.select("constructor_id", F.col("name").alias("constructor_name")))
 
 
 def race_details(tables: RaceTables) -> DataFrame:

@@ -223,7 +223,9 @@ def build_laps(spark: SparkSession, root: str) -> DataFrame:
 
     def usual(items: DataFrame) -> DataFrame:
         rows = records(spark, root, items).repartition(_tasks(spark, root), *_ENTRY)
-        return number_rows(distinct(rows), _ENTRY, ["slot", *_LAP], "copies", counters)
+        numbered = number_rows(distinct(rows), _ENTRY, ["slot", *_LAP], "copies", counters)
+        # A line item that lacks a key counts in the numbers of the others, but is no lap itself.
+        return numbered.dropna(subset=[*_ENTRY, "slot"])
 
     items, busy = _items(spark, root), _busy(spark, root)
     if busy.isEmpty():

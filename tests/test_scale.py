@@ -3,9 +3,13 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from gridlake.operators import common
+from gridlake.plans import ingest
 from gridlake.plans.store import bucket_count, drop_stored
 from gridlake.sources import star
+from gridlake.tables import RaceTables
 
 
 @pytest.fixture
@@ -33,6 +37,8 @@ def test_busy_drivers_are_numbered_like_the_others(spark, source, monkeypatch, b
     drop_stored(spark, source)
     monkeypatch.setattr(star, "BUSY_ITEMS", 100)
     assert len(usual) > 10
+    if build is star.build_laps:
+        assert all(row[:3] != ("", "5", "") and row[2] for row in usual)  # no lap without a driver
     assert _rows(build(spark, source)) == usual
 
 
@@ -45,3 +51,35 @@ def test_line_items_move_once_to_their_order_and_once_to_their_group(spark, sour
 
 def test_buckets_are_small(spark):
     assert bucket_count(spark, 640 << 20) >= 80
+
+
+def test_very_many_seasons_share_folders(spark, event, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "SEASON_FOLDERS", 20)
+    monkeypatch.setattr(ingest, "SEASON_BLOCKS", 4)
+    store = ingest.RaceStore(spark, str(tmp_path / "store"))
+    many = spark.range(2030, 2070).select(F.col("id").alias("season_year"))
+    batch = {n: event[n] for n in ("circuits", "constructors", "drivers")} | {"seasons": many}
+    batch |= {n: event[n].drop("season_year").crossJoin(many) for n in ("races", "race_results")}
+    store.ingest(batch)
+    folders = sorted(f.name for f in (tmp_path / "store" / "race_results").glob("season*"))
+    assert folders == [f"season_block={n}" for n in range(4)]
+    one = event.race_results.withColumn("season_year", F.lit(2033).cast("bigint")).withColumn("status", F.lit("Lapped"))
+    found = store.ingest({"race_results": one}).first()
+    assert (found.records_updated, found.records_inserted) == (6, 0)
+    rows = store.read("race_results")
+    assert rows.count() == 240 and rows.select("season_year").distinct().count() == 40
+    assert {r.season_year for r in rows.where("status = 'Lapped'").select("season_year").collect()} == {2033}
+    assert store.ingest(batch).where("entity_type = 'races'").first().records_skipped == 40
+
+
+def test_names_are_sent_to_the_facts(spark, event, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = event.race_results.join(common.constructor_names(event), "constructor_id")
+        assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(common, "BROADCAST_NAMES", 1)
+        fresh = RaceTables(lambda name: event[name])
+        rows = event.race_results.join(common.constructor_names(fresh), "constructor_id")
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
