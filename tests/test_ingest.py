@@ -40,6 +40,30 @@ def test_last_row_of_a_batch_wins(spark):
     assert tuple(upsert.ingestion_stats(plan, "any").first())[1:] == (6, 2, 3, 1)
 
 
+def test_rows_without_a_key_meet_no_other_row(spark):
+    old = spark.createDataFrame([("a", "1"), (None, "2")], "k string, t string")
+    new = spark.createDataFrame([("a", "1"), (None, "2"), (None, "2")], "k string, t string")
+    plan = upsert.plan_upsert("any", old, new, ["k"])
+    got = sorted((r.k or "", r.t, r.action, r.copies, r.updates) for r in plan.collect())
+    assert got == [("", "2", "inserted", 1, 0), ("", "2", "inserted", 1, 0), ("", "2", "kept", 0, 0), ("a", "1", "skipped", 1, 0)]
+
+
+def _exchanges(frame):
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan.splitlines())
+
+
+def test_an_upsert_exchanges_each_side_once(spark, event):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = upsert.plan_upsert("lap_times", event.lap_times.where("lap_number < 3"), event.lap_times)
+        assert _exchanges(upsert.ingestion_stats(plan, "lap_times")) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_blank_keeps_the_last_text_of_the_batch(spark):
     old = spark.createDataFrame([("a", "1:30", 1)], "k string, time string, v int")
     rows = spark.createDataFrame([("a", 1, "1:31", 1), ("a", 2, "", 1), ("b", 1, "", 2), ("a", 3, None, 1)], "k string, n int, time string, v int")
