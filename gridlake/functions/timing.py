@@ -9,26 +9,40 @@ from gridlake.functions.scalars import strip
 
 # Fixed formats: ``H:MM:SS[.f]``, ``M:SS[.f]`` or ``SS[.f]`` with an optional
 # sign.  The leading part may have any number of digits, the others one or two.
-_FORMAT = r"r'\A[+-]?([0-9]+|[0-9]+:[0-9]{1,2}|[0-9]+:[0-9]{1,2}:[0-9]{1,2})(\.[0-9]+)?\z'"
-
-# The text is bound to ``s`` and its parts to ``p`` by one-element transforms,
-# so the plan holds each once.  The fraction is padded or cut to three digits.
-_LAST = "try_cast(substring_index(element_at(p, -1), '.', 1) AS INT)"
-_READ = rf"""
-    s -> transform(array(split(regexp_replace(s, r"^[+-]", ""), ':')), p -> named_struct(
-      'problem', CASE
-        WHEN s = '' THEN 'empty time'
-        WHEN NOT s RLIKE {_FORMAT} THEN 'malformed time'
-        WHEN size(p) = 3 AND try_cast(p[1] AS INT) > 59 THEN 'invalid minutes'
-        WHEN size(p) > 1 AND {_LAST} > 59 THEN 'invalid seconds' END,
-      'millis', IF(startswith(s, '-'), -1, 1) * (
-        1000 * aggregate(p, 0L, (total, v) -> total * 60 + try_cast(substring_index(v, '.', 1) AS BIGINT))
-        + try_cast(rpad(regexp_extract(s, r'\.([0-9]+)', 1), 3, '0') AS BIGINT)),
-      'negative', startswith(s, '-')))[0]"""
-
-
-def _read(text: Column) -> Column:
-    return F.call_function("transform", F.array(strip(text)), F.expr(_READ))[0]
+_FORMAT = r"\A[+-]?([0-9]+|[0-9]+:[0-9]{1,2}|[0-9]+:[0-9]{1,2}:[0-9]{1,2})(\.[0-9]+)?\z"
+
+
+def _read(text: Column) -> dict[str, Column]:
+    """What is wrong with a text, its milliseconds if nothing is, and whether it is negative.
+
+    Plain text functions, which compile, unlike functions of lambdas.  Parts are taken
+    from the text as if it were well formed; the problem comes first.
+    """
+    s = strip(text)
+    unsigned = F.translate(s, "+-", "")
+    clock = F.substring_index(unsigned, ".", 1)
+    colons = F.length(clock) - F.length(F.translate(clock, ":", ""))
+    parts = [
+        F.substring_index(clock, ":", 1),
+        F.substring_index(F.substring_index(clock, ":", 2), ":", -1),
+        F.substring_index(clock, ":", -1),
+    ]
+    number = [p.try_cast("bigint") for p in parts]
+    seconds = (
+        F.when(colons == 0, number[0])
+        .when(colons == 1, number[0] * 60 + number[1])
+        .otherwise((number[0] * 60 + number[1]) * 60 + number[2])
+    )
+    # The fraction is padded or cut to three digits.
+    fraction = F.rpad(F.substring(unsigned, F.length(clock) + 2, F.lit(3)), 3, "0").try_cast("bigint")
+    return {
+        "problem": F.when(s == "", "empty time")
+        .when(~s.rlike(_FORMAT), "malformed time")
+        .when((colons == 2) & (number[1] > 59), "invalid minutes")
+        .when((colons > 0) & (number[2] > 59), "invalid seconds"),
+        "millis": F.when(s.startswith("-"), -1).otherwise(1) * (seconds * 1000 + fraction),
+        "negative": s.startswith("-"),
+    }
 
 
 def time_problem(text: Column, allow_negative: bool = False) -> Column:
