@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.session import working_folder
+from gridlake.session import JOINS_IN_BUCKETS, working_folder
 
 # Rows take about ten times as much memory as they take in a Parquet file, and a task
 # sorts them several times over.
@@ -67,8 +67,11 @@ def stored(
     recomputation.  With ``bucket_by`` the table is bucketed, the number of
     buckets following the size of the files at ``sized_by``; ``build`` is given
     that number and returns the rows in that many partitions of the column.
-    Grouping and windows over keys that contain the column then need no shuffle.
+    Grouping, windows and joins over keys that contain the column then need no
+    shuffle; for the joins the session is told so, whatever it was started with.
     """
+    if bucket_by:
+        spark.conf.set(*JOINS_IN_BUCKETS)
     key = (spark.sparkContext.applicationId, source, name, _state(spark, source))
     if key not in _written:
         table = f"gridlake_{name}_{uuid.uuid4().hex}"

@@ -42,3 +42,18 @@ def test_season_groupings_need_no_shuffle(spark):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     assert "PushedFilters" in plan
+
+
+@pytest.mark.parametrize("name", ["form_summary", "mixed_insights", "season_insights"])
+def test_joins_of_entries_need_no_shuffle_in_any_session(spark, name):
+    """Joins by season, round and driver run inside the buckets, also where the session was not set up for them."""
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    kept = {key: spark.conf.get(key) for key in (setting, "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set(setting, "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = catalog.queries()[name](spark, ROOT)
+        assert "Exchange hashpartitioning(season_year" not in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
