@@ -26,8 +26,8 @@ may make a block longer than the target, never split; further columns are ignore
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,9 @@ from gridlake.llm.common import batched, rows_of, text_or_empty, written
 
 END = 2
 BLOCK_TOKENS = 1_000_000
-CACHED_WORDS = 600_000
+CACHED_PIECES = 300_000
 
-_CHUNK = re.compile(r"\s*\S+|\s+")
+_STEP = 1 << 18
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 
 
@@ -84,92 +84,143 @@ def decode_block(ranks: bytes, control: bytes, data: bytes, count: int) -> np.nd
     return np.frombuffer(ranks, "<u4")[values]
 
 
+# Classes of bytes: letters (ASCII and U+00C0 to U+023F), digits, ASCII punctuation, the apostrophe, the space, the line end,
+# other characters outside ASCII, and all that may be white space or is a control character.
+_LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _LINE, _OTHER, _UNSURE = range(8)
+
+
+def _classes() -> np.ndarray:
+    table = np.full(256, _UNSURE, np.uint8)
+    table[0x21:0x7F] = _MARK
+    for low, high in ("AZ", "az"):
+        table[ord(low) : ord(high) + 1] = _LETTER
+    table[ord("0") : ord("9") + 1] = _DIGIT
+    table[[ord("'"), ord(" "), ord("\n")]] = _QUOTE, _SPACE, _LINE
+    table[0x80:], table[0xC3:0xC9] = _OTHER, _LETTER
+    return table
+
+
+def _sure() -> np.ndarray:
+    """Whether the byte-level split cuts between two classes, wherever they meet."""
+    table = np.zeros((8, 8), bool)
+    table[np.ix_([_LETTER, _DIGIT, _MARK, _QUOTE, _OTHER], [_SPACE, _LINE])] = True
+    table[np.ix_([_LETTER, _DIGIT, _MARK], [_LETTER, _DIGIT, _MARK])] = ~np.eye(3, dtype=bool)
+    table[[_LETTER, _DIGIT], _QUOTE] = True
+    return table.reshape(-1)
+
+
+_CLASSES, _SURE = _classes(), _sure()
+
+
+def sure_cuts(raw: np.ndarray) -> np.ndarray:
+    """Per byte of UTF-8 texts, whether the byte-level split surely cuts before it.
+
+    It takes a space with the letters, digits or other characters that follow
+    it, and an apostrophe with some letters, so it cuts where letters, digits
+    and punctuation meet, before white space that follows another character,
+    and after a single line end between two of them.
+    """
+    kinds = _CLASSES[raw]
+    two = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC8))
+    kinds[two + 1] = _LETTER
+    signs = two[(raw[two] == 0xC3) & ((raw[two + 1] == 0x97) | (raw[two + 1] == 0xB7))]  # multiplication and division
+    kinds[signs], kinds[signs + 1] = _OTHER, _OTHER
+    two = np.flatnonzero(raw == 0xC2) + 1
+    kinds[two[(raw[two] == 0x85) | (raw[two] == 0xA0)]] = _UNSURE
+    three = np.flatnonzero((raw >= 0xE1) & (raw <= 0xE3))
+    first, second, third = raw[three], raw[three + 1], raw[three + 2]
+    wide = (third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)
+    white = (first == 0xE1) & ((second == 0x9A) | (second == 0xA0))
+    white |= (first == 0xE2) & ((second == 0x80) & wide | (second == 0x81) & (third == 0x9F))
+    white |= (first == 0xE3) & (second == 0x80) & (third == 0x80)
+    kinds[three[white] + 2] = _UNSURE
+    cuts = np.empty(len(raw), bool)
+    cuts[:1] = True
+    cuts[1:] = _SURE[kinds[:-1] * np.uint8(8) + kinds[1:]]
+    line = np.flatnonzero(kinds[1:-1] == _LINE) + 1
+    cuts[line[cuts[line] & (kinds[line + 1] <= _QUOTE)] + 1] = True
+    return cuts
+
+
 class WordEncoder:
     """Whole-text ids from the tokenizer, which sees each distinct piece of text once while it is kept.
 
-    The byte-level split never joins a non-white character with white space
-    after it, so a text may be cut before white space and the pieces' ids
-    joined.  Texts are cut at spaces, or, where a space meets other white
-    space, before each run of white space.  The number of kept pieces is
+    Texts are cut where the byte-level split is sure to cut, and the pieces'
+    ids joined.  Places are found by numpy and the distinct pieces of a batch
+    by Arrow, so only these are looked up.  The number of kept pieces is
     bounded; the others are encoded anew.
     """
 
-    def __init__(self, path: str, kept: int = CACHED_WORDS):
+    def __init__(self, path: str, kept: int = CACHED_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept = kept
-        self.after_space: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
+        self.most = kept
+        self.kept: dict[str, bytes] = {}
         pieces = (self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size()))
         self.starts = np.array([p.startswith("Ġ") for p in pieces])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _raw(self, text: str) -> bytes:
-        return self.ids(text).astype("<u4").tobytes()
-
-    def _alone(self, piece: str) -> bytes:
-        found = self.alone.get(piece)
-        if found is None:
-            found = self._raw(piece)
-            if len(self.alone) < self.kept // 4 and len(piece) <= 64:
-                self.alone[piece] = found
-        return found
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        out, waiting, missing = [], [], {}
-        get = self.after_space.get
-        for text in texts:
-            if any(s in text for s in self.special):
-                out.append(self._raw(text))
-                continue
-            words = text.split(" ")
-            found = list(map(get, words[1:]))
-            if None not in found:
-                out.append(self._alone(words[0]) + b"".join(found) if self._cuts(words[0]) else self._by_runs(text))
-                continue
-            gaps = [k for k, x in enumerate(found, 1) if x is None]
-            # A word that begins or ends with white space is never kept, so such texts always come here.
-            if all(self._cuts(words[k]) for k in gaps) and self._cuts(words[0]):
-                waiting.append((len(out), words, found, gaps))
-                missing.update((words[k], None) for k in gaps)
-                out.append(b"")
-            else:
-                out.append(self._by_runs(text))
-        fresh = self._encode(list(missing))
-        for place, words, found, gaps in waiting:
-            for k in gaps:
-                found[k - 1] = fresh[words[k]]
-            out[place] = self._alone(words[0]) + b"".join(found)
-        if len(self.after_space) < self.kept:
-            self.after_space.update((w, x) for w, x in fresh.items() if len(w) <= 64)
-        return out
-
-    @staticmethod
-    def _cuts(word: str) -> bool:
-        """Whether a text may be cut at the spaces around a word."""
-        return word != "" and not word[0].isspace() and not word[-1].isspace()
-
-    def _by_runs(self, text: str) -> bytes:
-        return b"".join(map(self._alone, _CHUNK.findall(text)))
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words as they are after a space, many words at a time."""
-        found = {}
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            ids = self.ids(" " + " ".join(some))
+        plain = [k for k, text in enumerate(texts) if not any(s in text for s in self.special)]
+        found = dict(zip(plain, self._joined([texts[k] for k in plain])))
+        return [found[k] if k in found else self.ids(text).tobytes() for k, text in enumerate(texts)]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens, from those of their pieces."""
+        column = pa.array(texts, pa.large_string())
+        _, offsets, data = column.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(texts) + 1) if texts else np.zeros(1, np.int64)
+        if not bounds[-1]:
+            return [b""] * len(texts)
+        raw = np.frombuffer(data, np.uint8, bounds[-1])
+        cuts = sure_cuts(raw)
+        cuts[bounds[bounds < len(raw)]] = True
+        at = np.r_[np.flatnonzero(cuts), len(raw)]
+        pieces = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
+        known = self._pieces(pieces.dictionary.to_pylist())
+        codes, ids = pieces.indices.to_numpy(), np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        counts, begins = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.r_[0, np.cumsum(counts)]
+        joined = np.empty(ends[-1], "<u4")
+        for k in range(0, len(codes), _STEP):
+            some = slice(k, min(k + _STEP, len(codes)))
+            low, high = ends[some.start], ends[some.stop]
+            # A piece's place among the distinct pieces, less its place in the text.
+            joined[low:high] = ids[np.repeat(begins[some] - ends[:-1][some], counts[some]) + np.arange(low, high)]
+        limits = ends[np.searchsorted(at, bounds)].tolist()
+        return [joined[a:b].tobytes() for a, b in zip(limits, limits[1:])]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(self.kept.get, pieces))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        spaced = [k for k in gaps if pieces[k].rfind(" ") == 0 and not pieces[k][-1].isspace()]
+        self._encode(pieces, spaced, found)
+        for k in gaps:
+            if found[k] is None:
+                found[k] = self.ids(pieces[k]).tobytes()
+        room = self.most - len(self.kept)
+        if room > 0:
+            self.kept.update(islice(((pieces[k], found[k]) for k in gaps if len(pieces[k]) <= 64), room))
+        return found
+
+    def _encode(self, pieces: list[str], spaced: list[int], found: list[bytes | None]) -> None:
+        """Fills in the ids of pieces that have a space only at their begin, many at a time."""
+        for n in range(0, len(spaced), 1000):
+            some = spaced[n : n + 1000]
+            ids = self.ids("".join([pieces[k] for k in some]))
             bounds = np.flatnonzero(self.starts[ids])
             if len(bounds) != len(some):
-                found.update((w, self._raw(" " + w)) for w in some)
                 continue
-            raw, ends = ids.astype("<u4").tobytes(), [*bounds[1:].tolist(), len(ids)]
-            found.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, bounds.tolist(), ends))
-        return found
+            raw, ends = ids.tobytes(), [*bounds[1:].tolist(), len(ids)]
+            for k, a, b in zip(some, bounds.tolist(), ends):
+                found[k] = raw[4 * a : 4 * b]
 
 
 _encoders: dict[tuple, WordEncoder] = {}

@@ -25,6 +25,39 @@ def test_word_encoder_is_the_tokenizer(texts):
         assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+ANY_TEXTS = st.text(alphabet=st.sampled_from("ab Z09.,!-'s\n\t \xa0\x85\x1c×÷éÿɏɐ’漢　   \u180e\u200b🙂²Ⅷ") | st.characters(exclude_categories=["Cs"]), max_size=30)
+
+
+@settings(max_examples=500, deadline=None)
+@given(ANY_TEXTS)
+def test_sure_cuts_are_cuts_of_the_tokenizer(text):
+    encode = tf.word_encoder(BYTE_BPE)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    begins = {len(text[:a].encode()) for _, (a, _) in encode.tokenizer.pre_tokenizer.pre_tokenize_str(text)}
+    assert set(np.flatnonzero(tf.sure_cuts(raw)).tolist()) <= begins | {0}
+    assert np.frombuffer(encode([text, "", text + " x"])[2], "<u4").tolist() == encode.ids(text + " x").tolist()
+
+
+def test_a_word_is_encoded_once_whatever_follows_it():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.seen = tokenizer, 0
+
+        def encode(self, text, **options):
+            self.seen += len(text)
+            return self.tokenizer.encode(text, **options)
+
+    encode = tf.WordEncoder(BYTE_BPE)
+    text = "".join(f" Wort{mark}" for mark in (".", ",", "!", ";", ":", "?", ".\nx", "9", "'", "%%%"))
+    wanted = encode.ids(text).tolist()
+    counted = encode.tokenizer = Counted(encode.tokenizer)
+    assert np.frombuffer(encode([text])[0], "<u4").tolist() == wanted
+    assert counted.seen < len(text) / 2
+    most = encode.most = 3
+    encode.kept.clear()
+    assert np.frombuffer(encode([text])[0], "<u4").tolist() == wanted and len(encode.kept) == most
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXTS)
 def test_every_prefix_has_its_exact_count(text):
