@@ -64,6 +64,30 @@ def test_an_upsert_exchanges_each_side_once(spark, event):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_a_batch_that_repeats_keys_is_exchanged_once_with_the_stored_rows(spark, event):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = event.lap_times.withColumn("n", F.lit(1)).unionByName(event.lap_times.withColumn("n", F.lit(2)))
+        plan = upsert.plan_upsert("lap_times", event.lap_times.where("lap_number < 3"), batch, order="n")
+        assert _exchanges(upsert.ingestion_stats(plan, "lap_times")) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_batch_that_repeats_one_key_settles_all_others(spark):
+    stored = [("a", "1", 7), ("b", "1", 7), ("c", "1", 7), ("z", "1", 7), ("z", "2", 7), (None, "1", 7), (None, "2", 7)]
+    old = spark.createDataFrame(stored, "k string, t string, more int")
+    rows = [("a", 1, "2"), ("a", 2, "1"), ("b", 1, "1"), ("c", 1, "2"), ("d", 1, None), (None, 1, "1"), (None, 1, "1")]
+    plan = upsert.plan_upsert("any", old, spark.createDataFrame(rows, "k string, n int, t string"), ["k"], "n")
+    got = sorted((r.k or "", r.t or "", r.more or 0, r.action, r.copies, r.updates) for r in plan.collect())
+    assert got == [
+        ("", "1", 0, "inserted", 1, 0), ("", "1", 0, "inserted", 1, 0), ("", "1", 7, "kept", 0, 0), ("", "2", 7, "kept", 0, 0),
+        ("a", "1", 7, "updated", 2, 2), ("b", "1", 7, "skipped", 1, 0), ("c", "2", 7, "updated", 1, 1),
+        ("d", "", 0, "inserted", 1, 0), ("z", "1", 7, "kept", 0, 0), ("z", "2", 7, "kept", 0, 0),
+    ]
+
+
 def test_blank_keeps_the_last_text_of_the_batch(spark):
     old = spark.createDataFrame([("a", "1:30", 1)], "k string, time string, v int")
     rows = spark.createDataFrame([("a", 1, "1:31", 1), ("a", 2, "", 1), ("b", 1, "", 2), ("a", 3, None, 1)], "k string, n int, time string, v int")
