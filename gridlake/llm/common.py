@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -69,6 +71,25 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system.
+
+    Spark keeps workers for later tasks, also beside stages that need none, and
+    both Arrow and the C library keep what was freed, some 100 MB of a worker.
+    """
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and ``release`` after the last one."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples, a few hundred at a time in Python's own form."""
     for batch in batches:
@@ -80,14 +101,18 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, limit_by
     """Rows as Arrow batches of bounded size; the last field of a row may be large."""
     held: list[tuple] = []
     weight = 0
-    for row in rows:
-        held.append(row)
-        weight += sum(len(x) for x in row if isinstance(x, (str, bytes, list)))
-        if len(held) >= size or weight >= limit_bytes:
+    try:
+        for row in rows:
+            held.append(row)
+            weight += sum(len(x) for x in row if isinstance(x, (str, bytes, list)))
+            if len(held) >= size or weight >= limit_bytes:
+                yield _batch(held, schema)
+                held, weight = [], 0
+        if held:
             yield _batch(held, schema)
-            held, weight = [], 0
-    if held:
-        yield _batch(held, schema)
+    finally:
+        held = []
+        release()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import batched, rows_of, words, written
+from gridlake.llm.common import batched, releasing, rows_of, words, written
 
 WINDOW = 13
 SHINGLE = 5
@@ -209,7 +209,7 @@ def find_items(
         last = number == len(sent) - 1
 
         def scan(batches: Iterator[pa.RecordBatch], index=index, last=last) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in releasing(batches):
                 texts = batch.column(1).to_pylist()
                 n_words, spans, item_ids = [], [], []
                 for text, old, seen in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):

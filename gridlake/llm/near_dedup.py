@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import batched, rows_of, text_or_empty, words, written
+from gridlake.llm.common import batched, releasing, rows_of, text_or_empty, words, written
 from gridlake.llm.components import components
 
 SHINGLE = 5
@@ -261,7 +261,7 @@ def _prefixes(docs: DataFrame, documents: DataFrame, least: float) -> DataFrame:
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, label, codes in rows_of(batches):
+        for doc, label, codes in rows_of(releasing(batches)):
             own = np.unique(shingles(np.frombuffer(codes, np.uint32))).view(np.int64)
             for at in range(0, len(own), 50_000):
                 part = own[at : at + 50_000]
@@ -288,7 +288,7 @@ def _overlapping(rows: DataFrame, least: float) -> DataFrame:
     rows = rows.sortWithinPartitions("gram", "place").select("gram", "doc", "label", "place", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in groupby(rows_of(batches), itemgetter(0)):
+        for _, held in groupby(rows_of(releasing(batches)), itemgetter(0)):
             doc, label, place, n = np.array([x[1:] for x in held], np.int64).T
             for k in range(1, len(doc)):
                 after, others = n[k] - place[k], n[:k] - place[:k]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import batched, rows_of, text_or_empty, written
+from gridlake.llm.common import batched, releasing, rows_of, text_or_empty, written
 
 ORDER = 5
 QUANTILE = 0.99
@@ -233,7 +233,7 @@ def _numbers(rows: DataFrame, column: str, value: str, extra: int) -> _Table:
     """The table of a shard's n-grams or contexts; tasks hash them, so only numbers come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in releasing(batches):
             langs, sizes, texts, values = (c.to_pylist() for c in batch.columns)
             codes = _coded(langs, sizes, texts, extra).view(np.int64)
             logs = np.log(np.maximum(np.array(values, np.float64), 1e-300)).astype(np.float32)
@@ -298,7 +298,7 @@ def log_probabilities(documents: DataFrame, grams: DataFrame, contexts: DataFram
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             model = sent.value
-            for batch in batches:
+            for batch in releasing(batches):
                 langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 log_p = np.array(batch.column(3).to_pylist(), np.float64)
                 n = np.array(batch.column(4).to_pylist(), np.int64)

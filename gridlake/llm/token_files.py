@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import batched, rows_of, text_or_empty, written
+from gridlake.llm.common import batched, release, rows_of, text_or_empty, written
 
 END = 2
 BLOCK_TOKENS = 1_000_000
@@ -283,6 +283,7 @@ def write_blocks(
                         if len(held) >= 4 * block_tokens:
                             yield block()
                             held, docs, counts, number = bytearray(), [], [], number + 1
+                            release()
             if docs:
                 yield block()
 
