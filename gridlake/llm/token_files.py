@@ -27,10 +27,10 @@ may make a block longer than the target, never split; further columns are ignore
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +40,11 @@ from gridlake.llm.common import batched, release, rows_of, text_or_empty, writte
 END = 2
 BLOCK_TOKENS = 1_000_000
 CACHED_PIECES = 300_000
+LONGEST_PIECE = 64
 
 _STEP = 1 << 18
+_LOOKUP = 1 << 20
+_TEXTS = 600
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 
 
@@ -142,13 +145,41 @@ def sure_cuts(raw: np.ndarray) -> np.ndarray:
     return cuts
 
 
+class _Kept:
+    """Pieces and their ids: an Arrow array of the pieces, and their ids one after the other."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.pieces)
+
+    def places(self, pieces: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The place of each piece among the kept ones and, after them, the distinct others, which come second."""
+        both = pa.concat_arrays([self.pieces, pieces]).dictionary_encode()
+        return both.indices.to_numpy()[len(self) :], both.dictionary[len(self) :]
+
+    def add(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray, room: int) -> None:
+        """Keeps the first pieces of at most LONGEST_PIECE bytes, as far as there is room."""
+        some = np.flatnonzero(pc.binary_length(pieces).to_numpy() <= LONGEST_PIECE)[:room]
+        chosen = np.zeros(len(pieces), bool)
+        chosen[some] = True
+        self.pieces = pa.concat_arrays([self.pieces, pieces.take(pa.array(some))])
+        self.ids = np.r_[self.ids, ids[np.repeat(chosen, sizes)]]
+        self.sizes = np.r_[self.sizes, sizes[some]]
+
+
 class WordEncoder:
     """Whole-text ids from the tokenizer, which sees each distinct piece of text once while it is kept.
 
     Texts are cut where the byte-level split is sure to cut, and the pieces'
-    ids joined.  Places are found by numpy and the distinct pieces of a batch
-    by Arrow, so only these are looked up.  The number of kept pieces is
-    bounded; the others are encoded anew.
+    ids joined.  Places are found by numpy and the kept pieces by Arrow, so
+    only those not kept yet become Python strings.  The number of kept pieces
+    is bounded; the others are encoded anew.
     """
 
     def __init__(self, path: str, kept: int = CACHED_PIECES):
@@ -156,9 +187,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = kept
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Kept()
         pieces = (self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size()))
         self.starts = np.array([p.startswith("Ġ") for p in pieces])
+        self.line = self.tokenizer.token_to_id("Ċ")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> np.ndarray:
@@ -181,36 +213,52 @@ class WordEncoder:
         cuts = sure_cuts(raw)
         cuts[bounds[bounds < len(raw)]] = True
         at = np.r_[np.flatnonzero(cuts), len(raw)]
-        pieces = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
-        known = self._pieces(pieces.dictionary.to_pylist())
-        codes, ids = pieces.indices.to_numpy(), np.frombuffer(b"".join(known), "<u4")
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        counts, begins = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
-        ends = np.r_[0, np.cumsum(counts)]
+        parts, counts = [], []
+        for k in range(0, len(at) - 1, _LOOKUP):
+            some = at[k : k + _LOOKUP + 1]
+            ids, sizes = self._pieces(pa.LargeStringArray.from_buffers(len(some) - 1, pa.py_buffer(some), data))
+            parts.append(ids)
+            counts.append(sizes)
+        joined = np.concatenate(parts)
+        limits = np.r_[0, np.cumsum(np.concatenate(counts), dtype=np.int64)][np.searchsorted(at, bounds)].tolist()
+        return [joined[a:b].tobytes() for a, b in zip(limits, limits[1:])]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and their number for each piece."""
+        places, others = self.kept.places(pieces)
+        ids, sizes = self.kept.ids, self.kept.sizes
+        if len(others):
+            found = self._encoded(others.to_pylist())
+            own, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter((len(x) // 4 for x in found), np.int32, len(found))
+            del found
+            ids, sizes = np.r_[ids, own], np.r_[sizes, lengths]
+            room = self.most - len(self.kept)
+            if room > 0:
+                self.kept.add(others, own, lengths, room)
+        counts, begins = sizes[places], (np.cumsum(sizes, dtype=np.int64) - sizes)[places]
+        ends = np.r_[0, np.cumsum(counts, dtype=np.int64)]
         joined = np.empty(ends[-1], "<u4")
-        for k in range(0, len(codes), _STEP):
-            some = slice(k, min(k + _STEP, len(codes)))
+        for k in range(0, len(places), _STEP):
+            some = slice(k, min(k + _STEP, len(places)))
             low, high = ends[some.start], ends[some.stop]
-            # A piece's place among the distinct pieces, less its place in the text.
+            # A piece's place among the known ids, less its place in the text.
             joined[low:high] = ids[np.repeat(begins[some] - ends[:-1][some], counts[some]) + np.arange(low, high)]
-        limits = ends[np.searchsorted(at, bounds)].tolist()
-        return [joined[a:b].tobytes() for a, b in zip(limits, limits[1:])]
+        return joined, counts
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
-        found = list(map(self.kept.get, pieces))
-        gaps = [k for k, x in enumerate(found) if x is None]
-        spaced = [k for k in gaps if pieces[k].rfind(" ") == 0 and not pieces[k][-1].isspace()]
-        self._encode(pieces, spaced, found)
-        for k in gaps:
-            if found[k] is None:
-                found[k] = self.ids(pieces[k]).tobytes()
-        room = self.most - len(self.kept)
-        if room > 0:
-            self.kept.update(islice(((pieces[k], found[k]) for k in gaps if len(pieces[k]) <= 64), room))
-        return found
-
-    def _encode(self, pieces: list[str], spaced: list[int], found: list[bytes | None]) -> None:
+        found: list[bytes | None] = [None] * len(pieces)
+        spaced, bare = [], []
+        for k, piece in enumerate(pieces):
+            if piece.rfind(" ") == 0 and not piece[-1].isspace():
+                spaced.append(k)
+            elif piece.split() == [piece]:
+                bare.append(k)
+        self._together(pieces, spaced, found)
+        self._lines(pieces, bare, found)
+        return [self.ids(pieces[k]).tobytes() if x is None else x for k, x in enumerate(found)]
+
+    def _together(self, pieces: list[str], spaced: list[int], found: list[bytes | None]) -> None:
         """Fills in the ids of pieces that have a space only at their begin, many at a time."""
         for n in range(0, len(spaced), 1000):
             some = spaced[n : n + 1000]
@@ -222,6 +270,20 @@ class WordEncoder:
             for k, a, b in zip(some, bounds.tolist(), ends):
                 found[k] = raw[4 * a : 4 * b]
 
+    def _lines(self, pieces: list[str], bare: list[int], found: list[bytes | None]) -> None:
+        """Fills in the ids of pieces without white space, as many lines: a line end before another character stays alone."""
+        if self.line is None:
+            return
+        for n in range(0, len(bare), 1000):
+            some = bare[n : n + 1000]
+            ids = self.ids("\n".join([pieces[k] for k in some]))
+            bounds = np.flatnonzero(ids == self.line)
+            if len(bounds) != len(some) - 1:
+                continue
+            raw = ids.tobytes()
+            for k, a, b in zip(some, [0, *(bounds + 1).tolist()], [*bounds.tolist(), len(ids)]):
+                found[k] = raw[4 * a : 4 * b]
+
 
 _encoders: dict[tuple, WordEncoder] = {}
 
@@ -274,8 +336,8 @@ def write_blocks(
 
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for at in range(0, len(texts), 256):
-                    for doc, code in zip(ids[at : at + 256], encode(texts[at : at + 256])):
+                for at in range(0, len(texts), _TEXTS):
+                    for doc, code in zip(ids[at : at + _TEXTS], encode(texts[at : at + _TEXTS])):
                         held += code
                         held += last
                         docs.append(doc)

@@ -58,6 +58,31 @@ def test_a_word_is_encoded_once_whatever_follows_it():
     assert np.frombuffer(encode([text])[0], "<u4").tolist() == wanted and len(encode.kept) == most
 
 
+def test_pieces_go_to_the_tokenizer_together():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.calls = tokenizer, 0
+
+        def encode(self, text, **options):
+            self.calls += 1
+            return self.tokenizer.encode(text, **options)
+
+    encode = tf.WordEncoder(BYTE_BPE)
+    bare = [f"Wort{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    texts = ["\n".join(bare), " ".join(bare), "\n".join("'s 1 x'll\x85漢 ×9\x1c'".split(" ")), "\n\n'\n"]
+    wanted = [encode.ids(text).tolist() for text in texts]
+    counted = encode.tokenizer = Counted(encode.tokenizer)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == wanted
+    assert counted.calls < 20
+    calls = counted.calls
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts[::-1])] == wanted[::-1]
+    assert counted.calls == calls
+    encode.kept.clear()
+    encode.most = 7
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == wanted and len(encode.kept) == 7
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXTS)
 def test_every_prefix_has_its_exact_count(text):
