@@ -50,6 +50,7 @@ MODEL_ROWS = 4_000_000
 BROADCAST_IDS = 1_000_000
 _START = 2
 _CHUNK = 400_000
+_SLOTS = 1 << 18
 _PRIME = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -143,7 +144,7 @@ def _discount(n: Column, prefix: str = "d") -> Column:
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """Per language the three discounts of one order; fixed ones where the counts of counts leave one open."""
+    """Per language and order the three discounts; fixed ones where the counts of counts leave one open."""
     of = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
@@ -152,38 +153,48 @@ def _discounts(counts: DataFrame) -> DataFrame:
         known = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{k}") > 0)
         return F.when(known, F.greatest(F.least(value, F.lit(k - 0.05)), F.lit(0.05))).otherwise(k - 0.5).alias(f"d{k}")
 
-    return counts.groupBy("lang").agg(*of).select("lang", one(1), one(2), one(3))
+    return counts.groupBy("lang", "size").agg(*of).select("lang", "size", one(1), one(2), one(3))
 
 
 def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows (lang, text): n-grams (lang, size, gram, p) and contexts (lang, size, context, back_off)."""
+    """From rows (lang, text): n-grams (lang, size, gram, p) and contexts (lang, size, context, back_off).
+
+    All orders go through the same few plans; every plan and every table sent
+    out costs the driver memory.  Only the probabilities follow one another.
+    """
     counts = {ORDER: written(count_grams(trusted), "grams")}
     for size in range(ORDER - 1, 0, -1):
         longer = counts[size + 1]
         shorter = longer.groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n"))
         counts[size] = written(shorter, "grams")
-    grams, contexts, lower = [], [], None
+    rows = _union([counts[size].select("lang", F.lit(size).alias("size"), "gram", "n") for size in counts])
+    discounts = written(_discounts(rows), "discounts")
+    rows = rows.join(F.broadcast(discounts), ["lang", "size"])  # a row for each language and order
+    rows = rows.withColumn("context", F.expr("substring(gram, 1, size - 1)"))
+    totals = rows.groupBy("lang", "size", "context").agg(
+        F.sum("n").alias("total"), F.sum(_discount(F.col("n"))).alias("given"), F.count("*").alias("kinds")
+    )
+    # The lowest order is interpolated with the uniform distribution over the seen characters and one for all others.
+    back_off = F.col("given") / F.col("total")
+    back_off = F.when(F.col("size") == 1, back_off / (F.col("kinds") + 1)).otherwise(back_off)
+    totals = written(totals.select("lang", "size", "context", "total", back_off.alias("back_off")), "totals")
+    own = (F.col("n") - _discount(F.col("n"))) / F.col("total")
+    rows = rows.join(totals, ["lang", "size", "context"])
+    rows = written(rows.select("lang", "size", "gram", own.alias("own"), "back_off"), "own")
+    grams: list[DataFrame] = []
     for size in range(1, ORDER + 1):
-        rows = counts[size].join(F.broadcast(_discounts(counts[size])), "lang")  # a row for each language
-        rows = rows.withColumn("context", F.substring("gram", 1, size - 1) if size > 1 else F.lit(""))
-        totals = rows.groupBy("lang", "context").agg(
-            F.sum("n").alias("total"), F.sum(_discount(F.col("n"))).alias("given"), F.count("*").alias("kinds")
-        )
-        totals = totals.withColumn("back_off", F.col("given") / F.col("total"))
-        rows = rows.join(totals, ["lang", "context"])
-        own = (F.col("n") - _discount(F.col("n"))) / F.col("total")
-        if size == 1:  # interpolated with the uniform distribution over the seen characters and one for all others
-            rows = rows.withColumn("p", own + F.col("back_off") / (F.col("kinds") + 1))
-        else:
-            below = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p_below"))
-            rows = rows.withColumn("suffix", F.substring("gram", 2, size - 1)).join(below, ["lang", "suffix"])
-            rows = rows.withColumn("p", own + F.col("back_off") * F.col("p_below"))
-        lower = written(rows.select("lang", F.lit(size).alias("size"), "gram", "p"), "model")
-        grams.append(lower)
-        back_off = F.col("back_off") / (F.col("kinds") + 1) if size == 1 else F.col("back_off")
-        contexts.append(totals.select("lang", F.lit(size - 1).alias("size"), "context", back_off.alias("back_off")))
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(grams), written(union(contexts), "contexts")
+        of_size, below = rows.filter(F.col("size") == size), F.lit(1.0)
+        if grams:
+            lower = grams[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p_below"))
+            of_size = of_size.withColumn("suffix", F.substring("gram", 2, size - 1)).join(lower, ["lang", "suffix"])
+            below = F.col("p_below")
+        p = F.col("own") + F.col("back_off") * below
+        grams.append(written(of_size.select("lang", "size", "gram", p.alias("p")), "model"))
+    return _union(grams), totals.select("lang", (F.col("size") - 1).alias("size"), "context", "back_off")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(_union(parts[1:]))
 
 
 class _Table:
@@ -193,8 +204,10 @@ class _Table:
         order = np.argsort(codes)
         self.codes, self.values = codes[order], values[order].astype(np.float32)
         self.bits = max(4, int(len(codes)).bit_length() + 2)
-        slots = (self.codes >> np.uint64(64 - self.bits)).astype(np.int64)
-        self.begins = np.searchsorted(slots, np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.begins = np.full((1 << self.bits) + 1, len(codes), np.int32)
+        for k in range(0, 1 << self.bits, _SLOTS):
+            slots = np.arange(k, min(k + _SLOTS, 1 << self.bits), dtype=np.uint64)
+            self.begins[k : k + len(slots)] = np.searchsorted(self.codes, slots << np.uint64(64 - self.bits))
         self.deepest = int(np.diff(self.begins).max()) if len(codes) else 0
 
     def find(self, codes: np.ndarray) -> np.ndarray:

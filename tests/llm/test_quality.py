@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from gridlake.llm import quality
@@ -70,3 +72,24 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert kept[2000] and kept[2001] and kept[2002] and kept[None]
     empty = quality.scores(docs.limit(0), labels.limit(0))
     assert empty.count() == 0
+
+
+def test_all_orders_share_the_tables_sent_out(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(quality.F, "broadcast", lambda frame: sent.append(frame) or frame)
+    grams, _ = quality.train(spark.createDataFrame([("en", "abcab"), ("de", "öäöä")], "lang string, text string"))
+    assert sorted({r.size for r in grams.select("size").collect()}) == [1, 2, 3, 4, 5]
+    assert len(sent) == 1
+
+
+def test_a_table_is_made_in_little_memory():
+    codes = np.random.default_rng(3).permutation(np.arange(1, 1_000_001, dtype=np.uint64) * np.uint64(18_446_744_073_709))
+    values = np.arange(len(codes)) % 1000
+    tracemalloc.start()
+    table = quality._Table(codes, values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * table.begins.nbytes
+    assert np.array_equal(table.find(codes), values.astype(np.float32))
+    assert np.isnan(table.find(codes + np.uint64(1))).all()
+    assert np.isnan(quality._Table(codes[:0], values[:0]).find(codes[:5])).all()
