@@ -81,7 +81,8 @@ def _hashes(points: np.ndarray, places: np.ndarray, size: int, salt: int) -> np.
 
 
 def _salt(lang: str, size: int) -> int:
-    return (zlib.crc32(lang.encode()) << 8) + size + 1
+    # Above all code points, also for the empty name: else the first character might turn one size into another.
+    return (1 << 40) + (zlib.crc32(lang.encode()) << 8) + size + 1
 
 
 def count_grams(documents: DataFrame) -> DataFrame:

@@ -93,3 +93,10 @@ def test_a_table_is_made_in_little_memory():
     assert np.array_equal(table.find(codes), values.astype(np.float32))
     assert np.isnan(table.find(codes + np.uint64(1))).all()
     assert np.isnan(quality._Table(codes[:0], values[:0]).find(codes[:5])).all()
+
+
+@pytest.mark.parametrize("lang", ["", "en"])
+def test_contexts_of_different_sizes_have_different_hashes(lang):
+    contexts = ["", *map(chr, range(1, 128)), *(a + chr(c) for a in "efghi" for c in range(1, 128))]
+    codes = quality._coded([lang] * len(contexts), [len(c) for c in contexts], contexts, 100)
+    assert len(np.unique(codes)) == len(contexts)
