@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.session import JOINS_IN_BUCKETS, working_folder
+from gridlake.session import JOINS_IN_BUCKETS, frees_shuffles, working_folder
 
 # Rows take about ten times as much memory as they take in a Parquet file, and a task
 # sorts them several times over.
@@ -76,19 +76,20 @@ def stored(
     if key not in _written:
         table = f"gridlake_{name}_{uuid.uuid4().hex}"
         path = f"{working_folder(spark)}/{table}"
-        if bucket_by:
-            buckets = bucket_count(spark, stored_bytes(spark, sized_by))
-            (
-                build(buckets)
-                .write.bucketBy(buckets, bucket_by)
-                .sortBy(*(sort_by or [bucket_by]))
-                .option("path", path)
-                .saveAsTable(table)
-            )
-            _written[key] = table
-        else:
-            build().write.parquet(path)
-            _written[key] = path
+        with frees_shuffles(spark):
+            if bucket_by:
+                buckets = bucket_count(spark, stored_bytes(spark, sized_by))
+                (
+                    build(buckets)
+                    .write.bucketBy(buckets, bucket_by)
+                    .sortBy(*(sort_by or [bucket_by]))
+                    .option("path", path)
+                    .saveAsTable(table)
+                )
+                _written[key] = table
+            else:
+                build().write.parquet(path)
+                _written[key] = path
     if bucket_by:
         return spark.table(_written[key])
     return spark.read.parquet(_written[key])

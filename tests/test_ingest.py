@@ -75,6 +75,18 @@ def test_a_batch_that_repeats_keys_is_exchanged_once_with_the_stored_rows(spark,
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_a_batch_that_repeats_keys_is_sorted_once_in_tasks_that_follow_its_rows(spark, event, monkeypatch):
+    monkeypatch.setattr(upsert, "ROWS_PER_TASK", 1)
+    batch = event.lap_times.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    plan = upsert.plan_upsert("lap_times", event.lap_times, batch, order="n")
+    stats = upsert.ingestion_stats(plan, "lap_times")
+    assert [tuple(r)[1:] for r in stats.collect()] == [(8, 0, 0, 8)]
+    text = stats._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("Sort [" in line for line in text.splitlines()) == 1
+    # Four stored rows and eight of the batch.
+    assert "12), REPARTITION_BY_NUM" in text
+
+
 def test_a_batch_that_repeats_one_key_settles_all_others(spark):
     stored = [("a", "1", 7), ("b", "1", 7), ("c", "1", 7), ("z", "1", 7), ("z", "2", 7), (None, "1", 7), (None, "2", 7)]
     old = spark.createDataFrame(stored, "k string, t string, more int")

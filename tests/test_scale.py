@@ -1,13 +1,16 @@
 """Work per task and rows moved follow the input, whatever the session's number of partitions."""
 
 import datetime
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridlake.operators import common
 from gridlake.plans import ingest
-from gridlake.plans.store import bucket_count, drop_stored
+from gridlake.plans.store import bucket_count, drop_stored, stored
+from gridlake.session import frees_shuffles
 from gridlake.sources import star
 from gridlake.tables import RaceTables
 
@@ -83,3 +86,21 @@ def test_names_are_sent_to_the_facts(spark, event, monkeypatch):
         assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for folder in folders for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_")}
+
+
+def test_jobs_that_store_tables_leave_no_shuffle_files(spark, source):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept, before, seen = spark.conf.get(setting), _shuffle_files(spark), []
+    with frees_shuffles(spark):
+        spark.range(100).repartition(3, "id").write.format("noop").mode("overwrite").save()
+    until = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    stored(spark, source, "numbers", lambda: seen.append(spark.conf.get(setting)) or spark.range(3))
+    assert seen == ["true"] and spark.conf.get(setting) == kept
